@@ -31,3 +31,97 @@ FROM conversations r
 JOIN conversations u ON u.conv_id = r.conv_id AND u.turn + 1 = r.turn AND u.role = 'user'
 LEFT JOIN conversations s ON s.conv_id = r.conv_id AND s.role = 'system' AND s.turn = 0
 WHERE r.role = 'assistant'"""
+
+
+# --- customers with order history ------------------------------------------------
+
+AS_OF = "2001-08-01"
+INACTIVE_DAYS = 180
+NUMERIC = ["balance", "tenure_months", "n_orders", "spend", "n_pending"]
+CATEGORICAL = ["segment", "country"]
+SCORE_MODELS = ["by_orders", "by_balance", "by_tenure"]
+
+
+def customer_features(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per customer: order history up to a fixed day and ``label`` = inactive at the end."""
+    o = (
+        table(spark, sf, "orders").groupBy("o_custkey").agg(
+            F.count(F.lit(1)).alias("n_orders"), F.count_if(F.col("o_orderstatus") == "P").alias("n_pending"),
+            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("spend"),
+            F.min(F.to_date("o_orderdate")).alias("first"), F.max(F.to_date("o_orderdate")).alias("last"),
+        )
+    )
+    c = table(spark, sf, "customer")
+    as_of = F.to_date(F.lit(AS_OF))
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        F.col("c_custkey").alias("customer_id"),
+        F.col("c_mktsegment").alias("segment"),
+        F.col("c_nationkey").cast("string").alias("country"),
+        F.col("c_acctbal").alias("acctbal"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"),
+        (F.datediff(as_of, "first") / F.lit(30.0)).alias("tenure_months"),
+        F.coalesce("n_orders", F.lit(0)).cast("double").alias("n_orders"),
+        F.coalesce("n_pending", F.lit(0)).cast("double").alias("n_pending"),
+        "spend",
+        F.coalesce(F.datediff(as_of, "last") > INACTIVE_DAYS, F.lit(True)).cast("int").alias("label"),
+    )
+
+
+CUSTOMERS_SQL = f"""
+SELECT c_custkey AS customer_id, c_mktsegment AS segment, c_nationkey::VARCHAR AS country, c_acctbal AS acctbal,
+  CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance, (DATE '{AS_OF}' - "first") / 30.0::DOUBLE AS tenure_months,
+  coalesce(n_orders, 0)::DOUBLE AS n_orders, coalesce(n_pending, 0)::DOUBLE AS n_pending, spend,
+  coalesce(DATE '{AS_OF}' - "last" > {INACTIVE_DAYS}, true)::INT AS label
+FROM customer LEFT JOIN (
+  SELECT o_custkey, count(*) AS n_orders, count(*) FILTER (o_orderstatus = 'P') AS n_pending,
+    sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS spend, min(o_orderdate::DATE) AS "first", max(o_orderdate::DATE) AS "last"
+  FROM orders GROUP BY 1) ON c_custkey = o_custkey"""
+
+
+def scored_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """(model, customer_id, label, score): three rule-based scores per customer."""
+    c = customer_features(spark, sf)
+    scores = {
+        "by_orders": 1.0 / (1.0 + F.col("n_orders")),
+        "by_balance": (F.col("acctbal") + 1000) / F.lit(11000.0),
+        "by_tenure": F.coalesce(F.greatest(F.lit(0.0), 1.0 - F.col("tenure_months") / 90.0), F.lit(1.0)),
+    }
+    cells = [F.struct(F.lit(m).alias("model"), F.round(s, 6).alias("score")) for m, s in scores.items()]
+    return c.select("customer_id", "label", F.explode(F.array(*cells)).alias("s")).select(
+        "s.model", "customer_id", "label", "s.score"
+    )
+
+
+SCORED_SQL = f"""
+SELECT m AS model, customer_id, label, round(CASE m WHEN 'by_orders' THEN 1.0::DOUBLE / (1 + n_orders)
+  WHEN 'by_balance' THEN (acctbal + 1000) / 11000.0::DOUBLE
+  ELSE coalesce(greatest(0, 1 - tenure_months / 90.0::DOUBLE), 1) END, 6) AS score
+FROM ({CUSTOMERS_SQL}), (VALUES ('by_orders'), ('by_balance'), ('by_tenure')) AS t(m)"""
+
+
+# --- line items before and after a day ------------------------------------------------
+
+SPLIT_DAY = "1998-06-01"
+LINE_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_CATEGORICAL = ["l_returnflag", "l_linestatus"]
+
+
+def line_windows(spark: SparkSession, sf: str, monthly: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(reference, current): current carries ``window`` = 'all' or its ship month."""
+    li = table(spark, sf, "lineitem").select(*LINE_NUMERIC, *LINE_CATEGORICAL, "l_shipdate")
+    day = F.to_date(F.lit(SPLIT_DAY))
+    window = F.date_format("l_shipdate", "yyyy-MM") if monthly else F.lit("all")
+    return li.where(F.col("l_shipdate") < day), li.where(F.col("l_shipdate") >= day).withColumn("window", window)
+
+
+# --- model audit log read from events ---------------------------------------------------
+
+
+def audit_log(spark: SparkSession, sf: str) -> DataFrame:
+    """(model, seq, event, version): purchases promote, errors roll back, the rest is rejected."""
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "purchase", "promote").when(F.col("event_type") == "error", "rollback").otherwise("reject")
+    return e.select(
+        F.col("user_id").alias("model"), F.col("event_id").alias("seq"), kind.alias("event"),
+        F.get_json_object("props", "$.k").cast("long").alias("version"),
+    )

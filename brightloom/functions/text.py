@@ -202,3 +202,15 @@ def fill(template: str, **parts: Column) -> Column:
         if name:
             pieces.append(parts[name])
     return F.concat(*pieces)
+
+
+def first_sentence(text: Column) -> Column:
+    """Opening sentence (up to a full stop) with exactly one trailing full stop."""
+    head = F.element_at(F.split(strip(text), rf"(?<=\.){fixed.SPACE_CLASS}+", 2), 1)
+    return F.concat(F.rtrim(head, F.lit(".")), F.lit("."))
+
+
+def html_text(html: Column) -> Column:
+    """Text of a page: scripts, styles and tags dropped, white space squeezed."""
+    bare = F.regexp_replace(html, r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
+    return squeeze(bare)

@@ -121,3 +121,21 @@ def shuffled_rank(df: DataFrame, strata: Sequence[str], row_id: str, seed: int |
         .withColumn("rank", F.row_number().over(inside) + F.col("_o"))
         .drop("_h", "_slice", "_o")
     )
+
+
+def row_numbers(
+    df: DataFrame, keys: Sequence[str], order: str, name: str = "row_no", big: int = 1_000_000
+) -> DataFrame:
+    """``row_number`` from 1 by a numeric, per-key unique ``order`` column.
+
+    Groups above ``big`` rows are counted first and numbered slice by slice;
+    there are at most ``rows / big`` of them. The others use a plain window.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > big).select(*keys)
+    plain = df.join(sizes, list(keys), "left_anti").withColumn(
+        name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long")
+    )
+    large = running_totals(
+        df.join(sizes, list(keys), "left_semi").withColumn("_one", F.lit(1).cast("long")), keys, order, ["_one"], few_keys=False
+    )
+    return plain.unionByName(large.withColumnRenamed("cum__one", name).drop("_one", "all__one"))

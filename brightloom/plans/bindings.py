@@ -125,3 +125,57 @@ def audit_log(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("model"), F.col("event_id").alias("seq"), kind.alias("event"),
         F.get_json_object("props", "$.k").cast("long").alias("version"),
     )
+
+
+# --- agent runs read from events ----------------------------------------------------------
+
+AGENTS = ["agent_0", "agent_1", "agent_2"]
+MODELS = ["sim-small", "sim-large", "gpt-4o-mini", "unlisted"]
+
+
+def run_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """A run is one user's day: views, clicks and purchases are tool calls, errors model calls, signups answers."""
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = (
+        F.when(F.col("event_type") == "error", "llm_call").when(F.col("event_type") == "signup", "final_answer")
+        .otherwise("tool_call")
+    )
+    llm = F.col("event_type") == "error"
+    return e.select(
+        F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("run_id"),
+        F.concat(F.lit("agent_"), (F.col("user_id") % 3).cast("string")).alias("agent"),
+        F.col("event_id").alias("step_no"), kind.alias("type"), "ts",
+        F.when(kind == "tool_call", F.col("event_type")).alias("name"),
+        F.when(kind == "tool_call", F.create_map(F.lit("k"), (k % 5).cast("string"))).alias("arguments"),
+        F.when(kind == "final_answer", F.col("props")).alias("content"),
+        F.when(llm, k * 10).otherwise(0).alias("prompt_tokens"),
+        F.when(llm, F.floor("value")).otherwise(0).alias("completion_tokens"),
+        F.when(llm, F.element_at(F.array(*[F.lit(m) for m in MODELS]), k % 4 + 1)).alias("model"),
+    )
+
+
+def run_cases(steps: DataFrame) -> DataFrame:
+    """(run_id, expected_tools, reference_trajectory) by weekday; Sundays expect no tool."""
+    day = F.weekday(F.to_date(F.element_at(F.split("run_id", "/"), 2)))
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    empty = F.array().cast("array<string>")
+    return steps.select("run_id").distinct().select(
+        "run_id",
+        F.when(day == 6, empty).when(day % 2 == 0, words("view", "click", "purchase")).otherwise(words("view", "purchase")).alias("expected_tools"),
+        F.when(day == 0, words("view", "view", "purchase")).alias("reference_trajectory"),
+    )
+
+
+STEPS_SQL = f"""
+SELECT user_id || '/' || ts::DATE AS run_id, 'agent_' || (user_id % 3) AS agent, event_id AS step_no, epoch_us(ts) AS us,
+  CASE event_type WHEN 'error' THEN 'llm_call' WHEN 'signup' THEN 'final_answer' ELSE 'tool_call' END AS type,
+  event_type AS name, (props->>'k')::INT AS k, props,
+  CASE WHEN event_type = 'error' THEN (props->>'k')::INT * 10 ELSE 0 END AS pt,
+  CASE WHEN event_type = 'error' THEN floor(value)::BIGINT ELSE 0 END AS ct,
+  {MODELS}[(props->>'k')::INT % 4 + 1] AS model FROM events"""
+CASES_SQL = """
+SELECT run_id, CASE WHEN d = 6 THEN []::VARCHAR[] WHEN d % 2 = 0 THEN ['view', 'click', 'purchase'] ELSE ['view', 'purchase'] END AS expected,
+  CASE WHEN d = 0 THEN ['view', 'view', 'purchase'] WHEN d = 6 THEN []::VARCHAR[] WHEN d % 2 = 0 THEN ['view', 'click', 'purchase']
+    ELSE ['view', 'purchase'] END AS reference
+FROM (SELECT DISTINCT run_id, isodow(split_part(run_id, '/', 2)::DATE) - 1 AS d FROM steps)"""

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("sql_queries", "text_queries", "series_queries", "scoring_queries", "quality_queries", "retrieval_queries")
+FAMILIES = (
+    "sql_queries", "text_queries", "series_queries", "scoring_queries", "quality_queries", "retrieval_queries",
+    "evaluation_queries",
+)
 
 
 def _merged(attribute: str) -> dict:

@@ -44,7 +44,10 @@ class RunningTop:
         self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
 
     def add(self, item_ids: np.ndarray, items: np.ndarray) -> None:
-        scores = np.round(items @ self.queries.T, DIGITS) + 0.0
+        self.merge(item_ids, items @ self.queries.T)
+
+    def merge(self, item_ids: np.ndarray, scores: np.ndarray) -> None:
+        scores = np.round(scores, DIGITS) + 0.0
         for q in range(len(self.ids)):
             s, i = scores[:, q], item_ids
             if len(s) > self.k:
@@ -68,6 +71,56 @@ class RunningTop:
         )
 
 
+def sparse_rows(dim: int):
+    """Function for ``mapInPandas``: (id, vector of bucket numbers) to (id, bucket, weight) rows."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = np.array([len(b) for b in batch["vector"]], dtype=np.int64)
+            if not sizes.sum():
+                continue
+            flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in batch["vector"]])
+            cell, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * dim + flat, return_counts=True)
+            row, damped = cell // dim, np.log1p(n)
+            length = np.sqrt(np.bincount(row, weights=damped * damped, minlength=len(sizes)))
+            yield pd.DataFrame(
+                {"id": batch["id"].to_numpy()[row], "bucket": (cell % dim).astype(np.int32), "weight": damped / length[row]}
+            )
+
+    return run
+
+
+def scan_terms(query_ids: np.ndarray, places: dict[str, int], weights: np.ndarray, k: int, saturation=None):
+    """Function for ``mapInPandas`` over (item_id, tokens): running top-k of term-weight sums.
+
+    ``weights`` is terms x queries. ``saturation`` is (k1, b, mean length) of
+    BM25, or None to use plain term counts. Texts are scored 256 at a time.
+    """
+    width = len(places)
+
+    def block(tokens: list) -> np.ndarray:
+        counts = np.zeros((len(tokens), width))
+        lengths = np.array([len(t) for t in tokens], dtype=float)
+        for r, words in enumerate(tokens):
+            found = [places[w] for w in words if w in places]
+            if found:
+                counts[r] = np.bincount(found, minlength=width)
+        if saturation is not None:
+            k1, b, mean = saturation
+            counts = counts * (k1 + 1) / (counts + (k1 * (1 - b + b * lengths / mean))[:, None])
+        return counts @ weights
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = RunningTop(query_ids, weights, k)
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.iloc[start : start + 256]
+                top.merge(part["item_id"].to_numpy(), block(part["tokens"].tolist()))
+        yield top.frame()
+
+    return run
+
+
 def scan(query_ids: np.ndarray, queries: np.ndarray, k: int, to_matrix: ToMatrix):
     """Function for ``mapInPandas`` over (item_id, vector): one top-k per partition."""
 

@@ -13,7 +13,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_SLICES = 64
+_BLOCK = 16  # edges per block of the two-step slice search
+
+
+def slice_count(df: DataFrame) -> int:
+    """Slices per group: as many as the cluster runs shuffle partitions, within reason."""
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(8, min(parallel, 512))
+
+
+def _slice_of(value: Column) -> Column:
+    """Number of ``_edges`` below ``value``: every 16th edge first, then one block of 16."""
+    block = F.size(F.filter("_coarse", lambda e: e < value))
+    fine = F.slice("_edges", block * _BLOCK + 1, F.lit(_BLOCK))
+    return block * _BLOCK + F.size(F.filter(fine, lambda e: e < value))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
@@ -32,27 +45,29 @@ def running_totals(
     keys: Sequence[str],
     value: str,
     measures: Sequence[str],
-    slices: int = _SLICES,
+    slices: int | None = None,
     few_keys: bool = True,
+    ranks: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Running totals of ``measures`` in ``value`` order inside each key.
 
     Adds ``cum_<m>`` (inclusive) and ``all_<m>`` (key total). ``counts`` holds
     one row per key and value. ``few_keys`` states that the keys are names of
-    features, models or agents, so the edge and slice tables (64 numbers per
-    key) have a proven bound and may be broadcast; otherwise Spark chooses.
+    features, models or agents, so the edge and slice tables (at most 512
+    numbers per key) have a proven bound and may be broadcast; otherwise Spark
+    chooses. With ``ranks`` (0-based, over ``all_<m>`` of the first measure)
+    only the slices that hold one of these ranks are kept.
     """
+    slices = slices or slice_count(counts)
     keys = list(keys)
     hint = F.broadcast if few_keys else (lambda d: d)
     base = counts if keys else counts.withColumn("_all", F.lit(1))
     by = keys or ["_all"]
     cuts = [i / slices for i in range(1, slices)]
     edges = base.groupBy(*by).agg(
-        F.percentile_approx(F.col(value), cuts, F.lit(slices * 100)).alias("_edges")
-    )
-    cut = base.join(hint(edges), by).withColumn(
-        "_slice", F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    ).drop("_edges")
+        F.percentile_approx(F.col(value), cuts, F.lit(slices * 20)).alias("_edges")
+    ).withColumn("_coarse", F.filter("_edges", lambda e, i: i % _BLOCK == _BLOCK - 1))
+    cut = base.join(hint(edges), by).withColumn("_slice", _slice_of(F.col(value))).drop("_edges", "_coarse")
     per_slice = cut.groupBy(*by, "_slice").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     order = Window.partitionBy(*by).orderBy("_slice")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -60,9 +75,17 @@ def running_totals(
     offsets = per_slice.select(
         *by,
         "_slice",
+        *[f"_s_{m}" for m in measures],
         *[F.coalesce(F.sum(f"_s_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
         *[F.sum(f"_s_{m}").over(whole).alias(f"all_{m}") for m in measures],
     )
+    if ranks is not None:
+        first, held = F.col(f"_o_{measures[0]}"), F.col(f"_s_{measures[0]}")
+        hit = F.lit(False)
+        for r in ranks:
+            hit = hit | ((r >= first) & (r < first + held))
+        offsets = offsets.where(hit)
+    offsets = offsets.drop(*[f"_s_{m}" for m in measures])
     inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.join(hint(offsets), [*by, "_slice"])
     for m in measures:
@@ -79,10 +102,12 @@ def quantiles_from_counts(
     few_keys: bool = True,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per key with an array ``quantiles``."""
-    summed = running_totals(counts, keys, value, [n], few_keys=few_keys)
+    position = lambda p: (F.col(f"all_{n}") - 1) * F.lit(float(p))
+    targets = [r for p in probs for r in (F.floor(position(p)), F.ceil(position(p)))]
+    summed = running_totals(counts, keys, value, [n], few_keys=few_keys, ranks=targets)
     picks = []
     for i, p in enumerate(probs):
-        at = (F.col(f"all_{n}") - 1) * F.lit(float(p))
+        at = position(p)
         picks.append(F.min(F.when(F.col(f"cum_{n}") > F.floor(at), F.col(value))).alias(f"_lo{i}"))
         picks.append(F.min(F.when(F.col(f"cum_{n}") > F.ceil(at), F.col(value))).alias(f"_hi{i}"))
         picks.append(F.max(at - F.floor(at)).alias(f"_f{i}"))

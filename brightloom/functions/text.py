@@ -9,10 +9,6 @@ from pyspark.sql import Column, functions as F
 from brightloom.functions import fixed
 
 
-def _strings(words: Iterable[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def strip(text: Column) -> Column:
     """Trim every Unicode white-space character, not only blanks."""
     return F.btrim(text, F.lit(fixed.SPACE_CHARS))
@@ -33,8 +29,8 @@ def tokens(text: Column, pattern: str = fixed.WORD) -> Column:
 
 def search_terms(text: Column, stop_words: Iterable[str] = fixed.SEARCH_STOP_WORDS) -> Column:
     """Tokens without stop words, one trailing ``s`` removed from words over three letters."""
-    stops = _strings(stop_words)
-    kept = F.filter(tokens(text), lambda t: ~F.array_contains(stops, t))
+    stops = list(stop_words)
+    kept = F.filter(tokens(text), lambda t: ~t.isin(stops))
     return F.transform(
         kept,
         lambda t: F.when((F.length(t) > 3) & t.endswith("s"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t),
@@ -42,29 +38,27 @@ def search_terms(text: Column, stop_words: Iterable[str] = fixed.SEARCH_STOP_WOR
 
 
 def distinct_terms(text: Column, stop_words: Iterable[str]) -> Column:
-    stops = _strings(stop_words)
-    return F.array_distinct(F.filter(tokens(text), lambda t: ~F.array_contains(stops, t)))
+    stops = list(stop_words)
+    return F.array_distinct(F.filter(tokens(text), lambda t: ~t.isin(stops)))
 
 
 def content_keywords(text: Column) -> Column:
     """Distinct content words in first-seen order; short words survive only when numeric."""
-    stops = _strings(fixed.JUDGE_STOP_WORDS)
     bare = F.transform(tokens(text, fixed.DOTTED_WORD), lambda t: F.btrim(t, F.lit(".")))
     kept = F.filter(
         bare,
         lambda t: (t != "")
-        & ~F.array_contains(stops, t)
+        & ~t.isin(fixed.JUDGE_STOP_WORDS)
         & ((F.length(t) >= 3) | t.rlike("^[0-9]+$")),
     )
     return F.array_distinct(kept)
 
 
 def coverage_keywords(text: Column) -> Column:
-    stops = _strings(fixed.COVERAGE_STOP_WORDS)
     return F.array_distinct(
         F.filter(
             tokens(text, fixed.CONTRACTION_WORD),
-            lambda t: (F.length(t) >= 3) & ~F.array_contains(stops, t),
+            lambda t: (F.length(t) >= 3) & ~t.isin(fixed.COVERAGE_STOP_WORDS),
         )
     )
 

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightloom.functions import fixed, text as tx, vectors as vec
-from brightloom.functions.matching import ToMatrix, block_pair, bucket_counts, scan, stacked
+from brightloom.functions.matching import ToMatrix, block_pair, bucket_counts, scan, scan_terms, sparse_rows, stacked
 from brightloom.functions.ranking import top_k
 
 _HITS = "query_id long, item_id long, score double"
 MAX_LOCAL_QUERIES = 2000  # query vectors a task may hold at once
+MAX_LOCAL_TERMS = 200_000  # (query, term) rows a task may hold at once
 BLOCK_ROWS = 5000  # rows per side of a block pair beyond that
 
 
@@ -37,16 +39,13 @@ def bucket(term: Column, dim: int) -> Column:
 def hashed_embedding(df: DataFrame, row_id: str, text: str, dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
     """Sparse unit vectors (row_id, bucket, weight) of log-damped bucket counts.
 
-    A text without tokens has no rows (the zero vector). A row has at most
-    ``dim`` buckets, so the window that normalises it is bounded.
+    A text without tokens has no rows (the zero vector). A vector depends on
+    its own text only, so it is built on the row: Arrow batches of bucket
+    numbers in, sparse rows out, no shuffle.
     """
-    counts = (
-        df.select(row_id, F.explode(tx.tokens(F.col(text))).alias("t"))
-        .groupBy(row_id, bucket(F.col("t"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    damped = counts.select(row_id, "bucket", F.log1p(F.col("n").cast("double")).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(row_id)))
-    return damped.select(row_id, "bucket", (F.col("w") / length).alias("weight"))
+    rows = term_buckets(df.withColumnRenamed(row_id, "id"), "id", text, dim)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInPandas(sparse_rows(dim), f"id {kind}, bucket int, weight double").withColumnRenamed("id", row_id)
 
 
 def term_buckets(df: DataFrame, row_id: str, text: str, dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
@@ -118,36 +117,62 @@ def bm25_index(corpus: DataFrame, item_id: str, text: str) -> DataFrame:
     )
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, item_id: str, text: str, k: int) -> DataFrame:
-    """BM25 ranking of ``queries(query_id, text)``; repeated query words count repeatedly, score > 0 only.
+def _term_topk(
+    wanted: DataFrame, docs: DataFrame, k: int, mean_length: DataFrame | None = None, max_local: int | None = None
+) -> DataFrame:
+    """Top-k sums of term weights: ``wanted(query_id, term, w)`` against ``docs(item_id, tokens)``.
 
-    Postings are cut down to words some query uses before they are counted,
-    and meet the queries by equality on the word.
+    With ``mean_length`` (one value) counts are saturated as in BM25. A
+    counted, bounded query table travels to the tasks, which scan the texts
+    once and emit one top-k per partition; a larger one meets the postings by
+    equality on the word. Both ways are exact and agree.
     """
-    docs = _tokenised(corpus, item_id, text)
-    wanted = (
-        queries.select("query_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
-        .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    )
-    terms = wanted.select("term").distinct()
-    idf = bm25_index(corpus, item_id, text).join(terms, "term", "left_semi").select("term", "idf")
+    limit = MAX_LOCAL_TERMS if max_local is None else max_local
+    local = wanted.limit(limit + 1).toPandas()
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+    if len(local) <= limit:
+        if not len(local):
+            return _ranked(docs.sparkSession.createDataFrame([], _HITS), k)
+        ids, column = np.unique(local["query_id"].to_numpy(dtype=np.int64), return_inverse=True)
+        words, line = np.unique(local["term"].to_numpy(dtype=object), return_inverse=True)
+        weights = np.zeros((len(words), len(ids)))
+        np.add.at(weights, (line, column), local["w"].to_numpy(dtype=float))
+        saturation = None if mean_length is None else (k1, b, float(mean_length.first()[0]))
+        places = {w: i for i, w in enumerate(words)}
+        hits = docs.select(F.col("item_id").cast("long"), "tokens").mapInPandas(
+            scan_terms(ids, places, weights, k, saturation), _HITS
+        )
+        return _ranked(hits, k).where(F.col("score") > 0)
     postings = (
-        docs.select("item_id", "length", F.explode("tokens").alias("term"))
-        .join(terms, "term", "left_semi")
-        .groupBy("item_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        docs.select("item_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+        .join(wanted.select("term").distinct(), "term", "left_semi")
+        .groupBy("item_id", "length", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     )
-    mean_length = docs.agg(F.avg("length")).scalar()
-    k1, b = fixed.BM25_K1, fixed.BM25_B
     tf = F.col("tf")
-    weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean_length))
-    weighted = postings.join(idf, "term").select("item_id", "term", weight.alias("w"))
+    if mean_length is not None:
+        tf = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean_length.scalar()))
     scored = (
-        weighted.join(wanted, "term").groupBy("query_id", "item_id")
-        .agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+        postings.withColumn("tf", tf).join(wanted, "term").groupBy("query_id", "item_id")
+        .agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
     )
     return _ranked(scored, k).where(F.col("score") > 0)
 
 
+def bm25_topk(
+    queries: DataFrame, corpus: DataFrame, item_id: str, text: str, k: int, max_local: int | None = None
+) -> DataFrame:
+    """BM25 ranking of ``queries(query_id, text)``; repeated query words count repeatedly, score > 0 only."""
+    docs = _tokenised(corpus, item_id, text)
+    counted = (
+        queries.select("query_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
+        .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    )
+    wanted = counted.join(bm25_index(corpus, item_id, text), "term").select(
+        "query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")
+    )
+    return _term_topk(wanted, docs.select("item_id", "tokens"), k, docs.agg(F.avg("length")), max_local)
+
+
 # --- fusion ------------------------------------------------------------------------------
 
 
@@ -187,17 +212,13 @@ def hybrid(
 # --- keyword search --------------------------------------------------------------------------
 
 
-def keyword_search(queries: DataFrame, corpus: DataFrame, item_id: str, title: str, body: str, k: int) -> DataFrame:
+def keyword_search(
+    queries: DataFrame, corpus: DataFrame, item_id: str, title: str, body: str, k: int, max_local: int | None = None
+) -> DataFrame:
     """Per distinct query term, title hits count double; score > 0, ties by id."""
-    weighted = F.concat(
-        F.transform(tx.search_terms(F.col(title)), lambda t: F.struct(t.alias("term"), F.lit(2.0).alias("w"))),
-        F.transform(tx.search_terms(F.col(body)), lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("w"))),
+    heading = tx.search_terms(F.col(title))
+    docs = corpus.select(
+        F.col(item_id).alias("item_id"), F.concat(heading, heading, tx.search_terms(F.col(body))).alias("tokens")
     )
     wanted = queries.select("query_id", F.explode(F.array_distinct(tx.search_terms(F.col("text")))).alias("term"))
-    postings = (
-        corpus.select(F.col(item_id).alias("item_id"), F.explode(weighted).alias("p")).select("item_id", "p.*")
-        .join(wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy("item_id", "term").agg(F.sum("w").alias("w"))
-    )
-    scored = postings.join(wanted, "term").groupBy("query_id", "item_id").agg(F.sum("w").alias("score"))
-    return _ranked(scored, k).where(F.col("score") > 0)
+    return _term_topk(wanted.withColumn("w", F.lit(1.0)), docs, k, max_local=max_local)

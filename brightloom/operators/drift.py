@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.functions import fixed
 from brightloom.functions.ranking import quantiles_from_counts, running_totals
+from brightloom.session import checkpoint
 
 
 def feature_counts(df: DataFrame, columns: Sequence[str], kind: str, window: str | None = None) -> DataFrame:
@@ -42,28 +43,47 @@ def _floored(n: Column, total: Column) -> Column:
     return F.greatest(F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.lit(fixed.PSI_FLOOR))
 
 
+def _packed_bins(placed: DataFrame, *keys: str) -> DataFrame:
+    """Bin counts of a key as one map (a feature has at most ``bins`` bins) with their total."""
+    return placed.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("by_bin"), F.sum("n").alias("total")
+    )
+
+
+def place(counts: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
+    """(feature, keys…, bin, n); ``edges`` has one row per feature."""
+    cut = counts.where(F.col("value").isNotNull()).join(F.broadcast(edges), "feature")
+    return cut.groupBy("feature", *keys, bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(F.sum("n").alias("n"))
+
+
+def reference_profile(ref: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feature, edges, shares): floored reference share of every bin, empty ones included."""
+    share = lambda b: _floored(F.try_element_at("by_bin", b), F.col("total"))
+    return _packed_bins(place(ref, edges), "feature").join(F.broadcast(edges), "feature").select(
+        "feature", "edges", F.transform(F.sequence(F.lit(0), F.size("edges")), share).alias("shares")
+    )
+
+
+def psi_of_bins(bins: DataFrame, profile: DataFrame, *keys: str) -> DataFrame:
+    """(feature, keys…, psi) of bin counts against a profile; every bin of the profile counts."""
+    share = lambda b: _floored(F.try_element_at("by_bin", b), F.col("total"))
+    terms = F.transform("shares", lambda s, b: (share(b) - s) * F.log(share(b) / s))
+    joined = _packed_bins(bins, "feature", *keys).join(F.broadcast(profile), "feature")
+    return joined.select("feature", *keys, F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x).alias("psi"))
+
+
+def psi_numeric(ref: DataFrame, cur: DataFrame, bins: int = fixed.PSI_BINS) -> DataFrame:
+    """(feature, window, psi) over quantile bins of the reference."""
+    edges = bin_edges(ref.where(F.col("value").isNotNull()), bins)
+    return psi_of_bins(place(cur, edges, "window"), reference_profile(ref, edges), "window")
+
+
 def _psi_sum(full: DataFrame) -> DataFrame:
     ref = _floored(F.col("ref_n"), F.col("ref_total"))
     cur = _floored(F.col("cur_n"), F.col("cur_total"))
     return full.groupBy("feature", "window").agg(F.sum((cur - ref) * F.log(cur / ref)).alias("psi"))
 
 
-def psi_numeric(ref: DataFrame, cur: DataFrame, bins: int = fixed.PSI_BINS) -> DataFrame:
-    """(feature, window, psi) over quantile bins of the reference; every bin counts, empty or not."""
-    ref, cur = ref.where(F.col("value").isNotNull()), cur.where(F.col("value").isNotNull())
-    edges = bin_edges(ref, bins)
-    place = bin_of(F.col("value"), F.col("edges")).alias("bin")
-    ref_bins = ref.join(F.broadcast(edges), "feature").groupBy("feature", place).agg(F.sum("n").alias("ref_n"))
-    cur_bins = cur.join(F.broadcast(edges), "feature").groupBy("feature", "window", place).agg(F.sum("n").alias("cur_n"))
-    windows = cur_bins.groupBy("feature", "window").agg(F.sum("cur_n").alias("cur_total"))
-    totals = ref_bins.groupBy("feature").agg(F.sum("ref_n").alias("ref_total"))
-    grid = windows.join(edges, "feature").join(totals, "feature").select(
-        "feature", "window", "cur_total", "ref_total", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin")
-    )
-    full = grid.join(ref_bins, ["feature", "bin"], "left").join(cur_bins, ["feature", "window", "bin"], "left")
-    return _psi_sum(full)
-
-
 def psi_categorical(ref: DataFrame, cur: DataFrame) -> DataFrame:
     """PSI over the union of categories; nulls count in the denominators but form no bin."""
     ref_totals = ref.groupBy("feature").agg(F.sum("n").alias("ref_total"))
@@ -81,22 +101,40 @@ def psi_categorical(ref: DataFrame, cur: DataFrame) -> DataFrame:
     return _psi_sum(full)
 
 
-def ks_statistic(ref: DataFrame, cur: DataFrame) -> DataFrame:
+def reference_totals(ref: DataFrame, cur: DataFrame) -> DataFrame:
+    """Running reference counts at every value of either side: (feature, value, ref_n, cum_ref_n, all_ref_n)."""
+    known = F.col("value").isNotNull()
+    pooled = (
+        ref.where(known).select("feature", "value", F.col("n").alias("ref_n"))
+        .unionByName(cur.where(known).select("feature", "value", F.lit(0).cast("long").alias("ref_n")))
+        .groupBy("feature", "value").agg(F.sum("ref_n").alias("ref_n"))
+    )
+    return running_totals(pooled, ["feature"], "value", ["ref_n"])
+
+
+def edges_of_totals(totals: DataFrame, bins: int = fixed.PSI_BINS) -> DataFrame:
+    """The bin edges of ``bin_edges``, read off running totals that exist already."""
+    picks, points = [], []
+    for i in range(1, bins):
+        at = (F.col("all_ref_n") - 1) * F.lit(i * (1.0 / bins))
+        picks += [
+            F.min(F.when(F.col("cum_ref_n") > F.floor(at), F.col("value"))).alias(f"lo{i}"),
+            F.min(F.when(F.col("cum_ref_n") > F.ceil(at), F.col("value"))).alias(f"hi{i}"),
+            F.max(at - F.floor(at)).alias(f"f{i}"),
+        ]
+        points.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}"))
+    return totals.groupBy("feature").agg(*picks).select("feature", F.array_distinct(F.array(*points)).alias("edges"))
+
+
+def ks_of_totals(totals: DataFrame, cur: DataFrame) -> DataFrame:
     """(feature, window, ks_statistic, n_reference, n_current).
 
     The largest gap is reached at a window value or just below one, so each
     window needs the reference's running count only at its own values. The
     reference is totalled once, whatever the number of windows.
     """
-    ref, cur = ref.where(F.col("value").isNotNull()), cur.where(F.col("value").isNotNull())
-    pooled = (
-        ref.select("feature", "value", F.col("n").alias("ref_n"))
-        .unionByName(cur.select("feature", "value", F.lit(0).cast("long").alias("ref_n")))
-        .groupBy("feature", "value").agg(F.sum("ref_n").alias("ref_n"))
-    )
-    ref_cum = running_totals(pooled, ["feature"], "value", ["ref_n"])
-    cur_cum = running_totals(cur, ["feature", "window"], "value", ["n"])
-    at = cur_cum.join(ref_cum, ["feature", "value"])
+    cur_cum = running_totals(cur.where(F.col("value").isNotNull()), ["feature", "window"], "value", ["n"])
+    at = cur_cum.join(totals, ["feature", "value"])
     above = F.abs(F.col("cum_ref_n") / F.col("all_ref_n") - F.col("cum_n") / F.col("all_n"))
     below = F.abs(
         (F.col("cum_ref_n") - F.col("ref_n")) / F.col("all_ref_n") - (F.col("cum_n") - F.col("n")) / F.col("all_n")
@@ -108,6 +146,10 @@ def ks_statistic(ref: DataFrame, cur: DataFrame) -> DataFrame:
     )
 
 
+def ks_statistic(ref: DataFrame, cur: DataFrame) -> DataFrame:
+    return ks_of_totals(reference_totals(ref, cur), cur)
+
+
 def ks_critical(n_ref: Column, n_cur: Column, alpha: float = fixed.KS_ALPHA) -> Column:
     c = math.sqrt(-0.5 * math.log(alpha / 2.0))
     return F.lit(c) * F.sqrt((n_ref + n_cur) / (n_ref.cast("double") * n_cur))
@@ -124,11 +166,20 @@ def drift_report(
     reference: DataFrame, current: DataFrame, window: str, numeric: Sequence[str], categorical: Sequence[str],
     alpha: float = fixed.KS_ALPHA, retrain_alerts: int = fixed.RETRAIN_ALERTS,
 ) -> DataFrame:
-    """One row per (window, feature). Severity uses the unrounded values; ``retrain`` is per window."""
-    ref_num, cur_num = feature_counts(reference, numeric, "double"), feature_counts(current, numeric, "double", window)
+    """One row per (window, feature). Severity uses the unrounded values; ``retrain`` is per window.
+
+    The two tables that both PSI and KS need are written once through the
+    checkpoint folder, so the raw rows are read once per side.
+    """
+    ref_num = feature_counts(reference, numeric, "double")
+    cur_num = checkpoint(feature_counts(current, numeric, "double", window))
+    totals = checkpoint(reference_totals(ref_num, cur_num))
+    edges = edges_of_totals(totals)
+    in_ref = totals.where(F.col("ref_n") > 0).select("feature", "value", F.col("ref_n").alias("n"))
+    psi = psi_of_bins(place(cur_num, edges, "window"), reference_profile(in_ref, edges), "window")
     ref_cat, cur_cat = feature_counts(reference, categorical, "string"), feature_counts(current, categorical, "string", window)
-    ks = ks_statistic(ref_num, cur_num).withColumn("ks_critical", ks_critical(F.col("n_reference"), F.col("n_current"), alpha))
-    num = psi_numeric(ref_num, cur_num).join(ks, ["feature", "window"]).select(
+    ks = ks_of_totals(totals, cur_num).withColumn("ks_critical", ks_critical(F.col("n_reference"), F.col("n_current"), alpha))
+    num = psi.join(ks, ["feature", "window"]).select(
         "window", "feature", "psi", "ks_statistic", "ks_critical",
         severity(F.col("psi"), F.col("ks_statistic") > F.col("ks_critical")).alias("severity"),
     )

@@ -18,19 +18,7 @@ from brightloom.operators import drift as dr
 def frozen_profile(reference: DataFrame, columns: Sequence[str], bins: int = fixed.PSI_BINS) -> DataFrame:
     """(feature, edges, shares): floored reference share of every bin, one row per feature."""
     counts = dr.feature_counts(reference, columns, "double").where(F.col("value").isNotNull())
-    edges = dr.bin_edges(counts, bins)
-    placed = counts.join(F.broadcast(edges), "feature").groupBy(
-        "feature", "edges", dr.bin_of(F.col("value"), F.col("edges")).alias("bin")
-    ).agg(F.sum("n").alias("n"))
-    packed = placed.groupBy("feature", "edges").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("by_bin"), F.sum("n").alias("total")
-    )
-    share = lambda b: F.greatest(
-        F.coalesce(F.try_element_at("by_bin", b), F.lit(0)) / F.col("total"), F.lit(fixed.PSI_FLOOR)
-    )
-    return packed.select(
-        "feature", "edges", F.transform(F.sequence(F.lit(0), F.size("edges")), share).alias("shares")
-    )
+    return dr.reference_profile(counts, dr.bin_edges(counts, bins))
 
 
 def windowed_bins(
@@ -51,16 +39,8 @@ def windowed_bins(
 
 def window_verdicts(bins: DataFrame, profile: DataFrame) -> DataFrame:
     """(window_start, feature, psi, severity) from bin counts."""
-    packed = bins.groupBy("window_start", "feature").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("by_bin"), F.sum("n").alias("total")
-    )
-    joined = packed.join(F.broadcast(profile), "feature")
-    share = lambda b: F.greatest(
-        F.coalesce(F.try_element_at("by_bin", b), F.lit(0)) / F.col("total"), F.lit(fixed.PSI_FLOOR)
-    )
-    terms = F.transform("shares", lambda s, b: (share(b) - s) * F.log(share(b) / s))
-    psi = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-    return joined.select("window_start", "feature", psi.alias("psi")).withColumn("severity", dr.severity(F.col("psi")))
+    found = dr.psi_of_bins(bins, profile, "window_start")
+    return found.select("window_start", "feature", "psi", dr.severity(F.col("psi")).alias("severity"))
 
 
 def write_verdicts(profile: DataFrame, path: str) -> Callable[[DataFrame, int], None]:

@@ -28,6 +28,10 @@ class QueryRefused(ValueError):
     """The statement is not one read-only query over the registered tables."""
 
 
+class QueryTimedOut(TimeoutError):
+    """The query was cancelled at its deadline."""
+
+
 @dataclass
 class QueryResult:
     columns: list[str]
@@ -119,14 +123,23 @@ def run_select(
     cap = row_cap(max_rows)
     df = spark.sql(sql)
     context = spark.sparkContext
-    timer = None
+    timer, expired = None, threading.Event()
     if timeout_s is not None:
         group = f"guarded-{uuid.uuid4()}"
         context.setJobGroup(group, "guarded query", interruptOnCancel=True)
-        timer = threading.Timer(timeout_s, context.cancelJobGroup, [group])
+
+        def stop() -> None:
+            expired.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(timeout_s, stop)
         timer.start()
     try:
         rows = df.limit(cap + 1).collect()
+    except Exception as err:
+        if expired.is_set():
+            raise QueryTimedOut(f"query exceeded {timeout_s} s") from err
+        raise
     finally:
         if timer is not None:
             timer.cancel()

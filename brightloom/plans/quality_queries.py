@@ -195,6 +195,7 @@ full_rep AS (SELECT "window", feature, round(psi, 6) AS psi, round(ks, 6) AS ks_
 
 
 _ALL, _MONTH = _drift_ctes("'all'"), _drift_ctes("strftime(l_shipdate, '%Y-%m')")
+_D = lambda x: f"round(({x})::DECIMAL(18,10), 4)::DOUBLE"  # noqa: E731  (half up on the decimal digits)
 _REQ = f"prod + {fixed.PROMOTION_MARGIN}"
 
 ORACLES = {
@@ -223,11 +224,11 @@ c AS (SELECT CASE WHEN model = 'by_balance' THEN 'b' ELSE 'a' END AS line, model
 j AS (SELECT c.*, i.auc AS prod FROM c LEFT JOIN c i ON i.line = c.line AND i.candidate = 'by_tenure')
 SELECT line, candidate, auc >= 0.7 AND brier <= 0.2 AND (prod IS NULL OR auc >= {_REQ}) AS promote,
   array_to_string(list_filter([
-    CASE WHEN auc < 0.7 THEN printf('candidate auc %.4f below floor 0.70', auc) END,
-    CASE WHEN brier > 0.2 THEN printf('candidate brier %.4f above cap 0.20', brier) END,
+    CASE WHEN auc < 0.7 THEN printf('candidate auc %.4f below floor 0.70', {_D('auc')}) END,
+    CASE WHEN brier > 0.2 THEN printf('candidate brier %.4f above cap 0.20', {_D('brier')}) END,
     CASE WHEN prod IS NULL AND auc >= 0.7 AND brier <= 0.2 THEN 'no production model - first promotion' END,
-    CASE WHEN auc >= {_REQ} THEN printf('candidate auc %.4f beats production %.4f + margin 0.005', auc, prod) END,
-    CASE WHEN auc < {_REQ} THEN printf('candidate auc %.4f < required %.4f (production %.4f + margin 0.005)', auc, {_REQ}, prod) END
+    CASE WHEN auc >= {_REQ} THEN printf('candidate auc %.4f beats production %.4f + margin 0.005', {_D('auc')}, {_D('prod')}) END,
+    CASE WHEN auc < {_REQ} THEN printf('candidate auc %.4f < required %.4f (production %.4f + margin 0.005)', {_D('auc')}, {_D(_REQ)}, {_D('prod')}) END
   ], lambda x: x IS NOT NULL), '; ') AS reasons FROM j""",
     "registry_state": """WITH a AS (SELECT user_id AS model, event_id AS seq, (props->>'k')::BIGINT AS version FROM events
   WHERE event_type IN ('purchase', 'error')),

@@ -9,6 +9,8 @@ from brightloom.operators import forecasting as fc, series as ts
 from brightloom.sources.tables import table
 
 HORIZON, N_FOLDS, MIN_TRAIN, ALPHA = 28, 5, 365, 0.1
+# Grid values come from the same operations in both engines and are compared as they are;
+# averages depend on the summation order and are rounded.
 SEASONS = {"seasonal_naive_1": 1, "seasonal_naive_7": 7, "seasonal_naive_28": 28}
 _LAYOUT = (HORIZON, N_FOLDS, MIN_TRAIN)
 
@@ -33,12 +35,11 @@ def daily_series(spark, sf):
 
 
 def gap_fill(spark, sf):
-    return _rounded(_grid(spark, sf), "y")
+    return _grid(spark, sf)
 
 
 def lag_features(spark, sf):
-    out = _grid(spark, sf).withColumns(ts.lag_columns())
-    return _rounded(out, "y", *[f"lag_{k}" for k in fixed.LAGS])
+    return _grid(spark, sf).withColumns(ts.lag_columns())
 
 
 def rolling_features(spark, sf):
@@ -60,7 +61,7 @@ def training_table(spark, sf):
 
 
 def seasonal_naive(spark, sf):
-    return _rounded(ts.naive_forecast(_grid(spark, sf), HORIZON), "yhat")
+    return ts.naive_forecast(_grid(spark, sf), HORIZON)
 
 
 def backtest_folds(spark, sf):
@@ -68,7 +69,7 @@ def backtest_folds(spark, sf):
 
 
 def backtest_naive(spark, sf):
-    return _rounded(ts.naive_backtest(_grid(spark, sf), SEASONS, *_LAYOUT), "y", "yhat")
+    return ts.naive_backtest(_grid(spark, sf), SEASONS, *_LAYOUT)
 
 
 def _fold_metrics(spark, sf):
@@ -111,7 +112,7 @@ def conformal_coverage(spark, sf):
 
 
 def anomaly_flags(spark, sf):
-    return _rounded(ts.anomaly_flags(_grid(spark, sf)), "y", "zscore")
+    return _rounded(ts.anomaly_flags(_grid(spark, sf)), "zscore")
 
 
 def ets_backtest(spark, sf):
@@ -194,9 +195,9 @@ widths AS (SELECT {keys}, max(a) FILTER (r = ceil(ceil((n + 1) * {1 - ALPHA}::DO
 
 ORACLES = {
     "daily_series": f"WITH {_DAILY} SELECT series_id, ds, round(y, 8) AS y FROM daily",
-    "gap_fill": f"WITH {_GRID} SELECT series_id, ds, round(y, 8) AS y FROM grid",
-    "lag_features": f"WITH {_GRID}, l AS (SELECT *, {_LAG} FROM grid) SELECT series_id, ds, round(y, 8) AS y, "
-    + ", ".join(f"round(lag_{k}, 8) AS lag_{k}" for k in fixed.LAGS) + " FROM l",
+    "gap_fill": f"WITH {_GRID} SELECT series_id, ds, y FROM grid",
+    "lag_features": f"WITH {_GRID}, l AS (SELECT *, {_LAG} FROM grid) SELECT series_id, ds, y, "
+    + ", ".join(f"lag_{k}" for k in fixed.LAGS) + " FROM l",
     "rolling_features": f"WITH {_GRID}, r AS (SELECT *, {_ROLL} FROM grid WINDOW {_ROLL_WINDOW}) SELECT series_id, ds, "
     + ", ".join(f"round(roll_{s}_{w}, 7) AS roll_{s}_{w}" for w in fixed.ROLL_WINDOWS for s in ("mean", "std")) + " FROM r",
     "calendar_features": f"""WITH {_GRID} SELECT series_id, ds, isodow(ds) - 1 AS dayofweek, month(ds) AS month,
@@ -208,11 +209,11 @@ SELECT series_id, count(*) AS rows, min(ds) AS first_ds, max(ds) AS last_ds, rou
   round(avg(roll_std_7), 8) AS mean_std_7 FROM r WHERE lag_28 IS NOT NULL AND roll_std_28 IS NOT NULL GROUP BY 1""",
     "seasonal_naive": f"""WITH {_FOLDS}, h AS (SELECT unnest(range(1, {HORIZON + 1})) AS h),
 last AS (SELECT series_id, max(ds) AS e, max(n) AS n FROM numbered GROUP BY 1)
-SELECT l.series_id, (l.e + h::INT)::DATE AS ds, round(s.y, 8) AS yhat FROM last l, h
+SELECT l.series_id, (l.e + h::INT)::DATE AS ds, s.y AS yhat FROM last l, h
 JOIN numbered s ON s.rn = n - 7 + (h - 1) % 7 AND s.series_id = l.series_id""",
     "backtest_folds": f"""WITH {_FOLDS} SELECT series_id, fold, origin AS train_end, origin AS test_start,
   origin + {HORIZON} AS test_end FROM folds""",
-    "backtest_naive": f"WITH {_PRED} SELECT series_id, fold, model, ds, round(y, 8) AS y, round(yhat, 8) AS yhat FROM pred",
+    "backtest_naive": f"WITH {_PRED} SELECT series_id, fold, model, ds, y, yhat FROM pred",
     "forecast_metrics": f"""WITH {_METRICS} SELECT series_id, fold, model, round(mae, 8) AS mae, round(rmse, 8) AS rmse,
   round(smape, 8) AS smape, round(mase, 8) AS mase FROM m""",
     "model_selection": f"""WITH {_METRICS}, a AS (SELECT series_id, model, avg(mae) AS mae, avg(rmse) AS rmse, avg(smape) AS smape,
@@ -239,5 +240,5 @@ d AS (SELECT *, abs(e - med) AS dev FROM q),
 s AS (SELECT *, CASE WHEN count(dev) OVER w >= 28 THEN quantile_cont(dev, 0.5) OVER w END AS mad FROM d
   WINDOW w AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN 55 PRECEDING AND CURRENT ROW)),
 z AS (SELECT series_id, ds, y, (e - med) / nullif({fixed.MAD_TO_SIGMA} * mad, 0) AS zscore FROM s)
-SELECT series_id, ds, round(y, 8) AS y, round(zscore, 8) AS zscore, coalesce(abs(zscore) > 3, false) AS is_anomaly FROM z""",
+SELECT series_id, ds, y, round(zscore, 8) AS zscore, coalesce(abs(zscore) > 3, false) AS is_anomaly FROM z""",
 }

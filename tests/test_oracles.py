@@ -20,7 +20,7 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query(spark, small, con, name):
-    ok, message, _ = compare(spark, con, small, name, QUERIES[name], ORACLES.get(name))
+    ok, message, _ = compare(spark, con, small, name, QUERIES[name], ORACLES.get(name), close=True)
     assert ok, message
 
 

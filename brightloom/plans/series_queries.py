@@ -44,7 +44,7 @@ def lag_features(spark, sf):
 
 def rolling_features(spark, sf):
     out = _grid(spark, sf).withColumns(ts.rolling_columns()).drop("y")
-    return _rounded(out, *[f"roll_{s}_{w}" for w in fixed.ROLL_WINDOWS for s in ("mean", "std")], digits=7)
+    return _rounded(out, *[f"roll_{s}_{w}" for w in fixed.ROLL_WINDOWS for s in ("mean", "std")], digits=9)
 
 
 def calendar_features(spark, sf):
@@ -199,7 +199,7 @@ ORACLES = {
     "lag_features": f"WITH {_GRID}, l AS (SELECT *, {_LAG} FROM grid) SELECT series_id, ds, y, "
     + ", ".join(f"lag_{k}" for k in fixed.LAGS) + " FROM l",
     "rolling_features": f"WITH {_GRID}, r AS (SELECT *, {_ROLL} FROM grid WINDOW {_ROLL_WINDOW}) SELECT series_id, ds, "
-    + ", ".join(f"round(roll_{s}_{w}, 7) AS roll_{s}_{w}" for w in fixed.ROLL_WINDOWS for s in ("mean", "std")) + " FROM r",
+    + ", ".join(f"round(roll_{s}_{w}, 9) AS roll_{s}_{w}" for w in fixed.ROLL_WINDOWS for s in ("mean", "std")) + " FROM r",
     "calendar_features": f"""WITH {_GRID} SELECT series_id, ds, isodow(ds) - 1 AS dayofweek, month(ds) AS month,
   (isodow(ds) >= 6)::INT AS is_weekend, (day(ds) = 1)::INT AS is_month_start, (ds = last_day(ds))::INT AS is_month_end,
   round(sin(2 * pi() * dayofyear(ds) / 365.25), 8) AS doy_sin, round(cos(2 * pi() * dayofyear(ds) / 365.25), 8) AS doy_cos

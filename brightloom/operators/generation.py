@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.functions import fixed, text as tx
+from brightloom.functions.partitions import spread
 from brightloom.functions.sequences import lcs_series, ratio_series
 
 Judge = Callable[[DataFrame, str, str], DataFrame]
@@ -115,7 +116,7 @@ def keyword_judge(df: DataFrame, expected: str, actual: str) -> DataFrame:
 def answer_scores(df: DataFrame, expected: str, actual: str, judge: Judge | None = keyword_judge) -> DataFrame:
     """Adds exact, fuzzy, score (and the judge's columns): exact answers 1, else fuzzy, averaged with the judge."""
     ratio = F.pandas_udf(ratio_series, "double")
-    shaped = df.withColumn("_e", tx.strip(F.col(expected))).withColumn("_a", tx.strip(F.col(actual)))
+    shaped = spread(df).withColumn("_e", tx.strip(F.col(expected))).withColumn("_a", tx.strip(F.col(actual)))
     if judge is not None:
         shaped = judge(shaped, "_e", "_a")
     shaped = shaped.withColumn("exact", (F.lower("_e") == F.lower("_a")) & (F.col("_e") != "")).withColumn("fuzzy", ratio("_e", "_a"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightloom.functions import fixed, text as tx, vectors as vec
 from brightloom.functions.matching import ToMatrix, block_pair, bucket_counts, scan, scan_terms, sparse_rows, stacked
+from brightloom.functions.partitions import spread
 from brightloom.functions.ranking import top_k
 
 _HITS = "query_id long, item_id long, score double"
@@ -50,7 +51,7 @@ def hashed_embedding(df: DataFrame, row_id: str, text: str, dim: int = fixed.EMB
 
 def term_buckets(df: DataFrame, row_id: str, text: str, dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
     """(id, vector) with the bucket number of every token; stays on its row, no shuffle."""
-    return df.select(F.col(row_id), F.transform(tx.tokens(F.col(text)), lambda t: bucket(t, dim)).alias("vector"))
+    return spread(df.select(row_id, text)).select(F.col(row_id), F.transform(tx.tokens(F.col(text)), lambda t: bucket(t, dim)).alias("vector"))
 
 
 def normalized(df: DataFrame, vector: str) -> DataFrame:
@@ -95,7 +96,7 @@ def vector_topk(
 
 def _tokenised(corpus: DataFrame, item_id: str, text: str) -> DataFrame:
     tokens = tx.tokens(F.col(text))
-    return corpus.select(F.col(item_id).alias("item_id"), tokens.alias("tokens"), F.size(tokens).alias("length"))
+    return spread(corpus.select(item_id, text)).select(F.col(item_id).alias("item_id"), tokens.alias("tokens"), F.size(tokens).alias("length"))
 
 
 def bm25_index(corpus: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -217,7 +218,7 @@ def keyword_search(
 ) -> DataFrame:
     """Per distinct query term, title hits count double; score > 0, ties by id."""
     heading = tx.search_terms(F.col(title))
-    docs = corpus.select(
+    docs = spread(corpus.select(item_id, title, body)).select(
         F.col(item_id).alias("item_id"), F.concat(heading, heading, tx.search_terms(F.col(body))).alias("tokens")
     )
     wanted = queries.select("query_id", F.explode(F.array_distinct(tx.search_terms(F.col("text")))).alias("term"))

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.functions import fixed, text as tx
+from brightloom.functions.partitions import spread
 from brightloom.functions.ranking import shuffled_rank
 
 
 def chunk_table(df: DataFrame, pieces: Column, *keep: str) -> DataFrame:
     """One row per chunk with ``position`` from 0 per document and the kept metadata."""
-    return df.select(*keep, F.posexplode(pieces).alias("position", "chunk"))
+    return spread(df).select(*keep, F.posexplode(pieces).alias("position", "chunk"))
 
 
 def chunk_documents(
@@ -28,14 +29,14 @@ def chunk_documents(
 def term_counts(df: DataFrame, row_id: str, text: str, pattern: str = fixed.WORD) -> DataFrame:
     """(row_id, term, tf). Terms of one row meet on the map side, so hot words cost little."""
     return (
-        df.select(row_id, F.explode(tx.tokens(F.col(text), pattern)).alias("term"))
+        spread(df.select(row_id, text)).select(row_id, F.explode(tx.tokens(F.col(text), pattern)).alias("term"))
         .groupBy(row_id, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
 def scrub_pii(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: tx.scrub(F.col(c)) for c in columns})
+    return spread(df).withColumns({c: tx.scrub(F.col(c)) for c in columns})
 
 
 def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -75,7 +76,7 @@ def cleaning_report(
     per key the survivor is the smallest id.
     """
     new_i, new_r = tx.scrub(F.col(instruction)), tx.scrub(F.col(response))
-    flags = df.select(F.col(row_id), F.col(instruction).alias("_i"), new_i.alias("_ni"),
+    flags = spread(df).select(F.col(row_id), F.col(instruction).alias("_i"), new_i.alias("_ni"),
                       F.col(response).alias("_r"), new_r.alias("_nr")).select(
         tx.dedupe_key(F.col("_ni")).alias("_key"),
         F.col(row_id).alias("_id"),

@@ -9,6 +9,7 @@ from brightloom.operators import classification as cl, features as ft, models as
 from brightloom.plans.bindings import (
     CATEGORICAL, CUSTOMERS_SQL, NUMERIC, SCORE_MODELS, SCORED_SQL, customer_features, scored_customers,
 )
+from brightloom.session import checkpoint
 from brightloom.sources.tables import table
 
 METRICS = ["roc_auc", "pr_auc", "f1", "brier", "accuracy"]
@@ -109,7 +110,8 @@ def quarantine(spark, sf):
 
 
 def _prepared(spark, sf):
-    c = ft.stratified_holdout(customer_features(spark, sf), "label", "customer_id", 0.2)
+    # Every fit reads these rows many times, so the joined features are written once.
+    c = checkpoint(ft.stratified_holdout(customer_features(spark, sf), "label", "customer_id", 0.2))
     train = c.where(F.col("part") == "train")
     prepared = md.Prepared(train, NUMERIC, CATEGORICAL)
     return prepared.apply(train), prepared.apply(c.where(F.col("part") == "test"))

@@ -133,7 +133,9 @@ def ks_of_totals(totals: DataFrame, cur: DataFrame) -> DataFrame:
     window needs the reference's running count only at its own values. The
     reference is totalled once, whatever the number of windows.
     """
-    cur_cum = running_totals(cur.where(F.col("value").isNotNull()), ["feature", "window"], "value", ["n"])
+    # The number of windows has no bound of its own, so Spark picks the join by size.
+    known = cur.where(F.col("value").isNotNull())
+    cur_cum = running_totals(known, ["feature", "window"], "value", ["n"], few_keys=False)
     at = cur_cum.join(totals, ["feature", "value"])
     above = F.abs(F.col("cum_ref_n") / F.col("all_ref_n") - F.col("cum_n") / F.col("all_n"))
     below = F.abs(

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brightloom.llm import bpe, chat, mixing
+from brightloom.llm import bpe, chat, mixing, quality
 from brightloom.sources.tables import table
 
 
@@ -26,6 +26,15 @@ def op3_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -46,7 +55,7 @@ def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op9_chat": op9_chat}
+QUERIES = {"op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op9_chat": op9_chat}
 
 OP2_SQL = r"""
 WITH sized AS (

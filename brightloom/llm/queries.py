@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brightloom.llm import bpe, chat, mixing, quality
+from brightloom.llm import bpe, chat, mixing, quality, urls
 from brightloom.sources.tables import table
 
 
@@ -35,6 +35,12 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    counts = urls.word_counts(pages, "html")
+    return urls.judge(pages.select("page_id", "url"), counts).select("page_id", "host", "path", "rule", "verdict", "block_odds")
+
+
 def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -55,7 +61,10 @@ def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op9_chat": op9_chat}
+QUERIES = {
+    "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_url_filter": op5_url_filter,
+    "op9_chat": op9_chat,
+}
 
 OP2_SQL = r"""
 WITH sized AS (

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Fixed value: the pattern that cuts text into the pieces merges stay within.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_PIECES, CACHED_BYTES, BLOCK_CHARS = 1_000_000, 64, 4_000_000
+CACHED_PIECES, CACHED_BYTES, BLOCK_CHARS = 300_000, 64, 1_000_000
 _NONE = 1 << 62
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brightloom.llm import bpe, chat, mixing, quality, urls
+from brightloom.llm import bpe, chat, exact_dedup, mixing, quality, urls
 from brightloom.sources.tables import table
 
 
@@ -41,6 +41,11 @@ def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(pages.select("page_id", "url"), counts).select("page_id", "host", "path", "rule", "verdict", "block_odds")
 
 
+def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = exact_dedup.classify(table(spark, sf, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -63,7 +68,7 @@ def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_url_filter": op5_url_filter,
-    "op9_chat": op9_chat,
+    "op8_exact_dedup": op8_exact_dedup, "op9_chat": op9_chat,
 }
 
 OP2_SQL = r"""
@@ -95,6 +100,16 @@ rates AS (
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies FROM copied
 """
 
+OP8_SQL = """
+WITH normal AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normalised FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, text_sha256
+FROM normal WINDOW same AS (PARTITION BY normalised)
+"""
+
 OP9_SQL = r"""
 WITH rows_in AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -115,4 +130,4 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
 FROM joined
 """.replace("{break}", chat._BREAK).replace("{frame}", str(len(chat.START) + len(chat.END) + 2))
 
-ORACLES = {"op2_mixing": OP2_SQL, "op9_chat": OP9_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat": OP9_SQL}

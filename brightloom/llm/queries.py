@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brightloom.llm import bpe, chat, exact_dedup, mixing, quality, urls
+from brightloom.llm import bpe, chat, exact_dedup, jaccard, mixing, quality, urls
 from brightloom.sources.tables import table
 
 
@@ -46,6 +46,10 @@ def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.classify(table(spark, sf, "documents"), width=4, percent=85)
+
+
 def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -69,6 +73,7 @@ def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_url_filter": op5_url_filter,
     "op8_exact_dedup": op8_exact_dedup, "op9_chat": op9_chat,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 OP2_SQL = r"""

@@ -14,14 +14,16 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 #: Fixed value: the pattern that cuts text into the pieces merges stay within.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED_PIECES, CACHED_BYTES, BLOCK_CHARS = 300_000, 64, 1_000_000
+BATCH_ROWS = 256
 _NONE = 1 << 62
 
 
@@ -230,12 +232,17 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "d
 def _mapped(
     df: DataFrame, source: str, target: str, kind: str, vocabulary: str, work: Callable[[Codec, Iterable], list]
 ) -> DataFrame:
-    """Rows stay in their partitions; only the one column goes to Python."""
+    """Rows stay in their partitions and come back in small batches."""
+    schema = StructType([f for f in df.schema.fields if f.name != target]).add(target, kind)
+    at, names, made = df.columns.index(source), [c for c in df.columns if c != target], pa.binary() if kind == "binary" else pa.string()
 
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(vocabulary)
         for batch in batches:
-            yield pd.Series(work(known, batch), dtype=object)
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                new = pa.array(work(known, part.column(at).to_pylist()), made)
+                yield pa.RecordBatch.from_arrays([part.column(names_at[c]) for c in names] + [new], [*names, target])
 
-    return df.withColumn(target, run(F.col(f"`{source}`")))
+    names_at = {c: i for i, c in enumerate(df.columns)}
+    return df.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brightloom.llm import bpe, chat, exact_dedup, jaccard, mixing, quality, urls
+from brightloom.llm import bpe, chat, exact_dedup, jaccard, mixing, quality, sharding, sketches, urls
 from brightloom.sources.tables import table
 
 
@@ -41,6 +41,18 @@ def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(pages.select("page_id", "url"), counts).select("page_id", "host", "path", "rule", "verdict", "block_odds")
 
 
+#: Bytes of text per shard.
+SHARD_BYTES = 1 << 20
+
+
+def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign(table(spark, sf, "documents"), SHARD_BYTES)
+
+
+def op7_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = exact_dedup.classify(table(spark, sf, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -53,7 +65,10 @@ def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
     records = chat.gather(rows.unionByName(extra), "conv_id", "turn", "role", "text")
     written = chat.format_records(records, ["messages"]).select("conv_id", "formatted", "loss_mask")
     read = written.withColumn("turns", chat.parse_turns(F.col("formatted")))
@@ -72,7 +87,7 @@ def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_url_filter": op5_url_filter,
-    "op8_exact_dedup": op8_exact_dedup, "op9_chat": op9_chat,
+    "op6_sharding": op6_sharding, "op7_fingerprints": op7_fingerprints, "op8_exact_dedup": op8_exact_dedup, "op9_chat": op9_chat,
     "op10_ngram_join": op10_ngram_join,
 }
 
@@ -105,6 +120,26 @@ rates AS (
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies FROM copied
 """
 
+OP6_SQL = f"""
+WITH hashed AS (
+  SELECT row_number() OVER () AS row_no, doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS hash
+  FROM documents
+), nested AS (
+  SELECT h.*, d.depth, h.hash >> (60 - d.depth) AS prefix FROM hashed h, (SELECT unnest(range(0, 61))::INT AS depth) d
+), totals AS (
+  SELECT depth, prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM nested GROUP BY depth, prefix
+), ranked AS (
+  SELECT n.row_no, n.doc_id, n.bytes, n.depth, n.prefix, t.shard_bytes, t.shard_rows,
+         row_number() OVER (PARTITION BY n.row_no ORDER BY n.depth) AS nth
+  FROM nested n JOIN totals t USING (depth, prefix)
+  WHERE t.shard_bytes <= {SHARD_BYTES} OR t.shard_rows = 1 OR n.depth = 60
+)
+SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_bytes, shard_rows,
+       shard_bytes <= {SHARD_BYTES} AS fits
+FROM ranked WHERE nth = 1
+"""
+
 OP8_SQL = """
 WITH normal AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256,
@@ -135,4 +170,4 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
 FROM joined
 """.replace("{break}", chat._BREAK).replace("{frame}", str(len(chat.START) + len(chat.END) + 2))
 
-ORACLES = {"op2_mixing": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op6_sharding": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat": OP9_SQL}

@@ -48,6 +48,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
+    """Rows of ``counts`` with the largest ``n``: as many whole levels as hold at most ``limit`` rows.
+
+    A level spans an eighth of a power of two, so only some hundred totals reach
+    the driver, equal counts stay together, and no task ranks all rows.
+    """
+    level = F.floor(F.log2(F.col(n)) * 8).cast("int")
+    held = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True)
+    lowest, total = held[0]["level"] + 1 if held else 0, 0
+    for row in held:
+        total += row["rows"]
+        if total > limit:
+            break
+        lowest = row["level"]
+    return counts.where(level >= lowest)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

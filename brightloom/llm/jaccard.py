@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, Window
 
-from brightloom.llm.common import stored, unused
+from brightloom.llm.common import most_frequent, stored, unused
 from brightloom.llm.components import components
 
 #: Size of the order's table of frequent n-grams and the document count from which one is listed.
@@ -126,7 +126,7 @@ def _order(docs: DataFrame, width: int, percent: int) -> Order:
             yield pa.RecordBatch.from_arrays([pa.array(_long(terms)), pa.array(counts.astype(np.int32))], ["term", "n"])
 
     counted = docs.select("text").mapInArrow(run, "term long, n int").groupBy("term").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= ORDER_MIN).orderBy(F.desc("n"), "term").limit(ORDER_TERMS).toArrow()
+    top = most_frequent(stored(counted.where(F.col("n") >= ORDER_MIN), "frequent"), ORDER_TERMS).toArrow()
     terms = top["term"].to_numpy().astype(np.int64).view(np.uint64)
     sort = np.argsort(terms)
     return Order(terms[sort], top["n"].to_numpy().astype(np.int64)[sort])

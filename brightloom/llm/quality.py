@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brightloom.llm.common import stored, unused
 
 DIMENSIONS = 1 << 18
-#: Most labelled rows a model is fitted on: those with the smallest hash of their id. Every row is scored.
+#: Labelled rows that a model is fitted on, within a few hundredths; chosen by the hash of their id. Every row is scored.
 TRAINING_ROWS = 8_000
 EPOCHS = 3
 THRESHOLD = 0.7
@@ -115,15 +115,17 @@ def train(
 
     Label rows without id or label are left out; texts may be null or empty.
     Repeated ids count as often as they occur. Without any labelled row all
-    weights are 0 and every score is 0.5. The sample is bounded by ``rows``;
+    weights are 0 and every score is 0.5. The sample has about ``rows`` rows;
     its features stream through one task in an order hashed per epoch, so the
     fit needs memory for one batch and the weights only.
     """
-    chosen = (
+    usable = (
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("label"))
         .where("doc_id is not null and label is not null").where(~held_out(F.col("doc_id")))
-        .orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "label").limit(rows)
     )
+    # the rows whose hashed id lies in the lowest share of the range: spread over the tasks, nothing is ranked
+    share = min(1.0, rows / max(1, usable.count()))
+    chosen = usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(stored(chosen, "labelled"), "doc_id")
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

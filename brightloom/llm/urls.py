@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brightloom.llm.common import ascii_lower
+from brightloom.llm.common import ascii_lower, most_frequent, stored
 
 #: (verdict, rule); a rule is a host and the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -49,11 +49,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 
 
 def word_counts(texts: DataFrame, column: str, words: int = WORDS) -> dict[str, int]:
-    """The ``words`` most frequent runs of a-z (2 to 20 letters) outside tags; counted over all rows, ties by spelling."""
+    """The most frequent runs of a-z (2 to 20 letters) outside tags, ``words`` at most; counted over all rows."""
     plain = F.regexp_replace(ascii_lower(F.col(f"`{column}`")), "<[^>]*>", " ")
     found = F.regexp_extract_all(plain, F.lit(rf"\b[a-z]{{2,{LONGEST_WORD}}}\b"), F.lit(0))
     counted = texts.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()}
+    top = most_frequent(stored(counted.where("n > 1"), "words"), words)
+    return {r["word"]: r["n"] for r in top.collect()}
 
 
 class Segmenter:

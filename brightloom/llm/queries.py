@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brightloom.llm import bpe, chat, exact_dedup, jaccard, mixing, quality, sharding, sketches, urls
+from brightloom.llm import bpe, chat, exact_dedup, html_text, jaccard, mixing, quality, sharding, sketches, urls
 from brightloom.sources.tables import table
 
 
+def op1_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf, "documents"))
 
@@ -86,7 +90,7 @@ def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_url_filter": op5_url_filter,
+    "op1_html_text": op1_html_text, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding, "op7_fingerprints": op7_fingerprints, "op8_exact_dedup": op8_exact_dedup, "op9_chat": op9_chat,
     "op10_ngram_join": op10_ngram_join,
 }

@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brightloom.llm.common import ascii_lower, fresh_path, stored, unused
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; no disk is set aside in advance, as a state has many small stores.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(normalised: Column) -> Column:
@@ -50,8 +53,9 @@ class DigestState:
     def absorb(self, keys_path: str) -> None:
         """Stream every key file not seen before into the state; returns when all are in."""
         conf = self.spark.conf
-        before = conf.get(_PROVIDER, None)
-        conf.set(_PROVIDER, _ROCKSDB)
+        before = {key: conf.get(key, None) for key in _STATE}
+        for key, value in _STATE.items():
+            conf.set(key, value)
         try:
             keys = self.spark.readStream.schema(self.spark.read.parquet(keys_path).schema).parquet(keys_path)
             held = keys.groupBy("digest").agg(
@@ -63,10 +67,11 @@ class DigestState:
             )
             query.awaitTermination()
         finally:
-            if before is None:
-                conf.unset(_PROVIDER)
-            else:
-                conf.set(_PROVIDER, before)
+            for key, value in before.items():
+                if value is None:
+                    conf.unset(key)
+                else:
+                    conf.set(key, value)
 
     def entries(self) -> DataFrame:
         """digest, group_size, keep_id, kept_at: the state as of its last batch."""

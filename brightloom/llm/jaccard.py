@@ -33,18 +33,6 @@ PIVOT_SPAN = 4096
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-class _Words(dict):
-    """word -> 64-bit hash; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     """A permutation of the 64-bit numbers."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(seed | 1)
@@ -52,17 +40,41 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, width: int, words: dict) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word runs of a whole text, A-Z lower-cased; all words as one if fewer."""
-    found = (text or "").encode("utf-8", "replace").lower().split()
-    if not found:
+#: Hash of each letter in each of the first 64 places of a word; a word's hash sums those of its letters.
+_PLACES = 64
+_LETTERS = _mixed(np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(1), _SEEDS[1])
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """One hash per word of a whole text, in order, A-Z lower-cased."""
+    raw = np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8)
+    inside = ~_BLANK[raw]
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
         return np.zeros(0, np.uint64)
-    codes = np.asarray([words[w] for w in found], np.uint64)
+    letters = raw[inside]
+    offsets = np.cumsum(lengths) - lengths
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(offsets.astype(np.int32), lengths)
+    if lengths.max() <= _PLACES:
+        hashed = _LETTERS.take((place << 8) + letters)
+    else:
+        hashed = _mixed(((place.astype(np.int64) << 8) + letters + 1).astype(np.uint64), _SEEDS[1])
+    return _mixed(np.add.reduceat(hashed, offsets) ^ lengths.astype(np.uint64), _SEEDS[2])
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the ``width``-word runs of a whole text; all words as one run if fewer."""
+    codes = word_hashes(text)
+    if not len(codes):
+        return codes
     width = min(width, len(codes))
     runs = np.full(len(codes) - width + 1, width, np.uint64)
     for i in range(width):
         runs = _mixed(runs ^ codes[i : len(codes) - width + 1 + i], _SEEDS[0])
-    return np.unique(runs)
+    runs.sort()
+    return runs[np.concatenate(([True], runs[1:] != runs[:-1]))]
 
 
 def node_of(items: np.ndarray) -> int:
@@ -98,9 +110,8 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 def _keyed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for batch in batches:
-            sets = [shingles(t.as_py(), width, words) for t in batch["text"]]
+            sets = [shingles(t.as_py(), width) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"], pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
@@ -118,9 +129,8 @@ def _order(docs: DataFrame, width: int, percent: int) -> Order:
     limit = np.uint64(min(0.99, 1.6 * (100 - percent) / 100) * 2.0**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for batch in batches:
-            sets = [shingles(t.as_py(), width, words) for t in batch["text"]]
+            sets = [shingles(t.as_py(), width) for t in batch["text"]]
             some = np.concatenate([s[: np.searchsorted(s, limit)] for s in sets] or [np.zeros(0, np.uint64)])
             terms, counts = np.unique(some, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(_long(terms)), pa.array(counts.astype(np.int32))], ["term", "n"])
@@ -133,14 +143,14 @@ def _order(docs: DataFrame, width: int, percent: int) -> Order:
 
 
 def _postings(docs: DataFrame, width: int, percent: int, shared) -> DataFrame:
-    """(term, part, node, n): the prefix of every node in the first order, once per task that meets the node."""
+    """(term, part, node, n, place): the prefix of every node in the first order, once per task that meets the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, order, met = _Words(), shared.value, set()
+        order, met = shared.value, set()
         for batch in batches:
             terms, parts, nodes, sizes, lengths = [], [], [], [], []
             for t in batch["text"]:
-                items = shingles(t.as_py(), width, words)
+                items = shingles(t.as_py(), width)
                 node = node_of(items) if len(items) else None
                 if node is None or node in met:
                     continue
@@ -161,20 +171,21 @@ def _postings(docs: DataFrame, width: int, percent: int, shared) -> DataFrame:
                 pa.array(np.concatenate(parts or [np.zeros(0)]).astype(np.int32)),
                 pa.array(np.repeat(np.asarray(nodes, np.int64), lengths)),
                 pa.array(np.repeat(np.asarray(sizes, np.int32), lengths)),
-            ], ["term", "part", "node", "n"])
+                pa.array((np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1).astype(np.int32)),
+            ], ["term", "part", "node", "n", "place"])
 
-    return docs.select("text").mapInArrow(run, "term long, part int, node long, n int")
+    return docs.select("text").mapInArrow(run, "term long, part int, node long, n int, place int")
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, width: int, percent: int, shared) -> DataFrame:
     """(node, n, items, others): the whole set of each chosen node and its prefixes in the other orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, order = _Words(), shared.value
+        order = shared.value
         for batch in batches:
             rows = []
             for t, node in zip(batch["text"], batch["node"].to_pylist(), strict=True):
-                items = shingles(t.as_py(), width, words)
+                items = shingles(t.as_py(), width)
                 if len(items) and node_of(items) == node:
                     counted, p = order.counted(items), len(items) - _need(len(items), percent) + 1
                     others = [items[order.prefix(items, counted, k, p)].tobytes() for k in range(1, len(_SEEDS))]
@@ -189,8 +200,35 @@ def _sets(docs: DataFrame, chosen: DataFrame, width: int, percent: int, shared)
     return texts.mapInArrow(run, "node long, n int, items binary, others array<binary>").dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filter of every order and whose whole sets are similar enough."""
+def _side(held: DataFrame, s: str, root: bool = False) -> DataFrame:
+    names = {"node": s, "n": f"n_{s}", "place": f"place_{s}"} | ({"root": f"root_{s}"} if root else {})
+    return held.select("term", *[F.col(c).alias(to) for c, to in names.items()])
+
+
+def _promising(met: DataFrame, percent: int) -> DataFrame:
+    """``met(a, b, n_a, n_b, place_a, place_b)``, a row per prefix n-gram that both hold -> the pairs that may link.
+
+    What both have beyond their last common prefix n-gram lies behind it in both
+    sets; and behind the end of the prefix that ends first nothing is counted yet.
+    """
+    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(
+        F.count(F.lit(1)).alias("c"), F.max("place_a").alias("place_a"), F.max("place_b").alias("place_b")
+    )
+    up = lambda x, by: F.expr(f"({x} + {by} - 1) div {by}")
+    needed = up(f"{percent} * (n_a + n_b)", 100 + percent)
+    beyond_last = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    beyond_prefix = up(f"{percent} * greatest(n_a, n_b)", 100) - 1
+    return pairs.where(
+        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (F.col("c") + F.least(beyond_last, beyond_prefix) >= needed)
+    ).select("a", "b")
+
+
+def _linked(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int, percent: int, shared) -> DataFrame:
+    """The pairs (a, b) that pass the filter of every other order and whose whole sets are similar enough."""
+    pairs = stored(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = stored(_sets(docs, stored(nodes.join(members, "node"), "chosen"), width, percent, shared), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lambda x: np.frombuffer(x, np.uint64)
@@ -207,11 +245,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["a"].filter(kept), batch["b"].filter(kept)], ["a", "b"])
 
     def side(s: str) -> DataFrame:
-        return sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("items").alias(f"items_{s}"), F.col("others").alias(f"others_{s}"))
+        return sets.select(F.col("node").alias(s), F.col("items").alias(f"items_{s}"), F.col("others").alias(f"others_{s}"))
 
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return joined.where(fit).drop("n_a", "n_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def classify(
@@ -246,26 +282,21 @@ def classify(
     stars = stored(best.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "stars")
 
     members = keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = held.select("node").distinct().join(members, "node")
-    sets = stored(_sets(docs, stored(chosen, "chosen"), width, percent, shared), "sets")
-    first = components(_linked(stars, sets, percent), "families")
-    first = stored(first, "families")
-
-    # Every candidate pair from different families; a pair's common prefix n-grams must leave enough for the rest.
-    labelled = held.select("term", "node", "n").distinct().join(first, "node", "left").select(
-        "term", "node", "n", F.coalesce("root", "node").alias("root")
+    postings = held.select("term", "node", "n", "place").distinct()
+    met = stars.join(_side(postings, "a"), "a").join(_side(postings, "b"), ["term", "b"])
+    near_links = _linked(docs, members, _promising(met, percent), width, percent, shared)
+    first = stored(components(near_links, "families"), "families")
+
+    # Every candidate pair from different families; terms of one family only have none.
+    labelled = stored(
+        postings.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled"
     )
-    labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("term").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("term")
     open_ = stored(labelled.join(mixed, "term", "left_semi"), "open")
-    x = open_.select("term", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    y = open_.select("term", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    x, y = (_side(open_, s, root=True) for s in ("a", "b"))
     fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     cross = x.join(y, "term").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fit)
-    common = cross.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    needed = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent) - 1e-9)
-    rest = F.ceil(percent * F.greatest("n_a", "n_b") / 100 - 1e-9) - 1
-    late = _linked(common.where(F.col("c") >= needed - rest), sets, percent)
+    late = _linked(docs, members, _promising(cross, percent), width, percent, shared)
     root = components(
         late.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))), "components"
     )

@@ -1,4 +1,4 @@
-"""NumPy kernel of the exact vector search: running top-k over Arrow batches."""
+"""NumPy kernel of the exact vector search: blocks of vectors and their top-k."""
 
 from __future__ import annotations
 
@@ -90,58 +90,28 @@ def sparse_rows(dim: int):
     return run
 
 
-def scan_terms(query_ids: np.ndarray, places: dict[str, int], weights: np.ndarray, k: int, saturation=None):
-    """Function for ``mapInPandas`` over (item_id, tokens): running top-k of term-weight sums.
-
-    ``weights`` is terms x queries. ``saturation`` is (k1, b, mean length) of
-    BM25, or None to use plain term counts. Texts are scored 256 at a time.
-    """
-    width = len(places)
-
-    def block(tokens: list) -> np.ndarray:
-        counts = np.zeros((len(tokens), width))
-        lengths = np.array([len(t) for t in tokens], dtype=float)
-        for r, words in enumerate(tokens):
-            found = [places[w] for w in words if w in places]
-            if found:
-                counts[r] = np.bincount(found, minlength=width)
-        if saturation is not None:
-            k1, b, mean = saturation
-            counts = counts * (k1 + 1) / (counts + (k1 * (1 - b + b * lengths / mean))[:, None])
-        return counts @ weights
+def pack(rows: int, to_matrix: ToMatrix):
+    """Function for ``mapInPandas`` over (id, vector): blocks of at most ``rows`` unit rows as (ids, matrix)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = RunningTop(query_ids, weights, k)
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                top.merge(part["item_id"].to_numpy(), block(part["tokens"].tolist()))
-        yield top.frame()
+            for start in range(0, len(batch), rows):
+                part = batch.iloc[start : start + rows]
+                matrix = np.ascontiguousarray(to_matrix(part["vector"]), dtype=np.float64)
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64)], "matrix": [matrix.tobytes()]})
 
     return run
 
 
-def scan(query_ids: np.ndarray, queries: np.ndarray, k: int, to_matrix: ToMatrix):
-    """Function for ``mapInPandas`` over (item_id, vector): one top-k per partition."""
+def block_top(k: int):
+    """Function for ``mapInPandas`` over (q_ids, q_matrix, i_ids, i_matrix): the best ``k`` of each pair of blocks."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = RunningTop(query_ids, queries, k)
         for batch in batches:
-            if len(batch):
-                top.add(batch["item_id"].to_numpy(), to_matrix(batch["vector"]))
-        yield top.frame()
-
-    return run
-
-
-def block_pair(k: int, to_matrix: ToMatrix):
-    """Function for a cogroup of one query block with one item block."""
-
-    def run(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(items):
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        top = RunningTop(queries["query_id"].to_numpy(), to_matrix(queries["vector"]), k)
-        top.add(items["item_id"].to_numpy(), to_matrix(items["vector"]))
-        return top.frame()
+            for row in batch.itertuples():
+                q, i = (np.frombuffer(m).reshape(len(ids), -1) for ids, m in ((row.q_ids, row.q_matrix), (row.i_ids, row.i_matrix)))
+                top = RunningTop(np.asarray(row.q_ids), q, k)
+                top.add(np.asarray(row.i_ids), i)
+                yield top.frame()
 
     return run

@@ -208,3 +208,15 @@ def html_text(html: Column) -> Column:
     """Text of a page: scripts, styles and tags dropped, white space squeezed."""
     bare = F.regexp_replace(html, r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
     return squeeze(bare)
+
+
+def counted(tokens: Column) -> Column:
+    """``array<struct<term, tf>>`` of a token array, in term order: counted on the row, in one pass over the sorted tokens."""
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+        return F.when(F.size(ordered) > 0, F.transform(F.array(starts), lambda s: F.transform(s, lambda at, i: F.struct(
+            F.get(ordered, at - 1).alias("term"), (F.coalesce(F.get(s, i + 1), F.size(ordered) + 1) - at).cast("long").alias("tf")
+        )))[0])
+
+    # A one-element array names the sorted tokens, so they are sorted once.
+    return F.coalesce(F.transform(F.array(F.array_sort(tokens)), runs)[0], F.array().cast("array<struct<term:string,tf:bigint>>"))

@@ -1,26 +1,26 @@
 """Retrieval for a table of queries: vectors, BM25, keywords, rank fusion.
 
 A ranking is (query_id, item_id, score, rank), rank from 1. Every search takes
-``queries(query_id, …)`` and a corpus; such a function is the extension point
-for other search tools.
+``queries(query_id, …)`` and an index or items; such a function is the extension
+point for other search tools. An index is built from the corpus once, can be
+written and reloaded, and serves any number of query tables; searches are lazy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, fields
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from brightloom.functions import fixed, text as tx, vectors as vec
-from brightloom.functions.matching import ToMatrix, block_pair, bucket_counts, scan, scan_terms, sparse_rows, stacked
+from brightloom.functions.matching import ToMatrix, block_top, bucket_counts, pack, sparse_rows, stacked
 from brightloom.functions.partitions import spread
 from brightloom.functions.ranking import top_k
 
 _HITS = "query_id long, item_id long, score double"
-MAX_LOCAL_QUERIES = 2000  # query vectors a task may hold at once
-MAX_LOCAL_TERMS = 200_000  # (query, term) rows a task may hold at once
-BLOCK_ROWS = 5000  # rows per side of a block pair beyond that
+_BLOCK = "ids array<long>, matrix binary"
+QUERY_ROWS, ITEM_ROWS = 256, 2048  # vectors per block: what a task holds of each side at a time
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -58,59 +58,70 @@ def normalized(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, vec.unit(F.col(vector)))
 
 
-def vector_topk(
-    queries: DataFrame, items: DataFrame, k: int, to_matrix: ToMatrix = stacked, max_local: int = MAX_LOCAL_QUERIES
-) -> DataFrame:
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, to_matrix: ToMatrix = stacked) -> DataFrame:
     """Exact cosine top-k of ``queries(query_id, vector)`` in ``items(item_id, vector)``; no score floor.
 
-    Up to ``max_local`` queries (counted, not assumed) travel to the tasks as
-    one matrix: items are read once, never shuffled, and each partition emits
-    only its own top-k. More queries are cut into blocks and multiplied block
-    by block in a cogroup, which needs no side to fit anywhere.
+    Both sides are packed into blocks where they lie; every block of queries
+    meets every block of items, and only the best ``k`` of a pair of blocks move
+    on. Spark broadcasts the query blocks when their size allows.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    q = queries.select(F.col("query_id").cast("long"), "vector")
-    i = items.select(F.col("item_id").cast("long"), "vector")
-    local = q.limit(max_local + 1).toPandas()
-    if len(local) <= max_local:
-        if not len(local):
-            return _ranked(i.sparkSession.createDataFrame([], _HITS), k)
-        matrix = to_matrix(local["vector"])
-        hits = i.mapInPandas(scan(local["query_id"].to_numpy(), matrix, k, to_matrix), _HITS)
-        return _ranked(hits, k)
-    n_q = -(-q.count() // BLOCK_ROWS)
-    n_i = max(1, -(-i.count() // BLOCK_ROWS))
-    q_side = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
-        "ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)))
-    )
-    i_side = i.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(n_i)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long")))
-    )
-    hits = q_side.groupBy("qb", "ib").cogroup(i_side.groupBy("qb", "ib")).applyInPandas(block_pair(k, to_matrix), _HITS)
-    return _ranked(hits, k)
+    q = queries.select(F.col("query_id").cast("long").alias("id"), "vector").mapInPandas(pack(QUERY_ROWS, to_matrix), _BLOCK)
+    i = items.select(F.col("item_id").cast("long").alias("id"), "vector").mapInPandas(pack(ITEM_ROWS, to_matrix), _BLOCK)
+    named = lambda blocks, s: blocks.select(F.col("ids").alias(f"{s}_ids"), F.col("matrix").alias(f"{s}_matrix"))
+    return _ranked(named(i, "i").crossJoin(named(q, "q")).mapInPandas(block_top(k), _HITS), k)
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """``vectors(df, id column, text column)`` gives (id, vector); ``to_matrix`` turns such a column into unit rows."""
+
+    vectors: Callable[[DataFrame, str, str], DataFrame]
+    to_matrix: ToMatrix
+
+
+def hashed_embedder(dim: int = fixed.EMBEDDING_DIM) -> Embedder:
+    return Embedder(lambda df, row_id, text: term_buckets(df, row_id, text, dim), bucket_counts(dim))
 
 
 # --- BM25 ------------------------------------------------------------------------------
 
 
-def _tokenised(corpus: DataFrame, item_id: str, text: str) -> DataFrame:
-    tokens = tx.tokens(F.col(text))
-    return spread(corpus.select(item_id, text)).select(F.col(item_id).alias("item_id"), tokens.alias("tokens"), F.size(tokens).alias("length"))
+@dataclass(frozen=True)
+class Index:
+    """postings(term, item_id, tf, length), terms(term, df, idf), totals(n, mean_length: one row), vectors(item_id, vector)."""
 
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+    vectors: DataFrame | None = None
 
-def bm25_index(corpus: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(term, df, idf). A negative idf becomes 0.25 x the mean idf of all terms.
+    def save(self, path: str) -> None:
+        """Postings lie in term order, so a search for few terms skips most files."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        for part in fields(self)[1:]:
+            table = getattr(self, part.name)
+            if table is not None:
+                table.write.mode("overwrite").parquet(f"{path}/{part.name}")
 
-    Document frequencies come from each row's distinct tokens, so there is one
-    shuffle of partially summed terms.
-    """
-    docs = _tokenised(corpus, item_id, text)
-    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    df = (
-        docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    @staticmethod
+    def load(spark: SparkSession, path: str, vectors: bool = True) -> Index:
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return Index(read("postings"), read("terms"), read("totals"), read("vectors") if vectors else None)
+
+
+def postings_of(tokens: DataFrame) -> DataFrame:
+    """(term, item_id, tf, length) of ``tokens(item_id, tokens)``; terms are counted on their row, nothing is shuffled."""
+    return tokens.select("item_id", F.size("tokens").alias("length"), F.inline(tx.counted(F.col("tokens")))).select(
+        "term", "item_id", "tf", "length"
     )
+
+
+def _terms(postings: DataFrame, totals: DataFrame) -> DataFrame:
+    """(term, df, idf). A negative idf becomes 0.25 x the mean idf of all terms."""
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = totals.select("n").scalar()
     raw = df.withColumn("_raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("_raw")).scalar()
     return raw.select(
@@ -118,69 +129,59 @@ def bm25_index(corpus: DataFrame, item_id: str, text: str) -> DataFrame:
     )
 
 
-def _term_topk(
-    wanted: DataFrame, docs: DataFrame, k: int, mean_length: DataFrame | None = None, max_local: int | None = None
-) -> DataFrame:
-    """Top-k sums of term weights: ``wanted(query_id, term, w)`` against ``docs(item_id, tokens)``.
+def _tokenised(corpus: DataFrame, item_id: str, text: str) -> DataFrame:
+    return spread(corpus.select(item_id, text)).select(F.col(item_id).alias("item_id"), tx.tokens(F.col(text)).alias("tokens"))
+
+
+def bm25_index(corpus: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(term, df, idf) of a corpus; one shuffle of partially summed terms."""
+    tokens = _tokenised(corpus, item_id, text)
+    return _terms(postings_of(tokens), tokens.agg(F.count(F.lit(1)).alias("n")))
+
+
+def build_index(
+    corpus: DataFrame, item_id: str, text: str, path: str, embedder: Embedder | None = None
+) -> Index:
+    """Tokenise and embed the corpus once and write its index under ``path``; the result reads from there."""
+    spark = corpus.sparkSession
+    _tokenised(corpus, item_id, text).write.mode("overwrite").parquet(f"{path}/tokens")
+    tokens = spark.read.parquet(f"{path}/tokens")
+    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
+    postings = postings_of(tokens)
+    vectors = embedder and embedder.vectors(corpus.select(F.col(item_id).alias("item_id"), text), "item_id", text)
+    Index(postings, _terms(postings, totals), totals, vectors or None).save(path)
+    return Index.load(spark, path, embedder is not None)
+
+
+def _query_terms(queries: DataFrame, terms: Column) -> DataFrame:
+    """(query_id, term, qtf)."""
+    return queries.select("query_id", F.inline(tx.counted(terms))).withColumnRenamed("tf", "qtf")
 
-    With ``mean_length`` (one value) counts are saturated as in BM25. A
-    counted, bounded query table travels to the tasks, which scan the texts
-    once and emit one top-k per partition; a larger one meets the postings by
-    equality on the word. Both ways are exact and agree.
+
+def bm25_topk(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """BM25 ranking of ``queries(query_id, text)``; repeated query words count repeatedly, score > 0 only.
+
+    Query words meet their postings by equality and partial sums go to the
+    top-k; neither side is held in a task or on the driver.
     """
-    limit = MAX_LOCAL_TERMS if max_local is None else max_local
-    local = wanted.limit(limit + 1).toPandas()
     k1, b = fixed.BM25_K1, fixed.BM25_B
-    if len(local) <= limit:
-        if not len(local):
-            return _ranked(docs.sparkSession.createDataFrame([], _HITS), k)
-        ids, column = np.unique(local["query_id"].to_numpy(dtype=np.int64), return_inverse=True)
-        words, line = np.unique(local["term"].to_numpy(dtype=object), return_inverse=True)
-        weights = np.zeros((len(words), len(ids)))
-        np.add.at(weights, (line, column), local["w"].to_numpy(dtype=float))
-        saturation = None if mean_length is None else (k1, b, float(mean_length.first()[0]))
-        places = {w: i for i, w in enumerate(words)}
-        hits = docs.select(F.col("item_id").cast("long"), "tokens").mapInPandas(
-            scan_terms(ids, places, weights, k, saturation), _HITS
-        )
-        return _ranked(hits, k).where(F.col("score") > 0)
-    postings = (
-        docs.select("item_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        .join(wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy("item_id", "length", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    )
-    tf = F.col("tf")
-    if mean_length is not None:
-        tf = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean_length.scalar()))
+    wanted = _query_terms(queries, tx.tokens(F.col("text"))).join(index.terms, "term")
+    mean = index.totals.select("mean_length").scalar()
+    damped = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     scored = (
-        postings.withColumn("tf", tf).join(wanted, "term").groupBy("query_id", "item_id")
-        .agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
+        index.postings.join(wanted, "term").groupBy("query_id", "item_id")
+        .agg(F.sum(F.col("qtf") * F.col("idf") * damped).alias("score"))
     )
     return _ranked(scored, k).where(F.col("score") > 0)
 
 
-def bm25_topk(
-    queries: DataFrame, corpus: DataFrame, item_id: str, text: str, k: int, max_local: int | None = None
-) -> DataFrame:
-    """BM25 ranking of ``queries(query_id, text)``; repeated query words count repeatedly, score > 0 only."""
-    docs = _tokenised(corpus, item_id, text)
-    counted = (
-        queries.select("query_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
-        .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    )
-    wanted = counted.join(bm25_index(corpus, item_id, text), "term").select(
-        "query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")
-    )
-    return _term_topk(wanted, docs.select("item_id", "tokens"), k, docs.agg(F.avg("length")), max_local)
-
-
 # --- fusion ------------------------------------------------------------------------------
 
 
 def rrf(rankings: Sequence[DataFrame], weights: Sequence[float], k: int = fixed.RRF_K) -> DataFrame:
     """Weighted reciprocal-rank fusion: (query_id, item_id, score, rank) of every ranked item."""
     if len(rankings) != len(weights):
-        raise ValueError(f"got {len(rankings)} ranking(s) but {len(weights)} weight(s)")
+        raise ValueError(f"each ranking needs one weight: {len(weights)} given for {len(rankings)}")
     parts = [
         r.select("query_id", "item_id", (F.lit(float(w)) / (k + F.col("rank"))).alias("part"))
         for r, w in zip(rankings, weights)
@@ -195,31 +196,31 @@ def rrf(rankings: Sequence[DataFrame], weights: Sequence[float], k: int = fixed.
 
 
 def hybrid(
-    queries: DataFrame, corpus: DataFrame, item_id: str, text: str, k: int, weight: float = fixed.FUSION_WEIGHT,
-    pool: int = fixed.CANDIDATE_POOL, dim: int = fixed.EMBEDDING_DIM,
+    queries: DataFrame, index: Index, k: int, weight: float = fixed.FUSION_WEIGHT, pool: int = fixed.CANDIDATE_POOL,
+    embedder: Embedder | None = None,
 ) -> DataFrame:
-    """Hashed-vector and BM25 candidates fused by rank and cut to ``k``."""
-    pool = max(pool, k)
-    q = queries.withColumnRenamed("query_id", "_q")
-    dense = vector_topk(
-        term_buckets(q, "_q", "text", dim).withColumnRenamed("_q", "query_id"),
-        term_buckets(corpus.select(F.col(item_id).alias("item_id"), text), "item_id", text, dim),
-        pool, bucket_counts(dim),
-    )
-    sparse = bm25_topk(queries, corpus, item_id, text, pool)
-    return rrf([dense, sparse], [weight, 1.0 - weight]).where(F.col("rank") <= k)
+    """Vector and BM25 candidates fused by rank and cut to ``k``; ``embedder`` must be the one the index was built with."""
+    if index.vectors is None:
+        raise ValueError("this index was built without vectors")
+    embedder, pool = embedder or hashed_embedder(), max(pool, k)
+    asked = embedder.vectors(queries.select("query_id", "text"), "query_id", "text")
+    dense = vector_topk(asked, index.vectors, pool, embedder.to_matrix)
+    return rrf([dense, bm25_topk(queries, index, pool)], [weight, 1.0 - weight]).where(F.col("rank") <= k)
 
 
 # --- keyword search --------------------------------------------------------------------------
 
 
-def keyword_search(
-    queries: DataFrame, corpus: DataFrame, item_id: str, title: str, body: str, k: int, max_local: int | None = None
-) -> DataFrame:
-    """Per distinct query term, title hits count double; score > 0, ties by id."""
+def keyword_postings(corpus: DataFrame, item_id: str, title: str, body: str) -> DataFrame:
+    """(term, item_id, tf, length) where a word of the title counts double."""
     heading = tx.search_terms(F.col(title))
-    docs = spread(corpus.select(item_id, title, body)).select(
+    return postings_of(spread(corpus.select(item_id, title, body)).select(
         F.col(item_id).alias("item_id"), F.concat(heading, heading, tx.search_terms(F.col(body))).alias("tokens")
-    )
+    ))
+
+
+def keyword_search(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """Sum of the counts of each distinct query term in ``keyword_postings``; score > 0, ties by id."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(tx.search_terms(F.col("text")))).alias("term"))
-    return _term_topk(wanted.withColumn("w", F.lit(1.0)), docs, k, max_local=max_local)
+    scored = postings.join(wanted, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("tf").cast("double")).alias("score"))
+    return _ranked(scored, k).where(F.col("score") > 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brightloom.functions import fixed, text as tx
 from brightloom.operators import answers as an, retrieval as rt
 from brightloom.plans.text_queries import SP, search_terms_sql, sentences_sql, snippet_sql, strip_sql, tokens_sql, words_sql
+from brightloom.session import scratch_path
 from brightloom.sources.tables import table
 
 DIM, K = fixed.EMBEDDING_DIM, 4
@@ -61,7 +62,8 @@ def bm25_index(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    hits = rt.bm25_topk(_queries(spark, sf), _docs(spark, sf), "doc_id", "text", 10)
+    index = rt.build_index(_docs(spark, sf), "doc_id", "text", scratch_path(spark, "index"))
+    hits = rt.bm25_topk(_queries(spark, sf), index, 10)
     return hits.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -76,7 +78,8 @@ def rrf_fusion(spark, sf):
 
 
 def _hybrid(spark, sf):
-    return rt.hybrid(_queries(spark, sf), _docs(spark, sf), "doc_id", "text", K)
+    index = rt.build_index(_docs(spark, sf), "doc_id", "text", scratch_path(spark, "index"), rt.hashed_embedder())
+    return rt.hybrid(_queries(spark, sf), index, K)
 
 
 def hybrid_retrieval(spark, sf):
@@ -84,7 +87,7 @@ def hybrid_retrieval(spark, sf):
 
 
 def _keyword_hits(spark, sf):
-    return rt.keyword_search(_queries(spark, sf), _pages(spark, sf), "item_id", "title", "body", 3)
+    return rt.keyword_search(_queries(spark, sf), rt.keyword_postings(_pages(spark, sf), "item_id", "title", "body"), 3)
 
 
 def keyword_search(spark, sf):

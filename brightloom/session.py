@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "brightloom", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Local session with the settings the toolkit expects on a cluster too."""
+    """Local session for tests, the bench and scripts; on a cluster its folders come from the cluster's own settings."""
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -35,16 +36,30 @@ def local_session(app: str = "brightloom", cpus: int | str = "*", shuffle_partit
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage.
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """The folder that all executors see: the argument, or the setting ``spark.checkpoint.dir``; none is an error."""
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("no shared folder: set spark.checkpoint.dir or name one")
+    return folder.rstrip("/")
 
-    The shared folder the cluster names in ``spark.checkpoint.dir`` wins; a
-    private folder is chosen only when neither that setting nor an explicit
-    checkpoint directory exists (single-machine tests).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def scratch_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    """A fresh path in the shared folder for a table that outlives its lineage."""
+    return f"{shared_folder(spark, folder)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: computed once, and its size is known to the planner."""
+    path = scratch_path(df.sparkSession, label, folder)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Cut the lineage through the shared folder. Nothing is written to a folder that only the driver sees."""
+    folder = shared_folder(df.sparkSession, folder)
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(folder)
     return df.checkpoint()

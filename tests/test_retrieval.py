@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightloom.functions import text as tx
+from brightloom.functions.matching import stacked
 from brightloom.operators import answers as an, retrieval as rt
 
 TEXTS = ["the cat sat on the mat", "a dog and a cat", "birds fly over the sea", "the cat the cat", "", "sea and sand", "a dog and a cat"]
@@ -34,9 +35,15 @@ def brute_bm25(query):
     return [(i, s) for i, s in sorted(enumerate(scores), key=lambda p: (-round(p[1], 9), p[0])) if s > 1e-12]
 
 
-@pytest.mark.parametrize("local", [None, 0])
-def test_bm25_both_ways(corpus, queries, local):
-    hits = rt.bm25_topk(queries, corpus, "doc_id", "text", 5, max_local=local).orderBy("query_id", "rank").collect()
+@pytest.fixture(scope="module")
+def index(spark, corpus, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index"))
+    rt.build_index(corpus, "doc_id", "text", path, rt.hashed_embedder(64))
+    return rt.Index.load(spark, path)
+
+
+def test_bm25(index, queries):
+    hits = rt.bm25_topk(queries, index, 5).orderBy("query_id", "rank").collect()
     for q, text in ((0, "cat cat dog"), (1, "sea birds"), (2, "zebra")):
         got = [(r["item_id"], r["score"]) for r in hits if r["query_id"] == q]
         want = brute_bm25(text)[:5]
@@ -44,15 +51,16 @@ def test_bm25_both_ways(corpus, queries, local):
         assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-8)
 
 
-@pytest.mark.parametrize("local", [2000, 0])
-def test_vector_search_both_ways(spark, local, monkeypatch):
-    monkeypatch.setattr(rt, "BLOCK_ROWS", 50)
+@pytest.mark.parametrize("rows", [2000, 13])
+def test_vector_search_in_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(rt, "QUERY_ROWS", rows)
+    monkeypatch.setattr(rt, "ITEM_ROWS", rows)
     rng = np.random.default_rng(0)
     items, asked = rng.normal(size=(230, 8)), rng.normal(size=(60, 8))
     items[7] = items[3]
     items[9] = 0
     frame = lambda m, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{name} long, vector array<double>")
-    hits = rt.vector_topk(frame(asked, "query_id"), frame(items, "item_id"), 4, max_local=local).collect()
+    hits = rt.vector_topk(frame(asked, "query_id"), frame(items, "item_id"), 4).collect()
     unit = lambda m: m / np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1, np.linalg.norm(m, axis=1, keepdims=True))
     scores = np.round(unit(asked) @ unit(items).T, 9)
     for q in range(60):
@@ -61,9 +69,34 @@ def test_vector_search_both_ways(spark, local, monkeypatch):
         assert [i for _, i in got] == want
 
 
-def test_no_queries(corpus, queries):
+def test_no_queries(index, queries):
     none = queries.where("query_id > 99")
-    assert rt.hybrid(none, corpus, "doc_id", "text", 3).count() == 0
+    assert rt.hybrid(none, index, 3, embedder=rt.hashed_embedder(64)).count() == 0
+
+
+def test_another_embedder(spark, corpus, queries, tmp_path):
+    """Vectors of two numbers: length of the text and one."""
+    two = lambda df, row_id, text: df.select(row_id, F.array(F.length(text).cast("double"), F.lit(1.0)).alias("vector"))
+    own = rt.Embedder(two, stacked)
+    built = rt.build_index(corpus, "doc_id", "text", str(tmp_path), own)
+    hits = rt.hybrid(queries, built, 3, weight=1.0, embedder=own).where("query_id = 2").orderBy("rank").collect()
+    lengths = [len(t) for t in TEXTS]
+    angle = lambda n: math.atan2(1, n)
+    want = sorted(range(len(TEXTS)), key=lambda i: (-round(math.cos(angle(lengths[i]) - angle(5)), 9), i))[:3]
+    assert [r.item_id for r in hits] == want
+
+
+def test_an_index_without_vectors_refuses_hybrid(corpus, queries, tmp_path):
+    with pytest.raises(ValueError):
+        rt.hybrid(queries, rt.build_index(corpus, "doc_id", "text", str(tmp_path)), 3)
+
+
+def test_tokens_are_counted_on_their_row(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "c", "b"],), ([],), (None,)], "t array<string>")
+    got = [[tuple(x) for x in r.c] for r in df.select(tx.counted(F.col("t")).alias("c")).collect()]
+    assert got == [[("a", 1), ("b", 3), ("c", 1)], [], []]
+    plan = df.select(tx.counted(F.col("t")).alias("c"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_zero_vectors_can_be_hits(corpus, queries):
@@ -93,11 +126,10 @@ def test_rrf(spark):
         rt.rrf([a, b], [1.0])
 
 
-@pytest.mark.parametrize("local", [None, 0])
-def test_keyword_search(spark, local):
+def test_keyword_search(spark):
     pages = spark.createDataFrame([(1, "Cats", "dogs and cats"), (2, "x", "cat cat cat"), (3, "Dog", "none")], "id long, t string, b string")
     q = spark.createDataFrame([(0, "the cats cats"), (1, "dog")], "query_id long, text string")
-    got = [(r["query_id"], r["item_id"], r["score"]) for r in rt.keyword_search(q, pages, "id", "t", "b", 2, local).orderBy("query_id", "rank").collect()]
+    got = [(r["query_id"], r["item_id"], r["score"]) for r in rt.keyword_search(q, rt.keyword_postings(pages, "id", "t", "b"), 2).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 3.0), (0, 2, 3.0), (1, 3, 2.0), (1, 1, 1.0)]
 
 

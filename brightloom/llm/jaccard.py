@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightloom.llm.common import most_frequent, stored, unused
 from brightloom.llm.components import components
@@ -30,6 +30,8 @@ from brightloom.llm.components import components
 ORDER_TERMS, ORDER_MIN = 1 << 18, 8
 #: Documents of a frequent n-gram that share one pivot.
 PIVOT_SPAN = 4096
+#: Bits of the table that tells which documents' texts are fetched.
+SIEVE_BITS = 1 << 20
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -177,6 +179,20 @@ def _postings(docs: DataFrame, width: int, percent: int, shared) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, part int, node long, n int, place int")
 
 
+def _sieve(chosen: DataFrame, doc_id: Column) -> Column:
+    """True for every chosen doc_id and for few others, by a bit table of fixed size: spares most texts the shuffle of a join."""
+    spot = f"pmod(xxhash64(doc_id), {SIEVE_BITS})"
+    held = chosen.groupBy(F.expr(f"cast({spot} div 64 as int)").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({spot} % 64 as int))")).alias("bits")
+    )
+    table = [0] * (SIEVE_BITS // 64)  # so many numbers reach the driver at most
+    for row in held.collect():
+        table[row["word"]] = row["bits"]
+    bits = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    word = F.get(bits, F.expr(f"cast({spot} div 64 as int)")).alias("word")
+    return F.when(doc_id.isNotNull(), F.getbit(word, F.expr(f"cast({spot} % 64 as int)")) == 1)
+
+
 def _sets(docs: DataFrame, chosen: DataFrame, width: int, percent: int, shared) -> DataFrame:
     """(node, n, items, others): the whole set of each chosen node and its prefixes in the other orders."""
 
@@ -196,7 +212,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, width: int, percent: int, shared)
                 pa.array(others, pa.list_(pa.binary())),
             ], ["node", "n", "items", "others"])
 
-    texts = docs.join(chosen, "doc_id").select("text", "node")
+    texts = docs.where(_sieve(chosen, F.col("doc_id"))).join(chosen, "doc_id").select("text", "node")
     return texts.mapInArrow(run, "node long, n int, items binary, others array<binary>").dropDuplicates(["node"])
 
 
@@ -205,6 +221,21 @@ def _side(held: DataFrame, s: str, root: bool = False) -> DataFrame:
     return held.select("term", *[F.col(c).alias(to) for c, to in names.items()])
 
 
+def _up(value: str, by: int) -> Column:
+    """Whole-number division, rounded up."""
+    return F.expr(f"({value} + {by - 1}) div {by}")
+
+
+def _common(percent: int) -> Column:
+    """Fewest n-grams that sets of n_a and n_b have in common if they link."""
+    return _up(f"{percent} * (n_a + n_b)", 100 + percent)
+
+
+def _early(percent: int) -> Column:
+    """Can this place hold the first n-gram in common with a set of the same size or a larger one?"""
+    return F.col("place") <= F.col("n") - _up(f"{2 * percent} * n", 100 + percent) + 1
+
+
 def _promising(met: DataFrame, percent: int) -> DataFrame:
     """``met(a, b, n_a, n_b, place_a, place_b)``, a row per prefix n-gram that both hold -> the pairs that may link.
 
@@ -214,10 +245,9 @@ def _promising(met: DataFrame, percent: int) -> DataFrame:
     pairs = met.groupBy("a", "b", "n_a", "n_b").agg(
         F.count(F.lit(1)).alias("c"), F.max("place_a").alias("place_a"), F.max("place_b").alias("place_b")
     )
-    up = lambda x, by: F.expr(f"({x} + {by} - 1) div {by}")
-    needed = up(f"{percent} * (n_a + n_b)", 100 + percent)
+    needed = _common(percent)
     beyond_last = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    beyond_prefix = up(f"{percent} * greatest(n_a, n_b)", 100) - 1
+    beyond_prefix = _up(f"{percent} * greatest(n_a, n_b)", 100) - 1
     return pairs.where(
         (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         & (F.col("c") + F.least(beyond_last, beyond_prefix) >= needed)
@@ -293,10 +323,16 @@ def classify(
     )
     mixed = labelled.groupBy("term").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("term")
     open_ = stored(labelled.join(mixed, "term", "left_semi"), "open")
-    x, y = (_side(open_, s, root=True) for s in ("a", "b"))
-    fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    cross = x.join(y, "term").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fit)
-    late = _linked(docs, members, _promising(cross, percent), width, percent, shared)
+    # of two sets that link, the smaller one holds the first common n-gram early; so does the other, as its size allows
+    x, y = _side(open_.where(_early(percent)), "a", root=True), _side(open_, "b", root=True)
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    spare = lambda s: F.col(f"place_{s}") <= F.col(f"n_{s}") - _common(percent) + 1
+    cross = x.join(y, "term").where(
+        smaller & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & spare("a") & spare("b")
+    )
+    pairs = cross.select("a", "b").distinct()
+    met = pairs.join(_side(postings, "a"), "a").join(_side(postings, "b"), ["term", "b"])
+    late = _linked(docs, members, _promising(met, percent), width, percent, shared)
     root = components(
         late.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))), "components"
     )

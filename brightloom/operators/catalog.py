@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from brightloom.functions.ranking import top_k
 
@@ -56,66 +56,67 @@ def _is_numeric(field: T.StructField) -> bool:
 
 
 def column_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Value counts of many columns from one scan: (column_name, num, txt, n).
+    """Value counts of many columns from one scan: (column_name, num, txt, value, n).
 
-    Numeric columns fill ``num``, all others ``txt``. Unpivoting and counting
-    replaces one distinct aggregate per column; the counts combine on the map
-    side, so a value that fills a third of the table costs one row per task.
+    ``value`` is the exact native value as text and decides what is distinct;
+    ``num`` is its double for numeric columns, ``txt`` the text of all others.
+    Counts combine on the map side, so a value that fills a third of the table
+    costs one row per task.
     """
     names = [resolve(c, df.columns, "column") for c in (columns or df.columns)]
     fields = {f.name: f for f in df.schema.fields}
-    cells = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            (F.col(c).cast("double") if _is_numeric(fields[c]) else F.lit(None).cast("double")).alias("num"),
-            (F.lit(None).cast("string") if _is_numeric(fields[c]) else F.col(c).cast("string")).alias("txt"),
+
+    def cell(c: str) -> Column:
+        numeric, value = _is_numeric(fields[c]), F.col(f"`{c}`")
+        if isinstance(fields[c].dataType, (T.DoubleType, T.FloatType)):
+            value = value + F.lit(0.0).cast(fields[c].dataType)  # one zero
+        text = value.cast("string")
+        return F.struct(
+            F.lit(c).alias("column_name"), (value.cast("double") if numeric else F.lit(None).cast("double")).alias("num"),
+            (F.lit(None).cast("string") if numeric else text).alias("txt"), text.alias("value"),
         )
-        for c in names
-    ]
+
     return (
-        df.select(F.explode(F.array(*cells)).alias("c"))
+        df.select(F.explode(F.array(*[cell(c) for c in names])).alias("c"))
         .select("c.*")
-        .groupBy("column_name", "num", "txt")
+        .groupBy("column_name", "num", "txt", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows, nulls, distinct values, range, mean and population deviation per column."""
-    counts = column_values(df, columns)
-    present = F.col("num").isNotNull() | F.col("txt").isNotNull()
-    n = F.col("n")
-    sums = counts.groupBy("column_name").agg(
-        F.sum(n).alias("total_rows"),
-        F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("non_null"),
-        F.count_if(present).alias("distinct_values"),
-        F.sum(F.col("num") * n).alias("_s1"),
-        F.sum(F.col("num") * F.col("num") * n).alias("_s2"),
-        F.min("num").alias("min_num"),
-        F.max("num").alias("max_num"),
-        F.min("txt").alias("min_text"),
-        F.max("txt").alias("max_text"),
-    )
-    mean = F.try_divide(F.col("_s1"), F.col("non_null"))
-    variance = F.try_divide(F.col("_s2"), F.col("non_null")) - mean * mean
-    std = F.when(variance.isNotNull(), F.sqrt(F.greatest(variance, F.lit(0.0))))
-    return sums.select(
-        "column_name",
-        "total_rows",
-        "non_null",
-        (F.col("total_rows") - F.col("non_null")).alias("nulls"),
-        "distinct_values",
-        F.round(mean, 4).alias("mean"),
-        F.round(std, 4).alias("std"),
-        "min_num",
-        "max_num",
-        "min_text",
-        "max_text",
+    """Rows, nulls, distinct values, range, mean and population deviation per column.
+
+    One aggregate over native values gives everything but the distinct counts,
+    without a shuffle of cells; those come from the value counts.
+    """
+    names = [resolve(c, df.columns, "column") for c in (columns or df.columns)]
+    fields = {f.name: f for f in df.schema.fields}
+    none, nothing = F.lit(None).cast("double"), F.lit(None).cast("string")
+
+    def row(c: str) -> Column:
+        col, numeric = F.col(f"`{c}`"), _is_numeric(fields[c])
+        return F.struct(
+            F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("total_rows"), F.count(col).alias("non_null"),
+            (F.avg(col).cast("double") if numeric else none).alias("mean"),
+            (F.stddev_pop(col) if numeric else none).alias("std"),
+            (F.min(col).cast("double") if numeric else none).alias("min_num"),
+            (F.max(col).cast("double") if numeric else none).alias("max_num"),
+            (nothing if numeric else F.min(col.cast("string"))).alias("min_text"),
+            (nothing if numeric else F.max(col.cast("string"))).alias("max_text"),
+        )
+
+    summary = df.agg(F.array(*[row(c) for c in names]).alias("rows")).select(F.inline("rows"))
+    distinct = column_values(df, names).groupBy("column_name").agg(F.count("value").alias("distinct_values"))
+    return summary.join(distinct, "column_name", "left").select(
+        "column_name", "total_rows", "non_null", (F.col("total_rows") - F.col("non_null")).alias("nulls"),
+        F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), F.round("mean", 4).alias("mean"),
+        F.round("std", 4).alias("std"), "min_num", "max_num", "min_text", "max_text",
     )
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
     """The ``k`` most frequent non-null values per column; ties by value, ascending."""
-    counts = column_values(df, columns).where(F.col("num").isNotNull() | F.col("txt").isNotNull())
-    ranked = top_k(counts, ["column_name"], [F.desc("n"), F.asc("num"), F.asc("txt")], k)
+    counts = column_values(df, columns).where(F.col("value").isNotNull())
+    ranked = top_k(counts, ["column_name"], [F.desc("n"), F.asc("num"), F.asc("value")], k)
     return ranked.select("column_name", "rank", F.col("num").alias("num_value"), F.col("txt").alias("text_value"), "n")

@@ -170,6 +170,9 @@ def drift_report(
 ) -> DataFrame:
     """One row per (window, feature). Severity uses the unrounded values; ``retrain`` is per window.
 
+    A feature without any value on one side has null PSI and severity
+    ``missing``, which counts as an alert: a feed that broke must not look calm.
+
     The two tables that both PSI and KS need are written once through the
     checkpoint folder, so the raw rows are read once per side.
     """
@@ -190,8 +193,11 @@ def drift_report(
         "window", "feature", "psi", none.alias("ks_statistic"), none.alias("ks_critical"),
         severity(F.col("psi")).alias("severity"),
     )
-    rows = num.unionByName(cat)
-    alerts = rows.groupBy("window").agg(F.count_if(F.col("severity") == "alert").alias("alerts"))
+    every = cur_num.select("window").distinct() if numeric else cur_cat.select("window").distinct()
+    every = every.withColumn("feature", F.explode(F.array(*map(F.lit, [*numeric, *categorical]))))
+    rows = every.join(num.unionByName(cat), ["window", "feature"], "left")
+    rows = rows.withColumn("severity", F.when(F.col("psi").isNull(), "missing").otherwise(F.col("severity")))
+    alerts = rows.groupBy("window").agg(F.count_if(F.col("severity").isin("alert", "missing")).alias("alerts"))
     return rows.join(alerts, "window").select(
         "window", "feature", F.round("psi", 6).alias("psi"), F.round("ks_statistic", 6).alias("ks_statistic"),
         F.round("ks_critical", 6).alias("ks_critical"), "severity", "alerts",

@@ -43,14 +43,24 @@ def fitted_backtest(
 ) -> DataFrame:
     """Rolling-origin predictions (series_id, fold, model, ds, y, yhat); each fit sees rows before its origin only."""
     numbered = ts._numbered(grid, horizon, n_folds, min_train)
-    # A training row belongs to every fold whose origin lies after it.
-    first_fold = F.when(F.col("fold").isNull(), F.lit(0)).otherwise(F.col("fold") + 1)
-    train = numbered.where(first_fold < n_folds).select(
-        "series_id", "ds", "y", F.explode(F.sequence(first_fold, F.lit(n_folds - 1))).alias("fold")
-    )
-    forecasts = _forecast_groups(train, ["series_id", "fold"], models, horizon)
-    tests = numbered.where(F.col("fold").isNotNull()).select("series_id", "fold", "h", "ds", "y")
-    return tests.join(forecasts, ["series_id", "fold", "h"]).select("series_id", "fold", "model", "ds", "y", "yhat")
+    chosen = dict(models)
+    kind = numbered.schema["series_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        y, fold = pdf["y"].to_numpy(dtype=float), pdf["fold"].fillna(-1).to_numpy(dtype=int)
+        parts = []
+        for k in range(n_folds):
+            test = pdf[fold == k]
+            for name, f in chosen.items():
+                part = test[["series_id", "ds", "y"]].copy()
+                part["fold"], part["model"], part["yhat"] = k, name, np.asarray(f(y[: int(test["rn"].iloc[0])], horizon))
+                parts.append(part)
+        return pd.concat(parts, ignore_index=True)[["series_id", "fold", "model", "ds", "y", "yhat"]]
+
+    # One group per series, all folds inside it: a training row moves once, not once per fold.
+    rows = numbered.select("series_id", "rn", "fold", "ds", F.col("y").cast("double").alias("y"))
+    return rows.groupBy("series_id").applyInPandas(run, f"series_id {kind}, fold int, model string, ds date, y double, yhat double")
 
 
 def fitted_forecast(grid: DataFrame, models: Mapping[str, Forecaster], horizon: int) -> DataFrame:
@@ -83,8 +93,8 @@ def _array_features(ds: Column) -> dict[str, Column]:
 
 
 def boosted_backtest(
-    grid: DataFrame, horizon: int, n_folds: int, min_train: int, iterations: int = 10, depth: int = 4,
-    learning_rate: float = 0.2, seed: int = 0, cut_every: int = 7,
+    grid: DataFrame, horizon: int, n_folds: int, min_train: int, iterations: int = 300, depth: int = 5,
+    learning_rate: float = 0.05, seed: int = 0, cut_every: int = 7,
 ) -> DataFrame:
     """Recursive multi-step forecasts of one global tree model per fold.
 
@@ -136,12 +146,15 @@ def boosted_backtest(
 
 def forecast_run(
     grid: DataFrame, models: Mapping[str, Forecaster], horizon: int, n_folds: int, min_train: int, alpha: float
-) -> tuple[DataFrame, DataFrame]:
-    """Backtest, select, calibrate, refit and forecast every series.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Backtest, select, calibrate, refit and forecast every series that has days enough.
 
-    Returns (forecast rows with bounds, one summary row per series). The
-    backtest is materialised once; all later steps read it.
+    Returns (forecast rows with bounds, one summary row per series, rejected
+    series with reasons). A series that cannot be modelled is reported and the
+    others go on. The backtest is materialised once; all later steps read it.
     """
+    rejected = ts.rejects(grid, min_train + n_folds * horizon)
+    grid = grid.join(rejected.select("series_id"), "series_id", "left_anti")
     predictions = checkpoint(fitted_backtest(grid, models, horizon, n_folds, min_train))
     by_fold = ts.metrics(predictions, ts.fold_scales(grid, horizon, n_folds, min_train))
     winners = ts.best_models(by_fold)
@@ -152,4 +165,4 @@ def forecast_run(
         F.count(F.lit(1)).alias("n_days"), F.count_if("is_anomaly").alias("n_anomalies")
     )
     summary = winners.join(covered, ["series_id", "model"]).join(flagged, "series_id")
-    return bounded, summary
+    return bounded, summary, rejected

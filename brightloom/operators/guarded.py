@@ -7,7 +7,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 MAX_ROWS = 200
 CHART_TYPES = ("bar", "line", "scatter")
@@ -95,7 +95,7 @@ def check(spark: SparkSession, sql: str) -> None:
         plan = session.sessionState().sqlParser().parsePlan(sql)
     except ParseException as err:
         if ";" in sql.rstrip().rstrip(";"):
-            raise QueryRefused("Multiple SQL statements are not allowed or the query does not parse") from err
+            raise QueryRefused("one statement at a time, please; this text does not parse as one") from err
         raise QueryRefused(f"query does not parse: {str(err).splitlines()[0]}") from err
     if plan.getClass().getSimpleName() == "ExplainCommand":
         plan = plan.logicalPlan()
@@ -107,9 +107,18 @@ def row_cap(requested: int | None, default: int = MAX_ROWS) -> int:
 
 
 def guarded(spark: SparkSession, sql: str, max_rows: int | None = None) -> DataFrame:
-    """The checked query as a DataFrame of at most the capped number of rows."""
+    """The checked query, cut at the row cap, with a column ``truncated``: was anything cut?
+
+    One row beyond the cap is fetched to learn that; the cut keeps the query's order.
+    """
     check(spark, sql)
-    return spark.sql(sql).limit(row_cap(max_rows))
+    cap = row_cap(max_rows)
+    df = spark.sql(sql)
+    if "truncated" in (c.lower() for c in df.columns):
+        raise QueryRefused("truncated is the name of the flag; alias that column")
+    cut = df.limit(cap + 1).withColumn("_at", F.monotonically_increasing_id())  # one partition of cap + 1 rows at most
+    flagged = cut.withColumn("truncated", F.max("_at").over(Window.partitionBy(F.lit(1))) >= cap)
+    return flagged.where(F.col("_at") < cap).drop("_at")
 
 
 def run_select(
@@ -150,16 +159,16 @@ def run_select(
 def chart_data(spark: SparkSession, sql: str, chart_type: str, x: str, y: str) -> DataFrame:
     """The (x, y) rows behind a chart of a guarded query."""
     if chart_type not in CHART_TYPES:
-        raise ValueError(f"Unsupported chart_type {chart_type!r}; use one of {CHART_TYPES}.")
+        raise ValueError(f"no chart of type {chart_type!r}; known types: {CHART_TYPES}")
     df = guarded(spark, sql)
     if x not in df.columns or y not in df.columns:
-        raise ValueError(f"Columns {x!r} and {y!r} must both appear in the result (got: {', '.join(df.columns)}).")
-    return df.select(x, y)
+        raise ValueError(f"the chart needs columns {x!r} and {y!r}; the query gives {df.columns}")
+    return df.select(x, y, "truncated")
 
 
 def chart_points(spark: SparkSession, sql: str, chart_type: str, x: str, y: str) -> list[tuple]:
     """Collected chart points (at most the row cap); no rows is an error."""
-    points = [tuple(r) for r in chart_data(spark, sql, chart_type, x, y).collect()]
+    points = [tuple(r)[:2] for r in chart_data(spark, sql, chart_type, x, y).collect()]
     if not points:
-        raise ValueError("Query returned no rows; nothing to plot.")
+        raise ValueError("no rows to draw")
     return points

@@ -40,7 +40,8 @@ def fill_gaps(daily: DataFrame) -> DataFrame:
 
     Each known day emits itself and the missing days up to the next known one,
     so no grid table and no join is needed. After the last known value it is
-    carried forward; days before the first known value stay null.
+    carried forward; days before the first known value stay null, and so do all
+    days of a series without any value.
     """
     spanned = daily.withColumn("_lo", F.min("ds").over(_series())).withColumn("_hi", F.max("ds").over(_series()))
     known = (
@@ -68,7 +69,30 @@ def fill_gaps(daily: DataFrame) -> DataFrame:
             lambda d: F.struct(d.alias("ds"), F.lit(None).cast("double").alias("y")),
         ),
     ).otherwise(F.array().cast("array<struct<ds:date,y:double>>"))
-    return known.select("series_id", F.explode(F.concat(lead_in, own)).alias("p")).select("series_id", "p.ds", "p.y")
+    filled = known.select("series_id", F.explode(F.concat(lead_in, own)).alias("p")).select("series_id", "p.ds", "p.y")
+    spans = daily.groupBy("series_id").agg(F.min("ds").alias("_lo"), F.max("ds").alias("_hi"), F.count("y").alias("_known"))
+    unknown = spans.where("_known = 0 and _lo is not null").select(
+        "series_id", F.explode(F.sequence("_lo", "_hi")).alias("ds"), F.lit(None).cast(daily.schema["y"].dataType).alias("y")
+    )
+    return filled.unionByName(unknown)
+
+
+def rejects(daily: DataFrame, needed: int) -> DataFrame:
+    """(series_id, n_obs, reason) of the series that a job over ``needed`` days cannot take.
+
+    ``n_obs`` counts days from the first to the last. Sums combine on the map
+    side; no series is gathered.
+    """
+    spans = daily.groupBy("series_id").agg(
+        F.min("ds").alias("lo"), F.max("ds").alias("hi"), F.count("y").alias("known"),
+        F.min(F.when(F.col("y").isNotNull(), F.col("ds"))).alias("first"),
+    ).withColumn("n_obs", F.coalesce(F.datediff("hi", "lo") + 1, F.lit(0)).cast("long"))
+    reason = (
+        F.when(F.col("known") == 0, "no values")
+        .when(F.col("n_obs") < needed, F.concat(F.lit(f"needs {needed} days, has "), F.col("n_obs").cast("string")))
+        .when(F.col("first") > F.col("lo"), "no value on the first day")
+    )
+    return spans.select("series_id", "n_obs", reason.alias("reason")).where("reason is not null")
 
 
 def calendar_columns(ds: Column) -> dict[str, Column]:

@@ -11,6 +11,8 @@ from brightloom.sources.tables import table
 HORIZON, N_FOLDS, MIN_TRAIN, ALPHA = 28, 5, 365, 0.1
 # Grid values come from the same operations in both engines and are compared as they are;
 # averages depend on the summation order and are rounded.
+#: Boosting rounds of the registered query; the operator's default is 300. Every round is a chain of Spark jobs.
+ROUNDS = 10
 SEASONS = {"seasonal_naive_1": 1, "seasonal_naive_7": 7, "seasonal_naive_28": 28}
 _LAYOUT = (HORIZON, N_FOLDS, MIN_TRAIN)
 
@@ -120,7 +122,22 @@ def ets_backtest(spark, sf):
 
 
 def gbt_backtest(spark, sf):
-    return fc.boosted_backtest(_grid(spark, sf), HORIZON, 2, MIN_TRAIN)
+    return fc.boosted_backtest(_grid(spark, sf), *_LAYOUT, iterations=ROUNDS, depth=4, learning_rate=0.2)
+
+
+def _by_customer(spark, sf):
+    return ts.daily_totals(table(spark, sf, "orders"), "o_custkey", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)"))
+
+
+def series_rejects(spark, sf):
+    """Customers whose orders span too few days for the backtest."""
+    return ts.rejects(_by_customer(spark, sf), MIN_TRAIN + N_FOLDS * HORIZON)
+
+
+def duplicate_days(spark, sf):
+    """Days with more than one order of a customer."""
+    days = table(spark, sf, "orders").select(F.col("o_custkey").alias("series_id"), F.to_date("o_orderdate").alias("ds"))
+    return ts.duplicate_days(days)
 
 
 def forecast_run(spark, sf):
@@ -137,6 +154,7 @@ QUERIES = {
         daily_series, gap_fill, lag_features, rolling_features, calendar_features, training_table, seasonal_naive,
         backtest_folds, backtest_naive, forecast_metrics, model_selection, conformal_width, forecast_intervals,
         mase_pivot, conformal_coverage, anomaly_flags, ets_backtest, gbt_backtest, forecast_run, forecast_summary,
+        series_rejects, duplicate_days,
     )
 }
 
@@ -194,6 +212,10 @@ widths AS (SELECT {keys}, max(a) FILTER (r = ceil(ceil((n + 1) * {1 - ALPHA}::DO
 
 
 ORACLES = {
+    "series_rejects": f"""WITH d AS (SELECT o_custkey AS series_id, min(o_orderdate::DATE) AS lo, max(o_orderdate::DATE) AS hi FROM orders GROUP BY 1)
+SELECT series_id, (hi - lo + 1)::BIGINT AS n_obs, 'needs {MIN_TRAIN + N_FOLDS * HORIZON} days, has ' || (hi - lo + 1) AS reason
+FROM d WHERE hi - lo + 1 < {MIN_TRAIN + N_FOLDS * HORIZON}""",
+    "duplicate_days": """SELECT o_custkey AS series_id, o_orderdate::DATE AS ds, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1""",
     "daily_series": f"WITH {_DAILY} SELECT series_id, ds, round(y, 8) AS y FROM daily",
     "gap_fill": f"WITH {_GRID} SELECT series_id, ds, y FROM grid",
     "lag_features": f"WITH {_GRID}, l AS (SELECT *, {_LAG} FROM grid) SELECT series_id, ds, y, "

@@ -49,6 +49,9 @@ SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer
 WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey"""
 
 
+_LONG = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey"
+
+
 def guarded_select(spark, sf):
     register(spark, sf, ("customer",))
     return guarded.guarded(spark, _GUARDED)
@@ -128,17 +131,19 @@ def profile_lineitem(spark, sf):
     return catalog.profile(table(spark, sf, "lineitem"))
 
 
-_TOP_COLUMNS = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"]
+def top_values(spark, sf):
+    return catalog.top_values(table(spark, sf, "lineitem"))
 
 
-def top_values(spark, sf):
-    return catalog.top_values(table(spark, sf, "lineitem"), _TOP_COLUMNS)
+def guarded_truncated(spark, sf):
+    register(spark, sf, ("orders",))
+    return guarded.guarded(spark, _LONG)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        revenue_by_nation, table_inventory, describe_orders, guarded_select, avg_price_by_type, top_priced_parts,
+        revenue_by_nation, table_inventory, describe_orders, guarded_select, guarded_truncated, avg_price_by_type, top_priced_parts,
         cte_orders_by_month, values_relation, recursive_series, chart_series, profile_lineitem, top_values,
     )
 }
@@ -174,7 +179,7 @@ def _profile_sql() -> str:
 
 def _top_sql() -> str:
     parts = []
-    for c in _TOP_COLUMNS:
+    for c in _LINEITEM:
         num = f"{c}::DOUBLE" if _LINEITEM[c] else "NULL::DOUBLE"
         txt = "NULL::VARCHAR" if _LINEITEM[c] else f"{c}::VARCHAR"
         parts.append(
@@ -191,7 +196,8 @@ SELECT n_name, count(o_orderkey) AS orders, round(sum(o_totalprice), 2) AS reven
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY n_name ORDER BY revenue DESC""",
     "table_inventory": _inventory_sql(),
-    "guarded_select": _GUARDED + " LIMIT 200",
+    "guarded_select": f"SELECT *, count(*) OVER () > 200 AS truncated FROM ({_GUARDED}) LIMIT 200",
+    "guarded_truncated": f"SELECT *, (SELECT count(*) FROM orders) > 200 AS truncated FROM ({_LONG}) LIMIT 200",
     "avg_price_by_type": """
 SELECT p_type, round(avg(p_retailprice), 2) AS avg_price, count(*) AS parts FROM part GROUP BY p_type""",
     "top_priced_parts": """
@@ -199,7 +205,7 @@ SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p
     "cte_orders_by_month": _CTE,
     "values_relation": _VALUES.replace("sum(w.weight)", "sum(w.weight)::BIGINT"),
     "recursive_series": _RECURSIVE,
-    "chart_series": f"SELECT p_brand, avg_price FROM ({_CHART})",
+    "chart_series": f"SELECT p_brand, avg_price, count(*) OVER () > 200 AS truncated FROM ({_CHART})",
     "profile_lineitem": _profile_sql(),
     "top_values": _top_sql(),
 }

@@ -158,3 +158,11 @@ def test_histogram(spark):
     df = spark.createDataFrame([("a", 0.05), ("a", 0.1), ("a", 0.95), ("a", None)], "k string, v double")
     got = {r["le"]: r["observations"] for r in tm.histogram(df, ["k"], "v", tm.SCORE_EDGES).collect()}
     assert (got["0.0"], got["0.1"], got["0.9"], got["1.0"], got["+Inf"]) == (0, 2, 2, 3, 3)
+
+
+def test_a_feature_without_values_is_an_alert(spark):
+    ref = spark.createDataFrame([(float(i), "a", "r") for i in range(200)], "x double, c string, w string")
+    cur = spark.createDataFrame([(None, None, "broken")] * 50 + [(float(i), "a", "fine") for i in range(200)], "x double, c string, w string")
+    rows = {(r["w" if "w" in r.asDict() else "window"], r["feature"]): r for r in dr.drift_report(ref, cur, "w", ["x"], ["c"], retrain_alerts=1).collect()}
+    assert len(rows) == 4 and rows["broken", "x"]["severity"] == "missing" and rows["broken", "x"]["psi"] is None
+    assert rows["broken", "x"]["retrain"] and rows["fine", "x"]["severity"] == "none" and not rows["fine", "x"]["retrain"]

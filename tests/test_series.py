@@ -138,7 +138,10 @@ def test_fitted_backtest_never_sees_the_future(spark):
 
 def test_forecast_run(spark):
     grid = make(spark, seasonal(200))
-    ahead, summary = fc.forecast_run(grid, fc.FORECASTERS, 14, 3, 100, 0.2)
+    short = make(spark, seasonal(40), "short").unionAll(make(spark, seasonal(10), "tiny")).unionAll(make(spark, [None] * 200, "empty"))
+    ahead, summary, rejected = fc.forecast_run(grid.unionAll(short), fc.FORECASTERS, 14, 3, 100, 0.2)
+    assert {(r["series_id"], r["reason"]) for r in rejected.collect()} == {
+        ("short", "needs 142 days, has 40"), ("tiny", "needs 142 days, has 10"), ("empty", "no values")}
     rows = ahead.orderBy("ds").collect()
     assert len(rows) == 14 and rows[0]["ds"] == DAY0 + dt.timedelta(days=200)
     assert all(r["lower"] < r["yhat"] < r["upper"] for r in rows)
@@ -152,3 +155,9 @@ def test_boosted_backtest(spark):
     assert pred.count() == 14
     err = pred.select(F.avg(F.abs(F.col("y") - F.col("yhat")))).first()[0]
     assert err < 6  # a flat forecast is off by about 6.4 on this wave
+
+
+def test_a_series_without_values_stays(spark):
+    filled = ts.fill_gaps(make(spark, [None, None], "none").unionAll(make(spark, [1.0, None, 3.0], "some")))
+    got = sorted((r["series_id"], r["y"] is None) for r in filled.collect())
+    assert got == [("none", True)] * 2 + [("some", False)] * 3

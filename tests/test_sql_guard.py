@@ -77,7 +77,7 @@ def test_deadline_stops_the_job(spark):
 def test_chart(spark):
     sql = "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY 1"
     assert len(g.chart_points(spark, sql, "bar", "p_brand", "n")) > 1
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="no chart of type"):
         g.chart_data(spark, sql, "pie", "p_brand", "n")
     with pytest.raises(ValueError, match="must both"):
         g.chart_data(spark, sql, "bar", "p_brand", "nope")
@@ -114,3 +114,19 @@ def test_top_values_ties_by_value(spark):
 def test_describe(spark):
     rows = catalog.describe(spark.range(1).select("id", F.lit("x").alias("t")), ["id"]).collect()
     assert [(r["column_name"], r["type"], r["primary_key"]) for r in rows] == [("id", "bigint", True), ("t", "string", False)]
+
+
+def test_profile_of_large_values(spark):
+    big = 2**53
+    df = spark.createDataFrame([(1e9, big), (1e9 + 1, big + 1), (1e9 + 2, big + 2)], "x double, k long")
+    rows = {r["column_name"]: r for r in catalog.profile(df).collect()}
+    assert rows["x"]["std"] == pytest.approx(0.8165) and rows["k"]["std"] == pytest.approx(0.8165)
+    assert rows["k"]["distinct_values"] == 3
+    assert catalog.top_values(df, ["k"]).count() == 3
+
+
+def test_the_cut_is_flagged(spark):
+    spark.range(10).createOrReplaceTempView("ten")
+    rows = g.guarded(spark, "SELECT id FROM ten ORDER BY id DESC", 4).collect()
+    assert [(r["id"], r["truncated"]) for r in rows] == [(9, True), (8, True), (7, True), (6, True)]
+    assert {r["truncated"] for r in g.guarded(spark, "SELECT id FROM ten", 10).collect()} == {False}

@@ -30,6 +30,7 @@ from brightloom.llm.components import components
 ORDER_TERMS, ORDER_MIN = 1 << 18, 8
 #: Documents of a frequent n-gram that share one pivot.
 PIVOT_SPAN = 4096
+BATCH_ROWS = 256
 #: Bits of the table that tells which documents' texts are fetched.
 SIEVE_BITS = 1 << 20
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -124,18 +125,24 @@ def _keyed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _order(docs: DataFrame, width: int, percent: int) -> Order:
-    """Document counts over the whole corpus of the n-grams that come first by hash; the most frequent make the order.
+    """Document counts over the whole corpus; the most frequent n-grams make the order.
 
-    Prefixes hold about (1 - similarity) of a set, so the share of the hash range counted is 1.6 times that.
+    Prefixes hold about (1 - similarity) of a set, so of the n-grams that come
+    first by hash, 1.6 times that share, every one is counted. Of the others only
+    those that recur among the documents of a batch are, which common passages do.
+    Copies within a batch count once.
     """
     limit = np.uint64(min(0.99, 1.6 * (100 - percent) / 100) * 2.0**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch["text"]]
-            some = np.concatenate([s[: np.searchsorted(s, limit)] for s in sets] or [np.zeros(0, np.uint64)])
-            terms, counts = np.unique(some, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(_long(terms)), pa.array(counts.astype(np.int32))], ["term", "n"])
+            sets = {node_of(s): s for s in (shingles(t.as_py(), width) for t in batch["text"]) if len(s)}
+            every = np.concatenate([*sets.values(), np.zeros(0, np.uint64)])
+            every.sort()
+            starts = np.flatnonzero(np.diff(every, prepend=every[:1] + np.uint64(1)))
+            counts, terms = np.diff(starts, append=len(every)), every[starts]
+            told = (counts > 1) | (terms < limit)
+            yield pa.RecordBatch.from_arrays([pa.array(_long(terms[told])), pa.array(counts[told].astype(np.int32))], ["term", "n"])
 
     counted = docs.select("text").mapInArrow(run, "term long, n int").groupBy("term").agg(F.sum("n").alias("n"))
     top = most_frequent(stored(counted.where(F.col("n") >= ORDER_MIN), "frequent"), ORDER_TERMS).toArrow()
@@ -194,26 +201,26 @@ def _sieve(chosen: DataFrame, doc_id: Column) -> Column:
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, width: int, percent: int, shared) -> DataFrame:
-    """(node, n, items, others): the whole set of each chosen node and its prefixes in the other orders."""
+    """(node, items, others): the whole set of each chosen node and its prefixes in the other orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        for batch in batches:
-            rows = []
-            for t, node in zip(batch["text"], batch["node"].to_pylist(), strict=True):
-                items = shingles(t.as_py(), width)
-                if len(items) and node_of(items) == node:
-                    counted, p = order.counted(items), len(items) - _need(len(items), percent) + 1
-                    others = [items[order.prefix(items, counted, k, p)].tobytes() for k in range(1, len(_SEEDS))]
-                    rows.append((node, len(items), items.tobytes(), others))
-            node, n, items, others = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(items, pa.binary()),
-                pa.array(others, pa.list_(pa.binary())),
-            ], ["node", "n", "items", "others"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_ROWS):
+                batch, rows = whole.slice(start, BATCH_ROWS), []
+                for t, node in zip(batch["text"], batch["node"].to_pylist(), strict=True):
+                    items = shingles(t.as_py(), width)
+                    if len(items) and node_of(items) == node:
+                        counted, p = order.counted(items), len(items) - _need(len(items), percent) + 1
+                        rows.append((node, _long(items), [_long(items[order.prefix(items, counted, k, p)]) for k in range(1, len(_SEEDS))]))
+                node, items, others = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(node, pa.int64()), pa.array(items, pa.list_(pa.int64())),
+                    pa.array(others, pa.list_(pa.list_(pa.int64()))),
+                ], ["node", "items", "others"])
 
     texts = docs.where(_sieve(chosen, F.col("doc_id"))).join(chosen, "doc_id").select("text", "node")
-    return texts.mapInArrow(run, "node long, n int, items binary, others array<binary>").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, items array<long>, others array<array<long>>").dropDuplicates(["node"])
 
 
 def _side(held: DataFrame, s: str, root: bool = False) -> DataFrame:
@@ -260,24 +267,16 @@ def _linked(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int, p
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = stored(_sets(docs, stored(nodes.join(members, "node"), "chosen"), width, percent, shared), "sets")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda x: np.frombuffer(x, np.uint64)
-        for batch in batches:
-            keep = []
-            for x, y, xs, ys in zip(*(batch[c].to_pylist() for c in ("items_a", "items_b", "others_a", "others_b")), strict=True):
-                same = all(len(np.intersect1d(of(p), of(q), True)) for p, q in zip(xs, ys, strict=True))
-                if same:
-                    x, y = of(x), of(y)
-                    both = len(np.intersect1d(x, y, True))
-                    same = 100 * both >= percent * (len(x) + len(y) - both)
-                keep.append(same)
-            kept = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(kept), batch["b"].filter(kept)], ["a", "b"])
-
     def side(s: str) -> DataFrame:
         return sets.select(F.col("node").alias(s), F.col("items").alias(f"items_{s}"), F.col("others").alias(f"others_{s}"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    overlaps = [F.arrays_overlap(F.col("others_a")[k], F.col("others_b")[k]) for k in range(len(_SEEDS) - 1)]
+    both = F.size(F.array_intersect("items_a", "items_b"))
+    similar = 100 * both >= percent * (F.size("items_a") + F.size("items_b") - both)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    for passed in (*overlaps, similar):
+        joined = joined.where(passed)
+    return joined.select("a", "b")
 
 
 def classify(

@@ -1,9 +1,7 @@
-"""Sequence kernels for Arrow UDFs: common subsequence, edit-cost maps, text similarity."""
+"""Sequence kernels for Arrow UDFs: common subsequence, edit-cost maps."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import numpy as np
 import pandas as pd
 
@@ -29,11 +27,6 @@ def lcs_series(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def ratio_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Case-folded sequence-match ratio of two texts."""
-    return pd.Series([SequenceMatcher(None, x.casefold(), y.casefold()).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
 def edit_map(expected: list[str], actual: list[str]) -> np.ndarray:
     """Edit costs of consuming ``actual`` from every start to every end position in ``expected``.
 

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.functions import fixed, text as tx
 from brightloom.functions.partitions import spread
-from brightloom.functions.sequences import lcs_series, ratio_series
+from brightloom.functions.sequences import lcs_series
 
 Judge = Callable[[DataFrame, str, str], DataFrame]
+Likeness = Callable[[Column, Column], Column]
 
 
 def _words(text: Column) -> Column:
@@ -113,14 +114,21 @@ def keyword_judge(df: DataFrame, expected: str, actual: str) -> DataFrame:
     ).drop("_k", "_low", "_hit", "_miss")
 
 
-def answer_scores(df: DataFrame, expected: str, actual: str, judge: Judge | None = keyword_judge) -> DataFrame:
-    """Adds exact, fuzzy, score (and the judge's columns): exact answers 1, else fuzzy, averaged with the judge."""
-    ratio = F.pandas_udf(ratio_series, "double")
+def answer_scores(
+    df: DataFrame, expected: str, actual: str, judge: Judge | None = keyword_judge, fuzzy: Likeness | None = None
+) -> DataFrame:
+    """Adds exact, score (and the judge's and ``fuzzy``'s columns).
+
+    An exact answer, but for case and outer blanks, scores 1; any other the mean
+    of the judge's score and of ``fuzzy(expected, actual)``, as far as given.
+    """
     shaped = spread(df).withColumn("_e", tx.strip(F.col(expected))).withColumn("_a", tx.strip(F.col(actual)))
     if judge is not None:
         shaped = judge(shaped, "_e", "_a")
-    shaped = shaped.withColumn("exact", (F.lower("_e") == F.lower("_a")) & (F.col("_e") != "")).withColumn("fuzzy", ratio("_e", "_a"))
-    blended = F.col("fuzzy") if judge is None else F.col("fuzzy") * 0.5 + F.col("judge_score") * 0.5
-    return shaped.withColumn("score", F.when(F.col("exact"), 1.0).otherwise(F.bround(blended, 4))).withColumn(
-        "fuzzy", F.bround("fuzzy", 4)
-    ).drop("_e", "_a")
+    parts = [F.col("judge_score")] if judge is not None else []
+    if fuzzy is not None:
+        shaped = shaped.withColumn("fuzzy", fuzzy(F.col("_e"), F.col("_a")))
+        parts.append(F.col("fuzzy"))
+    blended = sum(parts[1:], parts[0]) / len(parts) if parts else F.lit(0.0)
+    shaped = shaped.withColumn("exact", (F.lower("_e") == F.lower("_a")) & (F.col("_e") != ""))
+    return shaped.withColumn("score", F.when(F.col("exact"), 1.0).otherwise(F.bround(blended, 4))).drop("_e", "_a")

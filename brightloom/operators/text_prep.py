@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightloom.functions import fixed, text as tx
 from brightloom.functions.partitions import spread
@@ -26,13 +26,13 @@ def chunk_documents(
     raise ValueError(f"unknown chunk strategy {strategy!r}")
 
 
+def counted_terms(df: DataFrame, row_id: str, terms: Column) -> DataFrame:
+    """(row_id, term, tf): the terms of a row are counted on the row, nothing is shuffled."""
+    return spread(df).select(row_id, F.inline(tx.counted(terms)))
+
+
 def term_counts(df: DataFrame, row_id: str, text: str, pattern: str = fixed.WORD) -> DataFrame:
-    """(row_id, term, tf). Terms of one row meet on the map side, so hot words cost little."""
-    return (
-        spread(df.select(row_id, text)).select(row_id, F.explode(tx.tokens(F.col(text), pattern)).alias("term"))
-        .groupBy(row_id, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return counted_terms(df.select(row_id, text), row_id, tx.tokens(F.col(text), pattern))
 
 
 def scrub_pii(df: DataFrame, *columns: str) -> DataFrame:
@@ -40,14 +40,13 @@ def scrub_pii(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """Keep the row with the smallest ``order`` per key.
+    """Keep the row with the smallest ``order`` per key; ``order`` must be unique, or one of the smallest stays.
 
-    Only (key, min) pairs are shuffled, combined on the map side first, so a
-    text copied into a third of all rows is no hot group; the surviving ids
-    then select their rows by a semi join on the unique ``order`` column.
+    The input is worked out once. Each task keeps one row per key before the
+    shuffle, so a text copied into a third of all rows is no hot group.
     """
-    winners = df.groupBy(key.alias("_key")).agg(F.min(order).alias(order)).select(order)
-    return df.join(winners, order, "left_semi")
+    first = Window.partitionBy("_key").orderBy(order)
+    return df.withColumn("_key", key).withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_key", "_nth")
 
 
 def dedupe(df: DataFrame, text: str, order: str) -> DataFrame:

@@ -80,7 +80,7 @@ def _answers(spark, sf):
 
 def answer_scores(spark, sf):
     out = gn.answer_scores(_answers(spark, sf), "expected", "actual")
-    return out.select("conv_id", "turn", "exact", "fuzzy", "judge_score", "score")
+    return out.select("conv_id", "turn", "exact", "judge_score", "score")
 
 
 def judge_scores(spark, sf):
@@ -213,6 +213,13 @@ FROM steps WHERE type = 'tool_call'""",
     "gate_failures": f"WITH {_AGENTS} " + " UNION ALL ".join(
         f"SELECT agent, '{m}' AS metric, {m} AS score, {t}::DOUBLE AS required FROM ag WHERE {m} < {t}" for m, t in THRESHOLDS.items()
     ),
+    "answer_scores": f"""WITH a AS (SELECT conv_id, turn, reply AS e, left(reply, ceil(length(reply) / 2)::INT) AS a FROM ({PAIRS_SQL})),
+w0 AS (SELECT *, {_keywords_sql('e')} AS k0, {_keywords_sql('a')} AS have FROM a),
+w AS (SELECT *, list_filter(k0, lambda t, i: list_position(k0, t) = i) AS k FROM w0),
+h AS (SELECT *, list_filter(k, lambda t: list_contains(have, t) OR contains(lower(a), t)) AS f FROM w),
+m AS (SELECT *, list_filter(k, lambda t: NOT list_contains(f, t)) AS miss FROM h),
+j AS (SELECT *, CASE WHEN len(k) = 0 THEN CASE WHEN {strip_sql('a')} <> '' THEN 1 ELSE 0 END ELSE round_even(len(f) / len(k)::DOUBLE, 4) END::DOUBLE AS judge_score, lower({strip_sql('e')}) = lower({strip_sql('a')}) AND {strip_sql('e')} <> '' AS exact FROM m)
+SELECT conv_id, turn, exact, judge_score, CASE WHEN exact THEN 1.0 ELSE round_even(judge_score, 4) END::DOUBLE AS score FROM j""",
     "judge_scores": f"""WITH a AS (SELECT conv_id, turn, reply AS e, left(reply, ceil(length(reply) / 2)::INT) AS a FROM ({PAIRS_SQL})),
 w0 AS (SELECT *, {_keywords_sql('e')} AS k0, {_keywords_sql('a')} AS have FROM a),
 w AS (SELECT *, list_filter(k0, lambda t, i: list_position(k0, t) = i) AS k FROM w0),

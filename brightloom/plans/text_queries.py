@@ -44,10 +44,7 @@ def token_counts(spark, sf):
 
 
 def tokens_stemmed(spark, sf):
-    return (
-        _docs(spark, sf).select("doc_id", F.explode(tx.search_terms(F.col("text"))).alias("term"))
-        .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return tp.counted_terms(_docs(spark, sf), "doc_id", tx.search_terms(F.col("text")))
 
 
 def pii_scrub(spark, sf):

@@ -138,10 +138,13 @@ def test_judge_and_answers(spark):
     assert [r["judge_score"] for r in j] == [1.0, 0.0, 1.0, 1.0]
     assert j[1]["judge_rationale"] == "Covered 0/3 reference keywords. Missing: paris, 21, degrees."
     s = gn.answer_scores(df, "e", "a").collect()
-    assert s[3]["score"] == 1.0 and s[3]["exact"] and s[1]["score"] < 0.3
-    assert s[0]["score"] == pytest.approx(0.5 * s[0]["fuzzy"] + 0.5, abs=1e-4)
-    only = gn.answer_scores(df, "e", "a", judge=None).collect()
-    assert only[0]["score"] == only[0]["fuzzy"]
+    assert s[3]["score"] == 1.0 and s[3]["exact"] and s[1]["score"] == 0.0 and s[0]["score"] == 1.0
+    alike = lambda e, a: 1 - F.levenshtein(e, a) / F.greatest(F.length(e), F.length(a))
+    both = gn.answer_scores(df, "e", "a", fuzzy=alike).collect()
+    assert both[0]["score"] == pytest.approx(0.5 * both[0]["fuzzy"] + 0.5, abs=1e-4)
+    only = gn.answer_scores(df, "e", "a", judge=None, fuzzy=alike).collect()
+    assert only[0]["score"] == pytest.approx(only[0]["fuzzy"], abs=1e-4)
+    assert gn.answer_scores(df, "e", "a", judge=None).collect()[0]["score"] == 0.0
 
 
 def test_tuned_beats_base(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.functions import fixed
 from brightloom.functions.ranking import quantiles_from_counts, running_totals
-from brightloom.session import checkpoint
+from brightloom.session import materialised
 
 
 def feature_counts(df: DataFrame, columns: Sequence[str], kind: str, window: str | None = None) -> DataFrame:
@@ -173,16 +173,17 @@ def drift_report(
     A feature without any value on one side has null PSI and severity
     ``missing``, which counts as an alert: a feed that broke must not look calm.
 
-    The two tables that both PSI and KS need are written once through the
-    checkpoint folder, so the raw rows are read once per side.
+    The tables that several parts need are written once to the shared folder,
+    so the raw rows are read once per side and kind.
     """
     ref_num = feature_counts(reference, numeric, "double")
-    cur_num = checkpoint(feature_counts(current, numeric, "double", window))
-    totals = checkpoint(reference_totals(ref_num, cur_num))
+    cur_num = materialised(feature_counts(current, numeric, "double", window), "window-counts")
+    totals = materialised(reference_totals(ref_num, cur_num), "reference-totals")
     edges = edges_of_totals(totals)
     in_ref = totals.where(F.col("ref_n") > 0).select("feature", "value", F.col("ref_n").alias("n"))
     psi = psi_of_bins(place(cur_num, edges, "window"), reference_profile(in_ref, edges), "window")
-    ref_cat, cur_cat = feature_counts(reference, categorical, "string"), feature_counts(current, categorical, "string", window)
+    ref_cat = materialised(feature_counts(reference, categorical, "string"), "reference-counts")
+    cur_cat = materialised(feature_counts(current, categorical, "string", window), "window-counts")
     ks = ks_of_totals(totals, cur_num).withColumn("ks_critical", ks_critical(F.col("n_reference"), F.col("n_current"), alpha))
     num = psi.join(ks, ["feature", "window"]).select(
         "window", "feature", "psi", "ks_statistic", "ks_critical",

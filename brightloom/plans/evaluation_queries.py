@@ -8,6 +8,7 @@ from brightloom.functions import fixed, text as tx
 from brightloom.operators import generation as gn, trajectories as tj
 from brightloom.plans.bindings import AGENTS, CASES_SQL, MODELS, PAIRS_SQL, STEPS_SQL, conversation_pairs, run_cases, run_steps
 from brightloom.plans.text_queries import snippet_sql, strip_sql, tokens_sql, words_sql
+from brightloom.session import materialised
 
 SYSTEMS = {"base": "base_output", "finetuned": "finetuned_output"}
 THRESHOLDS = {"tool_selection": 0.6, "tool_order": 0.4, "efficiency": 0.9}
@@ -34,7 +35,8 @@ def tool_selection(spark, sf):
 
 
 def _scored(spark, sf):
-    steps = run_steps(spark, sf)
+    """One table per run; the steps are written once, as every score reads them."""
+    steps = materialised(run_steps(spark, sf), "steps")
     return tj.score_runs(steps, run_cases(steps))
 
 
@@ -55,7 +57,7 @@ def cost_latency(spark, sf):
 
 
 def _summary(spark, sf):
-    return tj.agent_summary(_scored(spark, sf))
+    return tj.agent_summary(materialised(_scored(spark, sf), "runs"))
 
 
 def agent_summary(spark, sf):

@@ -12,6 +12,7 @@ from brightloom.plans.bindings import (
     LINE_CATEGORICAL, LINE_NUMERIC, SCORED_SQL, SPLIT_DAY, audit_log, line_windows, scored_customers,
 )
 from brightloom.plans.scoring_queries import LINE_RULES, _metrics_sql
+from brightloom.session import materialised
 from brightloom.sources.tables import table
 
 RULES = (*LINE_RULES, ql.ColumnRule("l_comment", "categorical"))
@@ -49,9 +50,17 @@ def validation_report(spark, sf):
     return ql.validation_report(_line(spark, sf), CONTRACT, RULES)
 
 
-def psi_numeric(spark, sf):
+def _numeric_counts(spark, sf):
+    """Value counts of both sides, written once; all that follows reads them several times."""
     ref, cur = line_windows(spark, sf)
-    out = dr.psi_numeric(dr.feature_counts(ref, LINE_NUMERIC, "double"), dr.feature_counts(cur, LINE_NUMERIC, "double", "window"))
+    return (
+        materialised(dr.feature_counts(ref, LINE_NUMERIC, "double"), "reference-counts"),
+        materialised(dr.feature_counts(cur, LINE_NUMERIC, "double", "window"), "window-counts"),
+    )
+
+
+def psi_numeric(spark, sf):
+    out = dr.psi_numeric(*_numeric_counts(spark, sf))
     return out.select("feature", F.round("psi", 6).alias("psi"))
 
 
@@ -64,8 +73,7 @@ def psi_categorical(spark, sf):
 
 
 def ks_statistic(spark, sf):
-    ref, cur = line_windows(spark, sf)
-    out = dr.ks_statistic(dr.feature_counts(ref, LINE_NUMERIC, "double"), dr.feature_counts(cur, LINE_NUMERIC, "double", "window"))
+    out = dr.ks_statistic(*_numeric_counts(spark, sf))
     return out.select("feature", F.round("ks_statistic", 6).alias("ks_statistic"), "n_reference", "n_current")
 
 

@@ -9,7 +9,7 @@ from brightloom.operators import classification as cl, features as ft, models as
 from brightloom.plans.bindings import (
     CATEGORICAL, CUSTOMERS_SQL, NUMERIC, SCORE_MODELS, SCORED_SQL, customer_features, scored_customers,
 )
-from brightloom.session import checkpoint
+from brightloom.session import materialised
 from brightloom.sources.tables import table
 
 METRICS = ["roc_auc", "pr_auc", "f1", "brier", "accuracy"]
@@ -54,15 +54,20 @@ def stratified_holdout(spark, sf):
     return ft.stratified_holdout(c, "label", "customer_id", 0.2).select("customer_id", "label", "part")
 
 
+def _scores(spark, sf):
+    """The scored rows, written once: running totals read them several times."""
+    return materialised(scored_customers(spark, sf), "scores")
+
+
 def classification_metrics(spark, sf):
-    return _round(cl.classification_metrics(scored_customers(spark, sf)), *METRICS)
+    return _round(cl.classification_metrics(_scores(spark, sf)), *METRICS)
 
 
 def _cv(spark, sf):
     folds = ft.stratified_folds(
         customer_features(spark, sf).select("customer_id", "label"), "label", "customer_id", 5
     ).select("customer_id", "fold")
-    by_fold = cl.classification_metrics(scored_customers(spark, sf).join(folds, "customer_id"), ["model", "fold"])
+    by_fold = cl.classification_metrics(_scores(spark, sf).join(folds, "customer_id"), ["model", "fold"])
     return cl.cv_summary(by_fold, METRICS)
 
 
@@ -71,12 +76,12 @@ def cv_metrics(spark, sf):
 
 
 def model_leaderboard(spark, sf):
-    ranked = cl.leaderboard(cl.classification_metrics(scored_customers(spark, sf)), SCORE_MODELS)
+    ranked = cl.leaderboard(cl.classification_metrics(_scores(spark, sf)), SCORE_MODELS)
     return _round(ranked.select("model", "rank", "roc_auc"), "roc_auc")
 
 
 def roc_points(spark, sf):
-    return _round(cl.roc_points(scored_customers(spark, sf)), "fpr", "tpr")
+    return _round(cl.roc_points(_scores(spark, sf)), "fpr", "tpr")
 
 
 def profit_curve(spark, sf):
@@ -111,7 +116,7 @@ def quarantine(spark, sf):
 
 def _prepared(spark, sf):
     # Every fit reads these rows many times, so the joined features are written once.
-    c = checkpoint(ft.stratified_holdout(customer_features(spark, sf), "label", "customer_id", 0.2))
+    c = materialised(ft.stratified_holdout(customer_features(spark, sf), "label", "customer_id", 0.2), "training-rows")
     train = c.where(F.col("part") == "train")
     prepared = md.Prepared(train, NUMERIC, CATEGORICAL)
     return prepared.apply(train), prepared.apply(c.where(F.col("part") == "test"))

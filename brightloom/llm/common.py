@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from brightloom.session import materialised, scratch_path
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which all executors see.
-
-    Only where the setting is missing (single-machine tests) is a folder of our own chosen and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder named by ``spark.checkpoint.dir``, which all executors see."""
+    return scratch_path(spark, label)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -34,9 +22,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     the planner: a join with it is broadcast only below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffled beyond.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialised(df, label)
 
 
 def word_count(text: Column) -> Column:

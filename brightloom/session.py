@@ -37,10 +37,19 @@ def local_session(app: str = "brightloom", cpus: int | str = "*", shuffle_partit
 
 
 def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
-    """The folder that all executors see: the argument, or the setting ``spark.checkpoint.dir``; none is an error."""
+    """The folder that all executors see: the argument, or the setting ``spark.checkpoint.dir``.
+
+    Without either a local session, whose only executor is the driver, gets a
+    folder of its own; on a cluster that is an error.
+    """
     folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("no shared folder: set spark.checkpoint.dir or name one")
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("no shared folder: set spark.checkpoint.dir or name one")
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

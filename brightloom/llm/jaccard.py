@@ -111,13 +111,17 @@ def _long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows: what a task holds of its texts' n-grams at a time."""
+    return (batch.slice(start, rows) for batch in batches for start in range(0, batch.num_rows, rows))
+
+
 def _keyed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch["text"]]
+            found = [(node_of(s) if len(s) else None, len(s)) for s in (shingles(t.as_py(), width) for t in batch["text"])]
             yield pa.RecordBatch.from_arrays([
-                batch["doc_id"], pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64()),
+                batch["doc_id"], pa.array([node for node, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()),
             ], ["doc_id", "node", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -129,13 +133,13 @@ def _order(docs: DataFrame, width: int, percent: int) -> Order:
 
     Prefixes hold about (1 - similarity) of a set, so of the n-grams that come
     first by hash, 1.6 times that share, every one is counted. Of the others only
-    those that recur among the documents of a batch are, which common passages do.
-    Copies within a batch count once.
+    those that recur among the documents of a slice are, which common passages do.
+    Copies within a slice count once.
     """
     limit = np.uint64(min(0.99, 1.6 * (100 - percent) / 100) * 2.0**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 8 * BATCH_ROWS):
             sets = {node_of(s): s for s in (shingles(t.as_py(), width) for t in batch["text"]) if len(s)}
             every = np.concatenate([*sets.values(), np.zeros(0, np.uint64)])
             every.sort()
@@ -156,7 +160,7 @@ def _postings(docs: DataFrame, width: int, percent: int, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, met = shared.value, set()
-        for batch in batches:
+        for batch in _parts(batches, BATCH_ROWS):
             terms, parts, nodes, sizes, lengths = [], [], [], [], []
             for t in batch["text"]:
                 items = shingles(t.as_py(), width)
@@ -205,19 +209,18 @@ def _sets(docs: DataFrame, chosen: DataFrame, width: int, percent: int, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH_ROWS):
-                batch, rows = whole.slice(start, BATCH_ROWS), []
-                for t, node in zip(batch["text"], batch["node"].to_pylist(), strict=True):
-                    items = shingles(t.as_py(), width)
-                    if len(items) and node_of(items) == node:
-                        counted, p = order.counted(items), len(items) - _need(len(items), percent) + 1
-                        rows.append((node, _long(items), [_long(items[order.prefix(items, counted, k, p)]) for k in range(1, len(_SEEDS))]))
-                node, items, others = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(node, pa.int64()), pa.array(items, pa.list_(pa.int64())),
-                    pa.array(others, pa.list_(pa.list_(pa.int64()))),
-                ], ["node", "items", "others"])
+        for batch in _parts(batches, BATCH_ROWS):
+            rows = []
+            for t, node in zip(batch["text"], batch["node"].to_pylist(), strict=True):
+                items = shingles(t.as_py(), width)
+                if len(items) and node_of(items) == node:
+                    counted, p = order.counted(items), len(items) - _need(len(items), percent) + 1
+                    rows.append((node, _long(items), [_long(items[order.prefix(items, counted, k, p)]) for k in range(1, len(_SEEDS))]))
+            node, items, others = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(node, pa.int64()), pa.array(items, pa.list_(pa.int64())),
+                pa.array(others, pa.list_(pa.list_(pa.int64()))),
+            ], ["node", "items", "others"])
 
     texts = docs.where(_sieve(chosen, F.col("doc_id"))).join(chosen, "doc_id").select("text", "node")
     return texts.mapInArrow(run, "node long, items array<long>, others array<array<long>>").dropDuplicates(["node"])

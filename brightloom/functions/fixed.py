@@ -142,3 +142,17 @@ REPORT_RUBRIC = (
 REPORT_MIN_CHARS = 400
 REPORT_BRIEF_WEIGHT = 1
 REPORT_BRIEF_ISSUE = "Expand the report; it is too brief to be useful."
+
+# --- fixed values: reasons of a promotion decision --------------------------------
+
+PROMOTION_LOW_AUC = "candidate auc %.4f below floor {min_auc:.2f}"
+PROMOTION_HIGH_BRIER = "candidate brier %.4f above cap {max_brier:.2f}"
+PROMOTION_FIRST = "no production model - first promotion"
+PROMOTION_BEATS = "candidate auc %.4f beats production %.4f + margin {margin:.3f}"
+PROMOTION_BEHIND = "candidate auc %.4f < required %.4f (production %.4f + margin {margin:.3f})"
+
+# --- fixed values: rationale of the keyword judge -----------------------------------
+
+JUDGE_NO_KEYWORDS = "No reference keywords; graded on non-empty answer."
+JUDGE_COVERED, JUDGE_KEYWORDS, JUDGE_MISSING = "Covered ", " reference keywords.", " Missing: "
+JUDGE_LISTED = 6

@@ -19,14 +19,14 @@ Forecaster = Callable[[np.ndarray, int], np.ndarray]
 
 def seasonal_naive(y: np.ndarray, horizon: int, season: int = fixed.SEASON) -> np.ndarray:
     if len(y) < season:
-        raise ValueError(f"Need at least {season} observations, got {len(y)}")
+        raise ValueError(f"{len(y)} values do not fill a season of {season}")
     return np.resize(y[-season:], horizon)
 
 
 def holt_winters(y: np.ndarray, horizon: int, season: int = fixed.SEASON) -> np.ndarray:
     """Additive damped-trend exponential smoothing; the smoothing grid is searched in parallel arrays."""
     if len(y) < 2 * season:
-        raise ValueError("Need at least two full seasonal cycles")
+        raise ValueError(f"{len(y)} values do not fill two seasons of {season}")
     grid = np.array(list(product((0.05, 0.1, 0.2, 0.4), (0.0, 0.01, 0.05), (0.05, 0.1, 0.3), (0.9, 0.98))))
     alpha, beta, gamma, phi = grid.T
     first, second = y[:season], y[season : 2 * season]

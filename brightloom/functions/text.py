@@ -78,9 +78,9 @@ def snippet(text: Column, n: int = 2) -> Column:
 def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
     """Character windows of ``size`` sharing ``overlap`` characters; blank windows dropped."""
     if size <= 0:
-        raise ValueError(f"size must be positive, got {size}")
+        raise ValueError(f"a chunk needs at least one character, not {size}")
     if not 0 <= overlap < size:
-        raise ValueError(f"overlap must satisfy 0 <= overlap < size, got {overlap}")
+        raise ValueError(f"chunks of {size} cannot overlap by {overlap}")
     step = size - overlap
     last = F.ceil(F.greatest(F.length(text) - size, F.lit(0)) / step).cast("int")
     cut = F.transform(
@@ -92,7 +92,7 @@ def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
 def sentence_chunks(text: Column, size: int) -> Column:
     """Whole sentences packed greedily up to ``size`` characters; a longer sentence stays whole."""
     if size <= 0:
-        raise ValueError(f"size must be positive, got {size}")
+        raise ValueError(f"a chunk needs at least one character, not {size}")
 
     def pack(acc: Column, sentence: Column) -> Column:
         full = (acc["open"] != "") & (F.length(acc["open"]) + 1 + F.length(sentence) > size)

@@ -16,7 +16,7 @@ def resolve(name: str, candidates: Sequence[str], what: str = "table") -> str:
     """Trimmed, case-insensitive lookup; an unknown name lists the candidates."""
     found = {c.lower(): c for c in candidates}.get(name.strip().lower())
     if found is None:
-        raise ValueError(f"Unknown {what} {name!r}. Available: {', '.join(candidates)}")
+        raise ValueError(f"no {what} named {name!r}; there are {', '.join(candidates)}")
     return found
 
 

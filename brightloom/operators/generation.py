@@ -101,15 +101,15 @@ def keyword_judge(df: DataFrame, expected: str, actual: str) -> DataFrame:
     n, hits = F.size("_k"), F.size("_hit")
     blank = F.when(tx.strip(a) != "", 1.0).otherwise(0.0)
     covered = F.concat(
-        F.lit("Covered "), hits.cast("string"), F.lit("/"), n.cast("string"), F.lit(" reference keywords."),
+        F.lit(fixed.JUDGE_COVERED), hits.cast("string"), F.lit("/"), n.cast("string"), F.lit(fixed.JUDGE_KEYWORDS),
         F.when(
-            F.size("_miss") > 0, F.concat(F.lit(" Missing: "), F.array_join(F.slice("_miss", 1, 6), ", "), F.lit("."))
+            F.size("_miss") > 0, F.concat(F.lit(fixed.JUDGE_MISSING), F.array_join(F.slice("_miss", 1, fixed.JUDGE_LISTED), ", "), F.lit("."))
         ).otherwise(""),
     )
     return out.withColumns(
         {
             "judge_score": F.when(n == 0, blank).otherwise(F.bround(F.try_divide(hits, n), 4)),
-            "judge_rationale": F.when(n == 0, F.lit("No reference keywords; graded on non-empty answer.")).otherwise(covered),
+            "judge_rationale": F.when(n == 0, F.lit(fixed.JUDGE_NO_KEYWORDS)).otherwise(covered),
         }
     ).drop("_k", "_low", "_hit", "_miss")
 

@@ -30,7 +30,7 @@ def estimator(name: str, n_rows: int, seed: int = 42, **params):
     if name == "boosted_trees":
         settings = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2, "seed": seed, **params}
         return GBTClassifier(**common, **settings)
-    raise ValueError(f"Unknown model {name!r}. Expected one of {list(CANDIDATES)}.")
+    raise ValueError(f"no candidate named {name!r} among {list(CANDIDATES)}")
 
 
 def encoder_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:

@@ -26,13 +26,13 @@ def promotion_decisions(
     beats = prod_auc.isNotNull() & (auc >= required)
     first = prod_auc.isNull() & ~low & ~high
     reasons = F.array(
-        F.when(low, F.format_string(f"candidate auc %.4f below floor {min_auc:.2f}", auc)),
-        F.when(high, F.format_string(f"candidate brier %.4f above cap {max_brier:.2f}", brier)),
-        F.when(first, F.lit("no production model - first promotion")),
-        F.when(beats, F.format_string(f"candidate auc %.4f beats production %.4f + margin {margin:.3f}", auc, prod_auc)),
+        F.when(low, F.format_string(fixed.PROMOTION_LOW_AUC.format(min_auc=min_auc), auc)),
+        F.when(high, F.format_string(fixed.PROMOTION_HIGH_BRIER.format(max_brier=max_brier), brier)),
+        F.when(first, F.lit(fixed.PROMOTION_FIRST)),
+        F.when(beats, F.format_string(fixed.PROMOTION_BEATS.format(margin=margin), auc, prod_auc)),
         F.when(
             behind,
-            F.format_string(f"candidate auc %.4f < required %.4f (production %.4f + margin {margin:.3f})", auc, required, prod_auc),
+            F.format_string(fixed.PROMOTION_BEHIND.format(margin=margin), auc, required, prod_auc),
         ),
     )
     return c.withColumn("promote", ~low & ~high & ~behind).withColumn(
@@ -63,7 +63,7 @@ def rollback_events(audit: DataFrame, reason: str) -> DataFrame:
     state = registry_state(audit)
     target = F.coalesce(
         F.col("rollback_target"),
-        F.raise_error(F.concat(F.lit("No previous production version to roll back to: "), F.col("model").cast("string"))).cast("long"),
+        F.raise_error(F.concat(F.lit("nothing to roll back to for "), F.col("model").cast("string"))).cast("long"),
     )
     return state.select(
         F.current_timestamp().alias("timestamp"), F.lit("rollback").alias("event"), "model",

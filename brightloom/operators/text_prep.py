@@ -102,9 +102,9 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``split``; per stratum exactly ``round_half_even(n * fraction)`` rows for train and val."""
     if not 0 < train < 1 or not 0 < val < 1:
-        raise ValueError("train and val must be in (0, 1)")
+        raise ValueError("each share must lie between 0 and 1")
     if train + val >= 1:
-        raise ValueError("train + val must be < 1 to leave a test split")
+        raise ValueError("the shares leave nothing to test on")
     ranked = shuffled_rank(df, [stratum], row_id, seed)
     n_train = F.bround(F.col("stratum_n") * train)
     n_val = F.bround(F.col("stratum_n") * val)
@@ -117,7 +117,7 @@ def stratified_split(
 def chat_text(template: str, system: Column, user: Column, assistant: Column) -> Column:
     formats = {"llama3": fixed.LLAMA3_FORMAT, "chatml": fixed.CHATML_FORMAT}
     if template not in formats:
-        raise KeyError(f"Unknown chat template {template!r}; available: {sorted(formats)}")
+        raise KeyError(f"no chat format named {template!r} among {sorted(formats)}")
     return tx.fill(formats[template], system=system, user=user, assistant=assistant)
 
 

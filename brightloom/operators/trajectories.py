@@ -251,7 +251,7 @@ def gate_failures(summary: DataFrame, thresholds: Mapping[str, float]) -> DataFr
     """(agent, metric, score, required) below their minimum; an unknown metric is an error."""
     unknown = sorted(set(thresholds) - set(summary.columns))
     if unknown:
-        raise KeyError(f"thresholds for unknown metrics {unknown}; available: {sorted(summary.columns)}")
+        raise KeyError(f"no such metrics: {unknown}; the summary has {sorted(summary.columns)}")
     cells = [
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("score"), F.lit(float(t)).alias("required"))
         for m, t in thresholds.items()
@@ -265,4 +265,4 @@ def assert_agents_pass(summary: DataFrame, thresholds: Mapping[str, float]) -> N
     failed = gate_failures(summary, thresholds).orderBy("agent", "metric").collect()
     if failed:
         lines = [f"{r['agent']} {r['metric']}: {r['score']:.3f} < required {r['required']:.3f}" for r in failed]
-        raise ThresholdsMissed(f"{len(failed)} threshold(s) failed:\n  " + "\n  ".join(lines))
+        raise ThresholdsMissed(f"{len(failed)} scores below their minimum:\n  " + "\n  ".join(lines))

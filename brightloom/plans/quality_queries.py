@@ -13,6 +13,7 @@ from brightloom.plans.bindings import (
 )
 from brightloom.plans.scoring_queries import LINE_RULES, _metrics_sql
 from brightloom.session import materialised
+from brightloom.streaming import telemetry as st
 from brightloom.sources.tables import table
 
 RULES = (*LINE_RULES, ql.ColumnRule("l_comment", "categorical"))
@@ -103,6 +104,15 @@ def telemetry_histogram(spark, sf):
     return tm.histogram(table(spark, sf, "events"), ["event_type"], "value", LATENCY_EDGES)
 
 
+def windowed_telemetry(spark, sf):
+    """The streaming histogram per hour, over the stored events."""
+    return st.windowed_histogram(table(spark, sf, "events"), "ts", "event_type", "value", LATENCY_EDGES)
+
+
+def windowed_requests(spark, sf):
+    return st.request_rate(table(spark, sf, "events"), "ts", "event_type")
+
+
 def request_counts(spark, sf):
     e = table(spark, sf, "events").withColumn("status", F.when(F.col("event_type") == "error", 500).otherwise(200))
     return tm.request_counts(e.select(F.col("event_type").alias("endpoint"), "status"), "endpoint", "status")
@@ -118,7 +128,7 @@ QUERIES = {
     for f in (
         schema_checks, null_fractions, range_checks, domain_checks, domain_violations, validation_report, psi_numeric,
         psi_categorical, ks_statistic, drift_report, drift_by_month, promotion_decisions, registry_state,
-        telemetry_histogram, request_counts, score_histogram,
+        telemetry_histogram, windowed_telemetry, windowed_requests, request_counts, score_histogram,
     )
 }
 
@@ -246,6 +256,10 @@ FROM cur JOIN a ON a.model = cur.model GROUP BY 1""",
     "telemetry_histogram": " UNION ALL ".join(
         f"SELECT event_type, '{e}' AS le, count(*) FILTER (value <= {e}) AS observations FROM events GROUP BY 1" for e in LATENCY_EDGES
     ) + " UNION ALL SELECT event_type, '+Inf', count(value) FROM events GROUP BY 1",
+    "windowed_telemetry": "SELECT date_trunc('hour', ts) AS window_start, event_type, CASE "
+    + " ".join(f"WHEN value <= {e} THEN '{float(e)}'" for e in LATENCY_EDGES)
+    + " ELSE '+Inf' END AS le, count(*) AS observations FROM events GROUP BY 1, 2, 3",
+    "windowed_requests": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS requests FROM events GROUP BY 1, 2",
     "request_counts": "SELECT event_type AS endpoint, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, count(*) AS requests FROM events GROUP BY 1, 2",
     "score_histogram": f"WITH s AS (SELECT *, (score >= 0.5)::INT AS predicted_class FROM ({SCORED_SQL})) "
     + " UNION ALL ".join(

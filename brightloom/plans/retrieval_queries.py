@@ -116,6 +116,10 @@ def citation_numbers(spark, sf):
     return an.citation_numbers(hits.select("report_id", "question_no", "rank", "url"))
 
 
+def reference_list(spark, sf):
+    return an.references(citation_numbers(spark, sf), _pages(spark, sf).select("url", "title"))
+
+
 def batch_findings(spark, sf):
     return an.findings(_questions(spark, sf), _keyword_hits(spark, sf), _pages(spark, sf))
 
@@ -136,7 +140,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hashed_embedding, normalized_embeddings, vector_topk, bm25_index, bm25_topk, rrf_fusion, hybrid_retrieval,
-        keyword_search, extractive_answers, context_blocks, citation_numbers, batch_findings, rubric_score, section_digest,
+        keyword_search, extractive_answers, context_blocks, citation_numbers, reference_list, batch_findings, rubric_score, section_digest,
     )
 }
 
@@ -241,6 +245,8 @@ SELECT item_id AS query_id, coalesce(answer, '{fixed.NO_CONTEXT_ANSWER}') AS ans
   FROM hy JOIN documents d ON d.doc_id = hy.id GROUP BY 1)
 SELECT item_id AS query_id, coalesce(c, '{fixed.NO_SOURCES}') AS context FROM benchmark LEFT JOIN c ON q = item_id""",
     "citation_numbers": f"WITH {_CITED} SELECT report_id, url, citation FROM cn",
+    "reference_list": f"""WITH {_CITED} SELECT report_id, citation, '[' || citation || '] ' || title || ' - ' || cn.url AS line
+FROM cn JOIN pg ON pg.url = cn.url""",
     "batch_findings": f"""WITH {_CITED}, sn AS (SELECT id, {snippet_sql('body')} AS snip FROM pg),
 a AS (SELECT ch.q, string_agg(rtrim({_first_sentence_sql('snip')}, '.') || ' [' || citation || '].', ' ' ORDER BY ch.r) AS answer
   FROM ch JOIN cn ON cn.report_id = ch.report_id AND cn.url = ch.url JOIN sn ON sn.id = ch.id WHERE snip <> '' GROUP BY 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from brightloom.functions import fixed
@@ -54,6 +56,14 @@ def stratified_holdout(spark, sf):
     return ft.stratified_holdout(c, "label", "customer_id", 0.2).select("customer_id", "label", "part")
 
 
+def one_hot(spark, sf):
+    """The set place of each customer's one-hot segment."""
+    c = customer_features(spark, sf).select("customer_id", "segment")
+    hot = Pipeline(stages=md.encoder_stages([], ["segment"])).fit(c).transform(c)
+    placed = hot.select("customer_id", F.posexplode(vector_to_array("segment_hot")).alias("place", "value"))
+    return placed.where("value > 0")
+
+
 def _scores(spark, sf):
     """The scored rows, written once: running totals read them several times."""
     return materialised(scored_customers(spark, sf), "scores")
@@ -144,7 +154,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            impute_stats, standardized, stratified_holdout, classification_metrics, cv_metrics, model_leaderboard,
+            impute_stats, standardized, stratified_holdout, one_hot, classification_metrics, cv_metrics, model_leaderboard,
             roc_points, profit_curve, best_threshold, f1_threshold, linear_attributions, top_drivers, quarantine,
             train_candidates, tuned_model, batch_scores,
         )
@@ -200,6 +210,7 @@ def _reason_sql(r: ql.ColumnRule) -> list[str]:
 _REASONS = "list_filter([" + ", ".join(x for r in LINE_RULES for x in _reason_sql(r)) + "], lambda x: x IS NOT NULL)"
 
 ORACLES = {
+    "one_hot": f"""SELECT customer_id, (dense_rank() OVER (ORDER BY segment) - 1)::INT AS place, 1.0::DOUBLE AS value FROM ({CUSTOMERS_SQL})""",
     "customer_features": f"""WITH c AS ({CUSTOMERS_SQL})
 SELECT customer_id, CASE WHEN tenure_months <= 6 THEN '0-6m' WHEN tenure_months <= 12 THEN '6-12m'
   WHEN tenure_months <= 24 THEN '12-24m' WHEN tenure_months <= 48 THEN '24-48m' WHEN tenure_months IS NOT NULL THEN '48m+' END AS tenure_bucket,

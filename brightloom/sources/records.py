@@ -82,7 +82,7 @@ def load_examples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
                 rows = rows.withColumn(name, F.lit(None).cast("string"))
         rows = rows.select(*EXAMPLE_FIELDS, F.lit(None).cast("map<string,string>").alias("meta"))
         return _split(rows, EXAMPLE_FIELDS)
-    raise ValueError(f"Unsupported extension in {path!r}; expected .jsonl or .csv")
+    raise ValueError(f"{path!r} is neither .jsonl nor .csv")
 
 
 def save_examples(df: DataFrame, path: str) -> None:
@@ -91,14 +91,14 @@ def save_examples(df: DataFrame, path: str) -> None:
     elif path.endswith(".csv"):
         df.drop("meta").select(*EXAMPLE_FIELDS).write.mode("overwrite").csv(path, header=True, escape='"')
     else:
-        raise ValueError(f"Unsupported extension in {path!r}; expected .jsonl or .csv")
+        raise ValueError(f"{path!r} is neither .jsonl nor .csv")
 
 
 def load_predictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Prediction pairs; a file without any row is an error."""
     raw = _read_json(spark, path, PREDICTION_SCHEMA)
     if raw.isEmpty():
-        raise BadRecords(f"{path}: no prediction rows found")
+        raise BadRecords(f"{path} holds no predictions")
     return _split(raw, PREDICTION_FIELDS, blank_counts=False)
 
 
@@ -122,7 +122,7 @@ def load_series(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     names = {c.strip().lower(): c for c in raw.columns}
     absent = {"date", "value"} - set(names)
     if absent:
-        raise ValueError(f"CSV must contain columns 'date' and 'value'; missing {sorted(absent)}")
+        raise ValueError(f"a daily series needs a date and a value; missing: {sorted(absent)}")
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
     rows = raw.select(
         stem.alias("series_id"),

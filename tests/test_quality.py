@@ -150,7 +150,7 @@ def test_registry_state(spark):
     assert got == {"a": (1, 2), "b": (7, None)}
     moved = pm.rollback_events(log.where("model = 'a'"), "bad").first()
     assert (moved["version"], moved["previous_version"]) == (2, 1)
-    with pytest.raises(Exception, match="No previous production version"):
+    with pytest.raises(Exception, match="nothing to roll back to"):
         pm.rollback_events(log, "bad").collect()
 
 

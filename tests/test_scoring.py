@@ -142,7 +142,7 @@ def test_models_beat_chance_and_survive_saving(spark, learnable):
     assert meta == {"threshold": "0.41", "version": "3"}
     rows = md.batch_scores(model, test, "id", 0.41, 3).collect()
     assert len(rows) == test.count() and all(r["decision"] == (r["probability"] >= 0.41) for r in rows)
-    with pytest.raises(ValueError, match="Unknown model"):
+    with pytest.raises(ValueError, match="no candidate named"):
         md.estimator("nope", 10)
 
 

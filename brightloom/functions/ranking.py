@@ -9,6 +9,7 @@ come from a sketch, but any increasing edges give the same answer.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -17,9 +18,8 @@ _BLOCK = 16  # edges per block of the two-step slice search
 
 
 def slice_count(df: DataFrame) -> int:
-    """Slices per group: as many as the cluster runs shuffle partitions, within reason."""
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(parallel, 512))
+    """Slices per group: as many as the cluster runs shuffle partitions, so one group can use them all."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def _slice_of(value: Column) -> Column:
@@ -53,8 +53,8 @@ def running_totals(
 
     Adds ``cum_<m>`` (inclusive) and ``all_<m>`` (key total). ``counts`` holds
     one row per key and value. ``few_keys`` states that the keys are names of
-    features, models or agents, so the edge and slice tables (at most 512
-    numbers per key) have a proven bound and may be broadcast; otherwise Spark
+    features, models or agents, so the edge and slice tables (a number
+    per shuffle partition and key) have a proven bound and may be broadcast; otherwise Spark
     chooses. With ``ranks`` (0-based, over ``all_<m>`` of the first measure)
     only the slices that hold one of these ranks are kept.
     """
@@ -127,11 +127,13 @@ def quantiles(
 def shuffled_rank(df: DataFrame, strata: Sequence[str], row_id: str, seed: int | str) -> DataFrame:
     """Seeded random order inside each stratum: adds ``rank`` (1-based) and ``stratum_n``.
 
-    The order is that of ``md5(seed:id)``. Its first two hex digits cut a
-    stratum into 256 equal slices, already in the right order.
+    The order is that of ``md5(seed:id)``. Its first hex digits cut a stratum
+    into equal slices, already in the right order: as many digits as it takes
+    to have a slice per shuffle partition.
     """
     mixed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")).cast("binary")))
-    mixed = mixed.withColumn("_slice", F.substring("_h", 1, 2))
+    digits = math.ceil(math.log(slice_count(df), 16))
+    mixed = mixed.withColumn("_slice", F.substring("_h", 1, digits))
     sizes = mixed.groupBy(*strata, "_slice").agg(F.count(F.lit(1)).alias("_m"))
     order = Window.partitionBy(*strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -46,6 +46,18 @@ def edit_map(expected: list[str], actual: list[str]) -> np.ndarray:
     return cost
 
 
+def edit_distance(expected: list[str], actual: list[str]) -> int:
+    """Edit distance alone: one row of costs instead of the whole map."""
+    at = np.arange(len(expected) + 1)
+    row, keys = at.copy(), np.array(expected, dtype=object)
+    for symbol in actual:
+        step = row + 1
+        if len(keys):
+            step[1:] = np.minimum(step[1:], row[:-1] + (keys != symbol))
+        row = np.minimum.accumulate(step - at) + at
+    return int(row[-1])
+
+
 def chain(maps: list[np.ndarray]) -> float:
     """Edit distance from the maps of consecutive parts."""
     row = maps[0][0]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.functions import fixed
 from brightloom.functions.ranking import quantiles, row_numbers
-from brightloom.functions.sequences import chain, edit_map
+from brightloom.functions.sequences import chain, edit_distance, edit_map
 
 LONG_RUN = 20_000  # tool calls a single task may hold as one sequence
 PART_SLICES = 256
@@ -102,7 +102,7 @@ def _wide_vocabulary(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            d = [edit_map(list(r), list(a))[0, -1] for r, a in zip(b["reference"], b["actual"])]
+            d = [edit_distance(list(r), list(a)) for r, a in zip(b["reference"], b["actual"])]
             yield pd.DataFrame({"run_id": b["run_id"], "distance": np.array(d, dtype="int64")})
 
     return df.where(F.col("distance").isNull()).select("run_id", "reference", "actual").mapInPandas(run, "run_id string, distance long")

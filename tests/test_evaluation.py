@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.functions.sequences import chain, edit_map, lcs_length
+from brightloom.functions.sequences import chain, edit_distance, edit_map, lcs_length
 from brightloom.operators import generation as gn, trajectories as tj
 
 STEP = (
@@ -74,7 +74,7 @@ def test_edit_maps_compose():
     for _ in range(60):
         a, b = rng.choices("abc", k=rng.randint(0, 6)), rng.choices("abc", k=rng.randint(1, 12))
         cut = rng.randint(0, len(b))
-        assert chain([edit_map(a, b[:cut]), edit_map(a, b[cut:])]) == plain_distance(a, b) == edit_map(a, b)[0, -1]
+        assert chain([edit_map(a, b[:cut]), edit_map(a, b[cut:])]) == plain_distance(a, b) == edit_map(a, b)[0, -1] == edit_distance(a, b)
 
 
 def test_long_and_wide_runs_take_the_exact_way(spark):

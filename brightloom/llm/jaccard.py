@@ -30,6 +30,8 @@ from brightloom.llm.components import components
 ORDER_TERMS, ORDER_MIN = 1 << 18, 8
 #: Documents of a frequent n-gram that share one pivot.
 PIVOT_SPAN = 4096
+#: Rounds in which families try to merge before pairs between them are listed, and pairs each tries a round.
+MERGE_ROUNDS, TRIALS = 2, 8
 BATCH_ROWS = 256
 #: Bits of the table that tells which documents' texts are fetched.
 SIEVE_BITS = 1 << 20
@@ -282,6 +284,22 @@ def _linked(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int, p
     return joined.select("a", "b")
 
 
+def _labelled(postings: DataFrame, families: DataFrame) -> DataFrame:
+    return stored(postings.join(families, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+
+
+def _trials(labelled: DataFrame) -> DataFrame:
+    """(a, b): for every family a few pairs of one of its sets with one of the largest family met under the same n-gram."""
+    spread_ = F.xxhash64("term", "node")  # another member under every n-gram
+    groups = labelled.groupBy("term", "root").agg(F.min_by("node", spread_).alias("rep"), F.count(F.lit(1)).alias("m"))
+    tops = groups.groupBy("term").agg(F.max(F.struct("m", "root", "rep")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = groups.join(tops, "term").where("root <> top.root").groupBy("root", F.col("rep").alias("a"), F.col("top.rep").alias("b"))
+    first = Window.partitionBy("root").orderBy(F.desc("c"), F.xxhash64("a", "b"))
+    return met.agg(F.count(F.lit(1)).alias("c")).withColumn("nth", F.row_number().over(first)).where(
+        F.col("nth") <= TRIALS
+    ).select("a", "b")
+
+
 def classify(
     docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
@@ -319,10 +337,16 @@ def classify(
     near_links = _linked(docs, members, _promising(met, percent), width, percent, shared)
     first = stored(components(near_links, "families"), "families")
 
+    # A few more pivots: a family or lone set tries members of the largest family it shares n-grams with.
+    labelled = _labelled(postings, first)
+    for _ in range(MERGE_ROUNDS):
+        met = _trials(labelled).join(_side(postings, "a"), "a").join(_side(postings, "b"), ["term", "b"])
+        more = _linked(docs, members, _promising(met, percent), width, percent, shared)
+        old = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        first = stored(components(more.unionByName(old), "families"), "families")
+        labelled = _labelled(postings, first)
+
     # Every candidate pair from different families; terms of one family only have none.
-    labelled = stored(
-        postings.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled"
-    )
     mixed = labelled.groupBy("term").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("term")
     open_ = stored(labelled.join(mixed, "term", "left_semi"), "open")
     # of two sets that link, the smaller one holds the first common n-gram early; so does the other, as its size allows

@@ -16,19 +16,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from brightloom.operators import classification as cl, features as ft
 
 CANDIDATES = ("logistic_regression", "random_forest", "boosted_trees")
+#: The deepest tree that Spark builds; the forest's trees are not limited otherwise.
+MAX_DEPTH = 30
+#: Boosting rounds that tuning chooses from.
+ROUNDS = (100, 200, 300, 400, 500)
 
 
 def estimator(name: str, n_rows: int, seed: int = 42, **params):
-    """A classifier over (features, label, weight)."""
+    """A classifier over (features, label, weight); ``params`` replace its settings.
+
+    Forest trees may grow to depth 30, the deepest that Spark builds. Boosted trees
+    of 31 leaves are trees of depth 5 here, as Spark grows trees by levels.
+    """
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if name == "logistic_regression":
         c = params.pop("C", 1.0)
-        return LogisticRegression(maxIter=100, regParam=1.0 / (c * max(n_rows, 1)), **common, **params)
+        settings = {"maxIter": 2000, "regParam": 1.0 / (c * max(n_rows, 1)), **params}
+        return LogisticRegression(**common, **settings)
     if name == "random_forest":
-        settings = {"numTrees": 30, "maxDepth": 6, "minInstancesPerNode": 5, "seed": seed, **params}
+        settings = {"numTrees": 300, "maxDepth": MAX_DEPTH, "minInstancesPerNode": 5, "seed": seed, **params}
         return RandomForestClassifier(**common, **settings)
     if name == "boosted_trees":
-        settings = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2, "seed": seed, **params}
+        settings = {
+            "maxIter": 300, "maxDepth": 5, "stepSize": 0.05, "minInstancesPerNode": 20, "subsamplingRate": 0.9,
+            "featureSubsetStrategy": "0.9", "seed": seed, **params,
+        }
         return GBTClassifier(**common, **settings)
     raise ValueError(f"no candidate named {name!r} among {list(CANDIDATES)}")
 
@@ -96,33 +108,52 @@ def compare_candidates(fitted: dict[str, PipelineModel], test: DataFrame, row_id
     return cl.leaderboard(cl.classification_metrics(scored), list(fitted))
 
 
-def tune_boosted_trees(
-    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], fold_col: str, trials: int = 4, seed: int = 42
-) -> DataFrame:
-    """Seeded random search maximising the mean CV AUC: one row per trial with its rank."""
+def draw_trials(trials: int, seed: int = 42, rounds: Sequence[int] = ROUNDS) -> list[dict]:
+    """Seeded settings of boosted trees: rounds, learning rate, tree size, rows per leaf and split penalty.
+
+    15 to 63 leaves are trees of depth 4 to 6. Spark's trees know no L2 penalty
+    on leaves; the least gain of a split is searched in its place.
+    """
     rng = random.Random(seed)
-    gbt = estimator("boosted_trees", 0, seed, maxIter=5)
-    grid = [
+    return [
         {
-            gbt.maxDepth: rng.randint(2, 5),
-            gbt.stepSize: round(0.02 * 10 ** rng.random(), 4),
-            gbt.minInstancesPerNode: rng.randint(5, 40),
+            "maxIter": rng.choice(list(rounds)),
+            "stepSize": round(0.02 * 10 ** rng.random(), 4),
+            "maxDepth": (rng.randint(15, 63) - 1).bit_length(),
+            "minInstancesPerNode": rng.randint(10, 60),
+            "minInfoGain": 10 ** rng.uniform(-6, -2),
         }
         for _ in range(trials)
     ]
+
+
+def tune_boosted_trees(
+    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], fold_col: str, trials: int = 15, seed: int = 42,
+    rounds: Sequence[int] = ROUNDS,
+) -> DataFrame:
+    """Seeded random search maximising the mean CV AUC: one row per trial with its rank."""
+    gbt = estimator("boosted_trees", 0, seed)
+    drawn = draw_trials(trials, seed, rounds)
     weighted, _ = with_balanced_weights(train)
     encoded = Pipeline(stages=encoder_stages(numeric, categorical)).fit(weighted).transform(weighted)
     n_folds = encoded.agg(F.max(fold_col)).first()[0] + 1
     search = CrossValidator(
-        estimator=gbt, estimatorParamMaps=grid, numFolds=n_folds, foldCol=fold_col, parallelism=4,
+        estimator=gbt, estimatorParamMaps=[{gbt.getParam(k): v for k, v in t.items()} for t in drawn],
+        numFolds=n_folds, foldCol=fold_col, parallelism=4,
         evaluator=BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", numBins=0),
     ).fit(encoded.select("features", "label", "weight", F.col(fold_col)))
     order = sorted(range(trials), key=lambda i: (-search.avgMetrics[i], i))
     rows = [
-        (i, *(float(v) for v in grid[i].values()), float(search.avgMetrics[i]), order.index(i) + 1) for i in range(trials)
+        (
+            i, t["maxIter"], float(t["maxDepth"]), t["stepSize"], float(t["minInstancesPerNode"]), t["minInfoGain"],
+            float(search.avgMetrics[i]), order.index(i) + 1,
+        )
+        for i, t in enumerate(drawn)
     ]
     return train.sparkSession.createDataFrame(
-        rows, "trial int, max_depth double, step_size double, min_instances double, mean_auc double, rank int"
+        rows,
+        "trial int, rounds int, max_depth double, step_size double, min_instances double, min_gain double,"
+        " mean_auc double, rank int",
     )
 
 

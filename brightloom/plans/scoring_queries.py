@@ -140,7 +140,7 @@ def train_candidates(spark, sf):
 def tuned_model(spark, sf):
     train, _ = _prepared(spark, sf)
     folded = ft.stratified_folds(train, "label", "customer_id", 3)
-    return md.tune_boosted_trees(folded, NUMERIC, CATEGORICAL, "fold", trials=3)
+    return md.tune_boosted_trees(folded, NUMERIC, CATEGORICAL, "fold")
 
 
 def batch_scores(spark, sf):

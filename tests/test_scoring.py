@@ -150,3 +150,20 @@ def test_tuning_is_seeded(learnable):
     train = ft.stratified_folds(learnable[0], "label", "id", 2)
     first = md.tune_boosted_trees(train, ["x", "z"], ["g"], "fold", trials=2).orderBy("rank").collect()
     assert [r["rank"] for r in first] == [1, 2] and first[0]["mean_auc"] >= first[1]["mean_auc"] > 0.7
+
+
+def test_candidates_do_the_whole_work():
+    forest, boosted, linear = (md.estimator(n, 10) for n in ("random_forest", "boosted_trees", "logistic_regression"))
+    assert (forest.getNumTrees(), forest.getMaxDepth(), boosted.getMaxIter(), linear.getMaxIter()) == (300, 30, 300, 2000)
+    assert md.estimator("boosted_trees", 10, maxIter=2).getMaxIter() == 2
+    drawn = md.draw_trials(15)
+    assert drawn == md.draw_trials(15) and {t["maxIter"] for t in drawn} <= set(range(100, 501, 100))
+    assert all(len({t[k] for t in drawn}) > 1 for k in ("maxIter", "stepSize", "maxDepth", "minInstancesPerNode", "minInfoGain"))
+    assert {t["maxDepth"] for t in md.draw_trials(200)} == {4, 5, 6}
+
+
+def test_tuning_searches_the_rounds(learnable):
+    train = ft.stratified_folds(learnable[0], "label", "id", 2)
+    rows = md.tune_boosted_trees(train, ["x", "z"], ["g"], "fold", trials=3, rounds=(1, 2)).orderBy("trial").collect()
+    assert [r["rounds"] for r in rows] == [t["maxIter"] for t in md.draw_trials(3, rounds=(1, 2))]
+    assert sorted(r["rank"] for r in rows) == [1, 2, 3]

@@ -25,7 +25,20 @@ def _names(text: str) -> frozenset[str]:
 
 VOID = _names("area base br col embed frame hr img input link meta param source track wbr")
 RAW = _names("script style xmp iframe noembed noframes noscript title textarea")
-UNSEEN = _names("head script style title template iframe noembed noframes noscript object audio video canvas datalist svg math")
+UNSEEN = _names("head script style title template iframe noembed noframes noscript object audio video canvas datalist")
+#: Elements of svg and math whose text a browser does not draw.
+UNSEEN_INSIDE = {
+    "svg": _names("defs title desc metadata symbol clippath mask pattern marker"),
+    "math": _names("annotation annotation-xml mphantom"),
+}
+#: HTML goes on inside these elements of svg and math; other HTML elements end an open svg or math.
+HTML_AGAIN = {"svg": _names("foreignobject title desc"), "math": _names("mi mo mn ms mtext")}
+BREAK_OUT = _names(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p"
+    " pre ruby s small span strong strike sub sup table tt u ul var"
+)
+#: Parts of a drawing or formula that stand apart.
+APART = {"svg": _names("text foreignobject"), "math": _names("mtr mtd mlabeledtr")}
 #: Blocks set apart by a blank line, and blocks that only start a new line.
 SPACED = _names("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu dir")
 LINES = _names(
@@ -45,8 +58,8 @@ ENDS = {
     **{h: (HEADINGS, _names("table td th div section article")) for h in HEADINGS},
     "body": (_names("head"), frozenset()),
 }
-P_WALLS = _names("table td th caption button object")
-PHRASES_END_HEAD = BLOCKS - {"html", "head"} | _names("a b i em strong span img")
+P_WALLS = _names("table td th caption button object foreignobject")
+PHRASES_END_HEAD = BLOCKS - {"html", "head"} | _names("a b i em strong span img svg math")
 
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _START = re.compile(r"<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>")
@@ -56,10 +69,14 @@ _SHOWN_VALUES = _names("text submit button reset search email url tel number dat
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children")
+    __slots__ = ("name", "attributes", "children", "space", "inside", "label")
 
-    def __init__(self, name: str, attributes: dict[str, str]):
+    def __init__(self, name: str, attributes: dict[str, str], parent: Node | None = None):
         self.name, self.attributes, self.children = name, attributes, []
+        # "svg" or "math" for elements of those, else empty; the same for the children; whether svg draws text here.
+        self.space = (parent.inside if parent else "") or (name if name in ("svg", "math") else "")
+        self.inside = "" if name in HTML_AGAIN.get(self.space, ()) else self.space
+        self.label = self.space == "svg" and (name == "text" or (parent.label if parent else False))
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -87,13 +104,27 @@ def build(html: str) -> Node:
                 cut = i
                 if not all_:
                     break
-            elif open_[i].name in walls:
+            elif open_[i].name in walls or (open_[i].name == "foreignobject" and not names & {"svg"}):
                 break
         if cut is not None:
             opened.subtract(o.name for o in open_[cut:])
             del open_[cut:]
 
+    def break_out() -> None:
+        while open_[-1].inside:
+            opened[open_.pop().name] -= 1
+
     def start(name: str, raw: str) -> None:
+        if open_[-1].inside:
+            if name in BREAK_OUT:
+                break_out()
+            else:
+                node = Node(name, _attributes(raw) if raw and not raw.isspace() else {}, open_[-1])
+                open_[-1].children.append(node)
+                if not raw.endswith("/"):
+                    open_.append(node)
+                    opened[name] += 1
+                return
         if open_[-1].name == "head" and name in PHRASES_END_HEAD:
             opened[open_.pop().name] -= 1
         if name in BLOCKS and name not in ("html", "body"):
@@ -105,9 +136,9 @@ def build(html: str) -> Node:
             open_[-1].children.append(row)
             open_.append(row)
             opened["tr"] += 1
-        node = Node(name, _attributes(raw) if raw and not raw.isspace() else {})
+        node = Node(name, _attributes(raw) if raw and not raw.isspace() else {}, open_[-1])
         open_[-1].children.append(node)
-        if name not in VOID:
+        if name not in VOID and not (node.space and raw.endswith("/")):
             open_.append(node)
             opened[name] += 1
 
@@ -126,6 +157,10 @@ def build(html: str) -> Node:
         if html.startswith("<!--", at):
             end = html.find("-->", at + 4)
             at = n if end < 0 else end + 3
+        elif open_[-1].inside and html.startswith("<![CDATA[", at):
+            end = html.find("]]>", at)
+            open_[-1].children.append(html[at + 9 : n if end < 0 else end])
+            at = n if end < 0 else end + 3
         elif nxt in ("!", "?"):
             end = html.find(">", at)
             at = n if end < 0 else end + 1
@@ -134,6 +169,8 @@ def build(html: str) -> Node:
             name = html[at + 2 : n if end < 0 else end].split(None, 1)
             name = name[0].lower().rstrip("/") if name else ""
             at = n if end < 0 else end + 1
+            if name in ("br", "p"):
+                break_out()
             if name == "br":
                 start("br", "")
             elif name == "p" and not opened["p"]:
@@ -145,7 +182,7 @@ def build(html: str) -> Node:
             name = found[1].lower()
             at = found.end()
             start(name, found[2])
-            if name in RAW:
+            if name in RAW and not open_[-1].space:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
                 inner = html[at : end.start() if end else n]
                 open_[-1].children.append(unescape(inner) if name in ("title", "textarea") else inner)
@@ -266,6 +303,13 @@ def _hidden(node: Node, shown: bool) -> tuple[bool, bool]:
         return True, shown
     if node.name == "input" and a.get("type", "").lower() == "hidden":
         return True, shown
+    if node.space:
+        if node.name in UNSEEN_INSIDE[node.space]:
+            return True, shown
+        if node.space == "svg" and a.get("display", "").strip() == "none":
+            return True, shown
+        if node.space == "svg" and a.get("visibility", "").strip() in ("visible", "hidden", "collapse"):
+            shown = a["visibility"].strip() == "visible"
     style = re.sub(r"\s+", "", a.get("style", "")).lower()
     if style:
         if "display:none" in style or "content-visibility:hidden" in style:
@@ -275,6 +319,21 @@ def _hidden(node: Node, shown: bool) -> tuple[bool, bool]:
     return False, shown
 
 
+def _drawn(node: Node) -> list:
+    """The children of an element of svg or math that a browser draws."""
+    children = node.children
+    if node.space == "svg":
+        if node.inside and not node.label:  # text outside <text> is not drawn
+            children = [c for c in children if isinstance(c, Node)]
+        if node.name == "switch":
+            children = sorted((c for c in children if isinstance(c, Node)), key=lambda c: "systemlanguage" in c.attributes)[:1]
+    elif node.name == "maction":
+        children = [c for c in children if isinstance(c, Node)][:1]
+    elif node.name == "mfrac":
+        children = [x for c in children for x in (" ", c, " ")]
+    return children
+
+
 def render(root: Node) -> str:
     """All visible text of a tree. Works with a stack of its own, so depth does not matter."""
     sinks = [_Sink()]
@@ -290,7 +349,10 @@ def render(root: Node) -> str:
         name, a = node.name, node.attributes
         in_table = bool(tables)
         if leaving:
-            if name in ("ul", "ol", "menu", "dir"):
+            if node.space:
+                if shown and name in APART[node.space]:
+                    sinks[-1].text(" ", False)
+            elif name in ("ul", "ol", "menu", "dir"):
                 lists.pop()
                 sinks[-1].block(not lists or lists[-1][0] is None)
             elif name == "li":
@@ -320,6 +382,10 @@ def render(root: Node) -> str:
         children = node.children
         if name == "details" and "open" not in a:
             children = [c for c in children if isinstance(c, Node) and c.name == "summary"][:1]
+        if node.space:
+            children = _drawn(node)
+            if shown and name in APART[node.space]:
+                sinks[-1].text(" ", False)
         if name == "br":
             sinks[-1].line(empty=True)
             continue
@@ -347,7 +413,7 @@ def render(root: Node) -> str:
             sinks.append(_Sink())
         elif name in ("td", "th"):
             sinks[-1].text(" ", False)
-        if name in VOID:
+        if name in VOID and not node.space:
             continue
         keep = keep or name in ("pre", "textarea", "xmp")
         todo.append((node, shown, keep, True))
@@ -366,7 +432,8 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
 
     Null and empty pages give an empty text, and so does a page without visible
     text. Malformed markup never fails: it is read as a browser would, as far as
-    text goes. Repeated rows stay.
+    text goes. Formulas and labels of drawings count as text; what an svg draws
+    by ``use`` does not. Repeated rows stay.
     """
     kept = [c for c in pages.columns if c != text]
     schema = StructType([pages.schema[c] for c in kept]).add(text, "string")

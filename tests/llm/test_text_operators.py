@@ -40,6 +40,30 @@ def test_visible_text(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<p>Area <math><mi>a</mi><mo>=</mo><mn>4</mn></math> ok</p>", "Area a=4 ok"),
+    ("<math><semantics><mi>x</mi><annotation encoding='application/x-tex'>no</annotation><annotation-xml><ci>no</ci></annotation-xml></semantics></math>y", "xy"),
+    ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac><mphantom><mi>no</mi></mphantom></math>", "1 2"),
+    ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr></mtable></math>", "1 2"),
+    ("<p>a<svg><path d='M0'/><text x=1>one <tspan>two</tspan></text><text>three</text></svg>b", "a one two three b"),
+    ("<svg><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs>"
+     "<symbol><text>no</text></symbol><text>yes</text></svg>", "yes"),
+    ("<svg><defs/><title/><style/><text>yes</text></svg><p>on", "yes\n\non"),
+    ("<p>a<svg><foreignObject><p>b</p><ul><li>c</ul></foreignObject></svg>d</p>", "a\n\nb\n\n- c\n\nd"),
+    ("x<svg>no browser support<g>no</g><text display='none'>no</text><text visibility='hidden'>no</text></svg>y", "xy"),
+    ("<svg><switch><foreignObject><div>label</div></foreignObject><text>label</text></switch></svg>", "label"),
+    ("<svg><text><![CDATA[a < b]]></text></svg>", "a < b"),
+    ("<svg><defs><g><p>yes", "yes"),
+    ("<head><svg><text>a</text></svg>", "a"),
+])
+def test_formulas_and_drawings(html, text):
+    assert html_text.visible_text(html) == text
+
+
+def test_deep_drawings_are_read():
+    assert html_text.visible_text("<svg>" + "<g>" * 20_000 + "<text>deep") == "deep"
+
+
 def test_any_markup_is_read():
     rng = random.Random(5)
     for _ in range(300):

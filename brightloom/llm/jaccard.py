@@ -119,15 +119,21 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 
 def _keyed(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, spot, node, n) of every row; ``spot``, the text's hash, finds the texts that have no id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(node_of(s) if len(s) else None, len(s)) for s in (shingles(t.as_py(), width) for t in batch["text"])]
             yield pa.RecordBatch.from_arrays([
-                batch["doc_id"], pa.array([node for node, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()),
-            ], ["doc_id", "node", "n"])
+                batch["doc_id"], batch["spot"], pa.array([node for node, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()),
+            ], ["doc_id", "spot", "node", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long")
+    return docs.select("doc_id", "text", _spot().alias("spot")).mapInArrow(run, f"doc_id {kind}, spot long, node long, n long")
+
+
+def _spot() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
 
 def _order(docs: DataFrame, width: int, percent: int) -> Order:
@@ -192,9 +198,9 @@ def _postings(docs: DataFrame, width: int, percent: int, shared) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, part int, node long, n int, place int")
 
 
-def _sieve(chosen: DataFrame, doc_id: Column) -> Column:
-    """True for every chosen doc_id and for few others, by a bit table of fixed size: spares most texts the shuffle of a join."""
-    spot = f"pmod(xxhash64(doc_id), {SIEVE_BITS})"
+def _sieve(chosen: DataFrame, key: str = "doc_id") -> Column:
+    """True for every chosen ``key`` and for few others, by a bit table of fixed size: spares most texts the shuffle of a join."""
+    spot = f"pmod(xxhash64({key}), {SIEVE_BITS})"
     held = chosen.groupBy(F.expr(f"cast({spot} div 64 as int)").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast({spot} % 64 as int))")).alias("bits")
     )
@@ -203,7 +209,7 @@ def _sieve(chosen: DataFrame, doc_id: Column) -> Column:
         table[row["word"]] = row["bits"]
     bits = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
     word = F.get(bits, F.expr(f"cast({spot} div 64 as int)")).alias("word")
-    return F.when(doc_id.isNotNull(), F.getbit(word, F.expr(f"cast({spot} % 64 as int)")) == 1)
+    return F.when(F.col(key).isNotNull(), F.getbit(word, F.expr(f"cast({spot} % 64 as int)")) == 1)
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, width: int, percent: int, shared) -> DataFrame:
@@ -224,7 +230,12 @@ def _sets(docs: DataFrame, chosen: DataFrame, width: int, percent: int, shared)
                 pa.array(others, pa.list_(pa.list_(pa.int64()))),
             ], ["node", "items", "others"])
 
-    texts = docs.where(_sieve(chosen, F.col("doc_id"))).join(chosen, "doc_id").select("text", "node")
+    texts = docs.where(_sieve(chosen)).join(chosen, "doc_id").select("text", "node")
+    nameless = chosen.where("doc_id is null").select("spot", "node")
+    if not nameless.isEmpty():  # copies without id are told from no other, so one of each text goes on
+        spots = docs.where("doc_id is null").withColumn("spot", _spot())
+        once = spots.where(_sieve(nameless, "spot")).dropDuplicates(["spot", "text"])
+        texts = texts.unionByName(once.join(nameless, "spot").select("text", "node"))
     return texts.mapInArrow(run, "node long, items array<long>, others array<array<long>>").dropDuplicates(["node"])
 
 
@@ -331,7 +342,7 @@ def classify(
     best = counts.groupBy("node").agg(F.max(F.struct("shared", "pivot"))["pivot"].alias("pivot"))
     stars = stored(best.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "stars")
 
-    members = keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    members = keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("spot").alias("spot"))
     postings = held.select("term", "node", "n", "place").distinct()
     met = stars.join(_side(postings, "a"), "a").join(_side(postings, "b"), ["term", "b"])
     near_links = _linked(docs, members, _promising(met, percent), width, percent, shared)

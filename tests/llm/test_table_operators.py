@@ -287,6 +287,20 @@ def test_join_edges(spark):
     assert jaccard.classify(df.limit(0)).count() == jaccard.keep_one(df.limit(0)).count() == 0
 
 
+def test_near_copies_without_id(spark):
+    words = [f"w{i}" for i in range(300)]
+    text = lambda low, high: " ".join(words[low:high])
+    rows = [
+        (1, text(0, 103)), (None, text(0, 111)), (2, text(0, 125)),  # 1 and 2 link only by the row between them
+        (7, text(150, 250)), (None, text(150, 252)), (None, text(150, 252)),
+        (None, text(252, 290)), (None, text(252, 291)),
+    ]
+    df = spark.createDataFrame([(i, t, "s", 0) for i, t in rows], DOCS)
+    assert rows_of(jaccard.classify(df), "doc_id", "n_shingles", "component_id") == sorted([
+        (1, 100, 1), (None, 108, 1), (2, 122, 1), (7, 97, 7), (None, 99, 7), (None, 99, 7), (None, 35, None), (None, 36, None),
+    ], key=str)
+
+
 def test_words_hash_alike_wherever_they_stand():
     seen = {}
     text = " ".join(["alpha", "x" * 64, "x" * 65, "x" * 300, "é", "b"] * 3)

@@ -57,6 +57,13 @@ def vector_topk(spark, sf):
     return hits.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
+def vector_neighbours(spark, sf):
+    """Nearest vectors to every twentieth vector, itself among them; the queries grow with the table."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    hits = rt.vector_topk(e.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id"), e, 10)
+    return hits.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
 def bm25_index(spark, sf):
     return rt.bm25_index(_docs(spark, sf), "doc_id", "text").withColumn("idf", F.round("idf", 6))
 
@@ -139,7 +146,7 @@ def section_digest(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        hashed_embedding, normalized_embeddings, vector_topk, bm25_index, bm25_topk, rrf_fusion, hybrid_retrieval,
+        hashed_embedding, normalized_embeddings, vector_topk, vector_neighbours, bm25_index, bm25_topk, rrf_fusion, hybrid_retrieval,
         keyword_search, extractive_answers, context_blocks, citation_numbers, reference_list, batch_findings, rubric_score, section_digest,
     )
 }
@@ -220,6 +227,10 @@ SELECT vec_id, (i - 1)::INT AS pos, round(CASE WHEN l > 0 THEN v[i] / l ELSE v[i
 m AS (SELECT label, i, round(avg(x), 9) AS x FROM p GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY 1),
 s AS (SELECT c.label AS query_id, vec_id AS item_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 9) AS s FROM c, embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id)::INT AS rank FROM s)
+SELECT query_id::BIGINT AS query_id, item_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10""",
+    "vector_neighbours": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id,
+  round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id)::INT AS rank FROM s)
 SELECT query_id::BIGINT AS query_id, item_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10""",
     "bm25_index": f"WITH {_bm25_ctes(10)} SELECT t AS term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {_bm25_ctes(10)} SELECT q AS query_id, id AS item_id, round(s, 6) AS score, r::INT AS rank FROM br",

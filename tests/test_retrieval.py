@@ -164,3 +164,10 @@ def test_digest(spark):
     bodies = F.transform(tx.sections(F.col("t")), lambda s: s["body"])
     got = {r["id"]: r["digest"] for r in an.section_digest(df, "id", bodies).collect()}
     assert got == {1: "- One.\n- Three.", 2: "- No findings were available."}
+
+
+def test_the_registered_search_asks_for_every_twentieth_vector(spark, small):
+    from brightloom.plans.retrieval_queries import QUERIES
+
+    asked = spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    assert QUERIES["vector_neighbours"](spark, small).count() == 10 * asked > 0

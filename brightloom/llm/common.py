@@ -1,7 +1,9 @@
-"""Shared pieces of the corpus operators: word counts, and tables kept in the shared folder."""
+"""Shared pieces of the corpus operators: word counts, chosen columns, and tables kept in the shared folder."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brightloom.session import materialised, scratch_path
@@ -25,6 +27,40 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialised(df, label)
 
 
+class Workspace:
+    """A run's own folder in the shared folder; leaving the ``with`` block drops it with all its tables, on failure too.
+
+    What a run returns must not read from it.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self._number = spark, fresh_path(spark, label), count()
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.folder}/{next(self._number)}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def picked(df: DataFrame, **columns: str) -> DataFrame:
+    """The named columns and no others: ``picked(df, doc_id="id", text="body")`` has doc_id and text.
+
+    A name finds the column spelled exactly so, else the first that differs by
+    case only; columns whose names clash with it do no harm.
+    """
+    names, lower = df.columns, [c.lower() for c in df.columns]
+    at = {to: names.index(c) if c in names else lower.index(c.lower()) for to, c in columns.items()}
+    numbered = df.toDF(*[f"_{i}" for i in range(len(names))])
+    return numbered.select(*[F.col(f"_{i}").alias(to) for to, i in at.items()])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from brightloom.llm.common import stored
@@ -11,26 +13,26 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, label: str = "links") -> DataFrame:
+def components(links: DataFrame, label: str = "links", keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """``links(a, b)`` -> one row (node, root) per linked node; root is the smallest node reachable.
 
     Links may repeat, point either way or to themselves; an empty table gives no
     rows. Every round works on tables in the shared folder; a node's neighbours
-    are only ever reduced to their minimum, never gathered.
+    are only ever reduced to their minimum, never gathered. ``keep`` writes those tables.
     """
     down = lambda d: d.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = stored(down(links), label)
+    edges = keep(down(links), label)
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = stored(large.where("a <> b").distinct(), label)
+        stars = keep(large.where("a <> b").distinct(), label)
         least = stars.groupBy("a").agg(F.min("b").alias("m"))
         small = stars.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
         )
-        edges = stored(small.where("a <> b").distinct(), label)
+        edges = keep(small.where("a <> b").distinct(), label)
         after = _mark(edges)
         if after == mark:
             break

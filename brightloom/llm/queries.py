@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brightloom.llm import bpe, chat, exact_dedup, html_text, jaccard, mixing, quality, sharding, sketches, urls
+from brightloom.llm import (
+    bpe, chat, exact_dedup, fim, html_text, jaccard, minhash, mixing, nra, quality, sharding, sketches, urls,
+)
 from brightloom.sources.tables import table
 
 
@@ -89,10 +91,27 @@ def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_fim(spark: SparkSession, sf: str) -> DataFrame:
+    made = fim.transform(table(spark, sf, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.classify(table(spark, sf, "documents"), width=5, percent=85)
+
+
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return nra.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_html_text": op1_html_text, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding, "op7_fingerprints": op7_fingerprints, "op8_exact_dedup": op8_exact_dedup, "op9_chat": op9_chat,
-    "op10_ngram_join": op10_ngram_join,
+    "op10_ngram_join": op10_ngram_join, "op11_fim": op11_fim, "op12_minhash": op12_minhash, "op13_ranked_search": op13_ranked_search,
 }
 
 OP2_SQL = r"""
@@ -174,4 +193,50 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
 FROM joined
 """.replace("{break}", chat._BREAK).replace("{frame}", str(len(chat.START) + len(chat.END) + 2))
 
-ORACLES = {"op2_mixing": OP2_SQL, "op6_sharding": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat": OP9_SQL}
+OP11_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents
+), numbers AS (
+  SELECT doc_id, text, units, len(units)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM cut
+), formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS one, greatest(h1 % (n + 1), h2 % (n + 1)) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM numbers
+), parts AS (
+  SELECT *, array_to_string(units[1:one], '') AS prefix, array_to_string(units[one + 1:two], '') AS middle,
+         array_to_string(units[two + 1:n], '') AS suffix FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+OP13_SQL = r"""
+WITH found AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), sized AS (SELECT row_no, doc_id, terms, len(terms)::BIGINT AS n FROM found WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sized),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), postings AS (
+  SELECT row_no, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row_no, doc_id, n, unnest(terms) AS term FROM sized)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term), totals
+), scored AS (
+  SELECT item_id, row_no, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM wanted JOIN postings USING (term) JOIN weighed USING (term), totals GROUP BY item_id, row_no, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+ORACLES = {"op11_fim": OP11_SQL, "op13_ranked_search": OP13_SQL, "op2_mixing": OP2_SQL, "op6_sharding": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat": OP9_SQL}

@@ -10,13 +10,19 @@ Links are confirmed on the full sets.
 How sure that is: each place differs with probability (1 - similarity) * 255/256.
 At a similarity of 0.85 that is 7.2 places of 48 on average, more than 15 in one
 pair of 2,000; and such a pair still meets unless all chunks differ twice: six
-pairs in a million meet under no key. Documents with equal sets always link.
+pairs in a million meet under no key (at 0.8: two in ten thousand). Documents
+with equal sets always link.
 
-Equal sets are one node. No group under a key is expanded into its pairs: nodes
+Candidates are cut down by an odd sketch, 1,024 bits that tell whether an even or
+odd number of a set's shingles hashes to each: two sketches differ in no more
+bits than the sets differ in shingles, so no link is lost. Links are then
+confirmed on the full sets.
+
+Equal sets are one node. No group under a key is expanded into its links: nodes
 are first compared with the node under their keys that shares most keys with
 others (the hub of a family of near copies), then families try each other's
 hubs, and only nodes under one key that are still in different families are
-compared with each other, all of them.
+compared with each other, all of them, sketches inside the join.
 """
 
 from __future__ import annotations
@@ -36,12 +42,13 @@ from brightloom.llm.jaccard import node_of, shingles
 CHUNKS, PLACES = 8, 6
 #: All pairs of signatures that differ in at most so many places meet.
 GUARANTEED = 2 * CHUNKS - 1
-#: Pairs that meet although they differ in more places are confirmed too, up to half of all places.
-FARTHEST = CHUNKS * PLACES // 2
 #: Rounds in which families try each other's hubs.
-MERGE_ROUNDS = 3
+MERGE_ROUNDS = 2
+#: 64-bit words of an odd sketch.
+SKETCH_WORDS = 16
 BATCH_ROWS = 256
 _CHUNK_NAMES = [f"c{i}" for i in range(CHUNKS)]
+_SKETCH_NAMES = [f"s{i}" for i in range(SKETCH_WORDS)]
 _RANDOM = np.random.default_rng(20)
 _XOR = _RANDOM.integers(0, 1 << 64, CHUNKS * PLACES, np.uint64)
 _ODD = _RANDOM.integers(0, 1 << 64, CHUNKS * PLACES, np.uint64) | np.uint64(1)
@@ -61,8 +68,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, SKETCH_WORDS) numbers: bit h of a sketch is set where an odd number of hashes end in h."""
+    bits = 64 * SKETCH_WORDS
+    places = [i * bits + (s & np.uint64(bits - 1)).astype(np.int64) for i, s in enumerate(sets)]
+    odd = np.bincount(np.concatenate([np.zeros(0, np.int64), *places]), minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(sets), SKETCH_WORDS)
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, n, c0.., items) of every row; ``items``, the whole set, once per task that meets the node."""
+    """(doc_id, node, n, c0.., s0.., items) of every row; ``items``, the whole set, once per task that meets the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -71,8 +86,9 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 sets = [shingles(t.as_py(), width) for t in part["text"]]
                 nodes = [node_of(s) if len(s) else None for s in sets]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                signed = np.zeros((len(sets), CHUNKS), np.int64)
-                signed[full] = signatures([sets[i] for i in full])
+                signed = np.zeros((len(sets), CHUNKS + SKETCH_WORDS), np.int64)
+                signed[full, :CHUNKS] = signatures([sets[i] for i in full])
+                signed[:, CHUNKS:] = odd_sketches(sets)
                 items = []
                 for node, held in zip(nodes, sets, strict=True):
                     items.append(None if node is None or node in met else held.view(np.int64))
@@ -81,13 +97,13 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                     met.add(node)
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     *(pa.array(np.ascontiguousarray(signed[:, j])) for j in range(CHUNKS)), pa.array(items, pa.list_(pa.int64()))],
-                    ["doc_id", "node", "n", *_CHUNK_NAMES, "items"],
+                     *(pa.array(column) for column in np.ascontiguousarray(signed.T)), pa.array(items, pa.list_(pa.int64()))],
+                    ["doc_id", "node", "n", *_CHUNK_NAMES, *_SKETCH_NAMES, "items"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = ", ".join(f"{c} long" for c in _CHUNK_NAMES)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, {chunks}, items array<long>")
+    numbers = ", ".join(f"{c} long" for c in (*_CHUNK_NAMES, *_SKETCH_NAMES))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, {numbers}, items array<long>")
 
 
 def index_keys(nodes: DataFrame) -> DataFrame:
@@ -101,16 +117,36 @@ def index_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
-def distance(a: str, b: str) -> Column:
-    """Places in which the signatures of two sides differ; a side's chunks are named ``c0_a``, ``c1_a``, ..."""
+def _xor(name: str) -> Column:
+    return F.col(f"{name}_a").bitwiseXOR(F.col(f"{name}_b"))
+
+
+def _differing(name: str) -> Column:
+    """In how many places the two sides' chunks differ."""
+    x = _xor(name)
+    for shift, mask in ((4, 0x0F), (2, 0x03), (1, 0x01)):  # every byte that is not zero becomes 1
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(sum(mask << 8 * p for p in range(PLACES))).cast("long"))
+    return F.bit_count(x)
+
+
+def distance() -> Column:
+    """Places in which the signatures of sides a and b differ; a side's columns end in ``_a`` or ``_b``."""
+    return reduce(Column.__add__, map(_differing, _CHUNK_NAMES))
+
+
+def first_meeting() -> Column:
+    """Number (chunk and place) of the first key that both sides have; null if they do not meet."""
+    at = F.lit(None).cast("int")
+    for j in reversed(range(CHUNKS)):
+        name = _CHUNK_NAMES[j]
+        place = reduce(Column.__add__, [(_xor(name) >= F.lit(1 << 8 * p).cast("long")).cast("int") for p in range(1, PLACES)])
+        at = F.when(_differing(name) == 0, j * PLACES).when(_differing(name) == 1, j * PLACES + place).otherwise(at)
+    return at
 
-    def differing(name: str) -> Column:
-        x = F.col(f"{name}_{a}").bitwiseXOR(F.col(f"{name}_{b}"))
-        for shift, mask in ((4, 0x0F), (2, 0x03), (1, 0x01)):  # every byte that is not zero becomes 1
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(sum(mask << 8 * p for p in range(PLACES))).cast("long"))
-        return F.bit_count(x)
 
-    return reduce(Column.__add__, map(differing, _CHUNK_NAMES))
+def odd_distance() -> Column:
+    """Bits in which the odd sketches differ: at most the number of shingles that only one of the sets has."""
+    return reduce(Column.__add__, [F.bit_count(_xor(s)) for s in _SKETCH_NAMES])
 
 
 def _named(nodes: DataFrame, s: str) -> DataFrame:
@@ -119,24 +155,27 @@ def _named(nodes: DataFrame, s: str) -> DataFrame:
 
 
 class _Join:
-    """The steps of one run over its tables."""
+    """The steps of one run over its tables: ``cards`` with sizes and sketches, ``sets`` with the full sets."""
 
-    def __init__(self, tables: Workspace, nodes: DataFrame, sets: DataFrame, percent: int):
-        self.tables, self.nodes, self.sets, self.percent = tables, nodes, sets, percent
+    def __init__(self, tables: Workspace, cards: DataFrame, sets: DataFrame, percent: int):
+        self.tables, self.cards, self.sets, self.percent = tables, cards, sets, percent
 
     def alike(self) -> Column:
-        """May this pair link, by the sizes and the signatures?"""
+        """May this pair link, by its sizes and sketches? True for every pair that does."""
         sizes = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-        return sizes & (distance("a", "b") <= FARTHEST)
+        return sizes & ((100 + self.percent) * odd_distance() <= (100 - self.percent) * (F.col("n_a") + F.col("n_b")))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) with a < b that may link."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        signed = pairs.join(_named(self.nodes, "a"), "a").join(_named(self.nodes, "b"), "b")
-        likely = self.tables.stored(signed.where(self.alike()).select("a", "b"), "likely")
+        return pairs.join(_named(self.cards, "a"), "a").join(_named(self.cards, "b"), "b").where(self.alike()).select("a", "b")
+
+    def confirmed(self, likely: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets are similar enough."""
         both = F.size(F.array_intersect("items_a", "items_b"))
         similar = 100 * both >= self.percent * (F.size("items_a") + F.size("items_b") - both)
-        joined = likely.join(_named(self.sets, "a"), "a").join(_named(self.sets, "b"), "b")
+        pairs = self.tables.stored(likely, "likely")
+        joined = pairs.join(_named(self.sets, "a"), "a").join(_named(self.sets, "b"), "b")
         return self.tables.stored(joined.where(similar).select("a", "b"), "confirmed")
 
     def families(self, links: DataFrame) -> DataFrame:
@@ -148,37 +187,36 @@ def _hub(*more: str) -> Column:
     return F.max(F.struct("popular", "node", *more))
 
 
-def _links(join: _Join, held: DataFrame) -> DataFrame:
+def _links(join: _Join, held: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between nodes that meet under a key: enough of them to connect all that any chain of links connects.
 
     ``held(key, node, popular)``: the keys that several nodes have.
     """
     hubs = held.groupBy("key").agg(_hub()["node"].alias("hub"))
-    met = held.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"), F.max("popular").alias("popular"))
+    met = held.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
     star = met.groupBy("node").agg(F.max(F.struct("shared", "hub"))["hub"].alias("hub"))
-    links = join.confirmed(star.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    roots = join.families(links)
-
-    def labelled() -> DataFrame:
-        return join.tables.stored(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
-
-    rooted = labelled()
-    for _ in range(MERGE_ROUNDS):
+    links = join.confirmed(join.likely(star.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    for _ in range(MERGE_ROUNDS + 1):
+        roots = join.families(links)
+        rooted = join.tables.stored(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        if _ == MERGE_ROUNDS:
+            break
         groups = rooted.groupBy("key", "root").agg(_hub().alias("hub"), F.count(F.lit(1)).alias("size"))
         largest = groups.groupBy("key").agg(F.max(F.struct("size", "root", "hub")).alias("top"), F.count(F.lit(1)).alias("families"))
         tries = groups.join(largest.where("families > 1"), "key").where("root <> top.root")
-        more = join.confirmed(tries.select(F.col("hub.node").alias("a"), F.col("top.hub.node").alias("b")))
+        more = join.confirmed(join.likely(tries.select(F.col("hub.node").alias("a"), F.col("top.hub.node").alias("b"))))
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        roots = join.families(links)
-        rooted = labelled()
 
-    # Whatever is still apart under one key: all its pairs that sizes and signatures allow.
+    # Whatever is still apart under one key: all its pairs that sizes and sketches allow, each under the first key it shares.
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = rooted.join(apart, "key", "left_semi").select("key", "node", "root").join(join.nodes, "node")
+    open_ = rooted.join(apart, "key", "left_semi").select("key", "node", "root").join(nodes, "node")
     open_ = join.tables.stored(open_, "open")
-    pairs = _named(open_, "a").join(_named(open_, "b"), "key").where((F.col("root_a") < F.col("root_b")) & join.alike())
+    number = F.shiftright("key", 8 * (PLACES - 1)).cast("int")
+    pairs = _named(open_, "a").join(_named(open_, "b"), "key").where(
+        (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & join.alike() & (first_meeting() == number)
+    )
     return links.unionByName(join.confirmed(pairs.select("a", "b")))
 
 
@@ -200,7 +238,7 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 85, text: str = "te
     with Workspace(docs.sparkSession, "minhash") as tables:
         rows = tables.stored(_signed(docs, width).withColumn("row", F.monotonically_increasing_id()), "signed")
         sets = rows.where("items is not null")
-        nodes = sets.groupBy("node").agg(*[F.min(c).alias(c) for c in ("row", "n", *_CHUNK_NAMES)])
+        nodes = sets.groupBy("node").agg(*[F.min(c).alias(c) for c in ("row", "n", *_CHUNK_NAMES, *_SKETCH_NAMES)])
         # a set links with another one only if it holds at least that share of a set one larger
         nodes = tables.stored(nodes.where(100 * F.col("n") >= percent * (F.col("n") + 1)), "nodes")
         keys = index_keys(nodes)
@@ -208,10 +246,11 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 85, text: str = "te
         met = tables.stored(keys.join(shared, "key"), "met")
         popular = met.groupBy("node").agg(F.sum("size").alias("popular"))
         held = tables.stored(met.join(popular, "node").select("key", "node", "popular"), "held")
-        chosen = nodes.join(popular, "node", "left_semi").select("row", "node")
-        full = tables.stored(sets.select("row", "items").join(chosen, "row").select("node", "items"), "sets")
-        join = _Join(tables, nodes.drop("row"), full, percent)
-        root = join.families(_links(join, held))
+        # only nodes that meet others go on; the table is written, so that Spark knows whether it is small
+        nodes = tables.stored(nodes.join(popular, "node", "left_semi"), "chosen")
+        full = sets.select("row", "items").join(tables.stored(nodes.select("row", "node"), "chosen-rows"), "row")
+        join = _Join(tables, nodes.select("node", "n", *_SKETCH_NAMES), tables.stored(full.select("node", "items"), "sets"), percent)
+        root = join.families(_links(join, held, nodes.drop("row")))
 
         ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         grouped = ids.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))

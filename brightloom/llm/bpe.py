@@ -218,7 +218,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     """Adds ``ids``: the whole text's ids as bytes, 4 per id, little-endian.
 
     Null texts count as empty and get empty ids. Every row is kept as it is,
-    repeated rows too; an existing column called ``ids`` is replaced.
+    repeated rows too; an existing column called ``ids``, in any case, is replaced.
     ``vocabulary`` is a path each executor can open.
     """
     return _mapped(docs, text, ids, "binary", vocabulary, lambda known, texts: known.encode_all([x or "" for x in texts]))
@@ -232,9 +232,10 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "d
 def _mapped(
     df: DataFrame, source: str, target: str, kind: str, vocabulary: str, work: Callable[[Codec, Iterable], list]
 ) -> DataFrame:
-    """Rows stay in their partitions and come back in small batches."""
-    schema = StructType([f for f in df.schema.fields if f.name != target]).add(target, kind)
-    at, names, made = df.columns.index(source), [c for c in df.columns if c != target], pa.binary() if kind == "binary" else pa.string()
+    """Rows stay in their partitions and come back in small batches. Columns called ``target`` but for case are replaced."""
+    places = [i for i, c in enumerate(df.columns) if c.lower() != target.lower()]
+    schema = StructType([df.schema.fields[i] for i in places]).add(target, kind)
+    at, names, made = df.columns.index(source), [df.columns[i] for i in places], pa.binary() if kind == "binary" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(vocabulary)
@@ -242,7 +243,6 @@ def _mapped(
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(start, BATCH_ROWS)
                 new = pa.array(work(known, part.column(at).to_pylist()), made)
-                yield pa.RecordBatch.from_arrays([part.column(names_at[c]) for c in names] + [new], [*names, target])
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + [new], [*names, target])
 
-    names_at = {c: i for i, c in enumerate(df.columns)}
     return df.mapInArrow(run, schema)

@@ -8,7 +8,8 @@ out, and each is rendered where it lies.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -62,6 +63,8 @@ P_WALLS = _names("table td th caption button object foreignobject")
 PHRASES_END_HEAD = BLOCKS - {"html", "head"} | _names("a b i em strong span img svg math")
 
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+# A comment ends at once before > or ->, else at the first --> or --!>.
+_COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
 _START = re.compile(r"<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -92,27 +95,31 @@ def build(html: str) -> Node:
     """The tree of a page. Missing end tags are implied, stray ones ignored; anything parses."""
     root = Node("#root", {})
     open_ = [root]
-    opened: Counter[str] = Counter()  # how many of each name are open
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of each name are
+
+    def push(node: Node) -> None:
+        places[node.name].append(len(open_))
+        open_.append(node)
+
+    def pop() -> None:
+        places[open_.pop().name].pop()
 
     def close(names: frozenset[str], walls: frozenset[str], all_: bool = False) -> None:
         """End the innermost (or every) open element of ``names`` inside the nearest wall, with all that it holds."""
-        if not any(opened[x] for x in names):
+        held = [places[x] for x in names if places[x]]
+        if not held:
             return
-        cut = None
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].name in names:
-                cut = i
-                if not all_:
-                    break
-            elif open_[i].name in walls or (open_[i].name == "foreignobject" and not names & {"svg"}):
-                break
-        if cut is not None:
-            opened.subtract(o.name for o in open_[cut:])
-            del open_[cut:]
+        stops = walls if names & {"svg"} else walls | {"foreignobject"}
+        wall = max((places[x][-1] for x in stops if places[x]), default=0)
+        if max(p[-1] for p in held) < wall:
+            return
+        cut = min(p[bisect_right(p, wall)] for p in held if p[-1] > wall) if all_ else max(p[-1] for p in held)
+        while len(open_) > cut:
+            pop()
 
     def break_out() -> None:
         while open_[-1].inside:
-            opened[open_.pop().name] -= 1
+            pop()
 
     def start(name: str, raw: str) -> None:
         if open_[-1].inside:
@@ -122,11 +129,10 @@ def build(html: str) -> Node:
                 node = Node(name, _attributes(raw) if raw and not raw.isspace() else {}, open_[-1])
                 open_[-1].children.append(node)
                 if not raw.endswith("/"):
-                    open_.append(node)
-                    opened[name] += 1
+                    push(node)
                 return
         if open_[-1].name == "head" and name in PHRASES_END_HEAD:
-            opened[open_.pop().name] -= 1
+            pop()
         if name in BLOCKS and name not in ("html", "body"):
             close(_names("p"), P_WALLS)
         if name in ENDS:
@@ -134,13 +140,11 @@ def build(html: str) -> Node:
         if name in ("td", "th") and open_[-1].name in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr", {})
             open_[-1].children.append(row)
-            open_.append(row)
-            opened["tr"] += 1
+            push(row)
         node = Node(name, _attributes(raw) if raw and not raw.isspace() else {}, open_[-1])
         open_[-1].children.append(node)
         if name not in VOID and not (node.space and raw.endswith("/")):
-            open_.append(node)
-            opened[name] += 1
+            push(node)
 
     at, n = 0, len(html)
     last = html.rfind(">")  # behind it no tag can end
@@ -155,8 +159,8 @@ def build(html: str) -> Node:
         at = left
         nxt = html[at + 1 : at + 2]
         if html.startswith("<!--", at):
-            end = html.find("-->", at + 4)
-            at = n if end < 0 else end + 3
+            end = _COMMENT_END.search(html, at + 4)
+            at = end.end() if end else n
         elif open_[-1].inside and html.startswith("<![CDATA[", at):
             end = html.find("]]>", at)
             open_[-1].children.append(html[at + 9 : n if end < 0 else end])
@@ -173,9 +177,9 @@ def build(html: str) -> Node:
                 break_out()
             if name == "br":
                 start("br", "")
-            elif name == "p" and not opened["p"]:
+            elif name == "p" and not places["p"]:
                 start("p", "")
-                opened[open_.pop().name] -= 1
+                pop()
             elif name:
                 close(HEADINGS if name in HEADINGS else frozenset((name,)), frozenset() if name == "table" else _names("table"))
         elif at < last and (found := _START.match(html, at) or _LOOSE.match(html, at)):
@@ -428,17 +432,19 @@ def visible_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
-    """Adds ``text``, the visible text of each whole page, to every row; an existing column of that name is replaced.
+    """Adds ``text``, the visible text of each whole page, to every row; existing columns of that name, in any case, are replaced.
 
     Null and empty pages give an empty text, and so does a page without visible
     text. Malformed markup never fails: it is read as a browser would, as far as
     text goes. Formulas and labels of drawings count as text; what an svg draws
-    by ``use`` does not. Repeated rows stay.
+    by ``use`` does not. What hides an element is its name, the attribute
+    ``hidden`` or its own ``style``; rules of style sheets are not read.
+    Repeated rows stay.
     """
-    kept = [c for c in pages.columns if c != text]
-    schema = StructType([pages.schema[c] for c in kept]).add(text, "string")
     at = pages.columns.index(html)
-    places = [pages.columns.index(c) for c in kept]
+    places = [i for i, c in enumerate(pages.columns) if c.lower() != text.lower()]
+    schema = StructType([pages.schema.fields[i] for i in places]).add(text, "string")
+    kept = [pages.columns[i] for i in places]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

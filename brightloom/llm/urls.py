@@ -3,6 +3,11 @@
 Host names run words together. A unigram model counted over the corpus splits
 them by Viterbi search; a multinomial naive Bayes model, fitted on the urls
 that the rules decide, judges the tokens of all others.
+
+Every word of the corpus belongs to the unigram model, however rare. No task
+needs all of them: a host can only be split into its own substrings, so Spark
+joins the substrings of the distinct hosts with the counts, and each host is
+split, once, by the words that occur in it.
 """
 
 from __future__ import annotations
@@ -15,13 +20,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from brightloom.llm.common import ascii_lower, most_frequent, stored
+from brightloom.llm.common import ascii_lower, stored
 
 #: (verdict, rule); a rule is a host and the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: The segmenter's vocabulary: the most frequent words, counted over the whole corpus.
-WORDS, LONGEST_WORD = 50_000, 20
+#: Letters of the longest word that the segmenter knows.
+LONGEST_WORD = 20
 #: Tokens share 2^18 counters per class, so the model's size does not depend on the corpus.
 COUNTERS = 1 << 18
 SMOOTHING = 1.0
@@ -48,23 +54,52 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
-def word_counts(texts: DataFrame, column: str, words: int = WORDS) -> dict[str, int]:
-    """The most frequent runs of a-z (2 to 20 letters) outside tags, ``words`` at most; counted over all rows."""
+def word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """(word, n): all runs of a-z (2 to 20 letters) outside tags, counted over all rows."""
     plain = F.regexp_replace(ascii_lower(F.col(f"`{column}`")), "<[^>]*>", " ")
     found = F.regexp_extract_all(plain, F.lit(rf"\b[a-z]{{2,{LONGEST_WORD}}}\b"), F.lit(0))
-    counted = texts.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = most_frequent(stored(counted.where("n > 1"), "words"), words)
-    return {r["word"]: r["n"] for r in top.collect()}
+    return texts.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pieces(run: Column) -> Column:
+    """All substrings of 2 to 20 letters of a run of letters, each once."""
+    starts = F.when(F.length(run) > 1, F.sequence(F.lit(1), F.length(run) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def ending(start: Column) -> Column:
+        longest = F.least(F.lit(LONGEST_WORD), F.length(run) - start + 1)
+        return F.transform(F.sequence(F.lit(2), longest), lambda k: F.substring(run, start, k))
+
+    return F.array_distinct(F.flatten(F.transform(starts, ending)))
+
+
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``hosts(host)``, each once, with ``host_tokens``: its words, split with the counts of all words that occur in it."""
+    counts = stored(counts, "words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    runs = hosts.select("host", F.explode(F.array_distinct(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0)))).alias("run"))
+    pieces = runs.select("host", F.explode(_pieces(F.col("run"))).alias("word"))
+    # at most 19 words per letter of the host
+    own = pieces.join(counts, "word").groupBy("host").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("known"))
+    known = hosts.join(own, "host", "left")
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for names, words in batches:
+            yield pd.Series([Segmenter(dict(w or {}), total).host(h) for h, w in zip(names, words, strict=True)], dtype=object)
+
+    return known.select("host", split("host", "known").alias("host_tokens"))
 
 
 class Segmenter:
-    """Viterbi split of a run of letters under a unigram model; an unknown word costs more with every letter."""
+    """Viterbi split of a run of letters under a unigram model; an unknown word costs more with every letter.
+
+    ``total`` counts all words of the corpus where ``counts`` has only those that matter.
+    """
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         self.unknown = [math.log(total) + math.log(10) * k for k in range(LONGEST_WORD + 1)]
-        self.seen: dict[str, list[str]] = {}
 
     def split(self, run: str) -> list[str]:
         best, back = [0.0], [0]
@@ -82,24 +117,15 @@ class Segmenter:
             end = back[end]
         return words[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Host words marked ``h:``, path tokens marked ``p:``."""
-        if host not in self.seen:
-            if len(self.seen) >= 100_000:
-                self.seen.clear()
-            runs = _RUNS.findall(host)
-            self.seen[host] = [f"h:{w}" for r in runs for w in (self.split(r) if r.isascii() and r.isalpha() else [r])]
-        return self.seen[host] + [f"p:{t}" for t in _RUNS.findall(path.lower())]
+    def host(self, host: str) -> list[str]:
+        """Words of a host, marked ``h:``."""
+        return [f"h:{w}" for r in _RUNS.findall(host) for w in (self.split(r) if r.isascii() and r.isalpha() else [r])]
 
 
-def tokens_column(counts: dict[str, int], host: Column, path: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        segmenter = Segmenter(counts)
-        for hosts, paths in batches:
-            yield pd.Series([segmenter.tokens(h, p) for h, p in zip(hosts, paths, strict=True)], dtype=object)
-
-    return run(host, path)
+@F.pandas_udf(ArrayType(StringType()))
+def path_tokens(path: pd.Series) -> pd.Series:
+    """Tokens of a path, marked ``p:``."""
+    return pd.Series([[f"p:{t}" for t in _RUNS.findall(p.lower())] for p in path], dtype=object)
 
 
 def fit(decided: DataFrame) -> tuple[float, np.ndarray]:
@@ -125,10 +151,12 @@ def log_odds(tokens: Sequence[str], prior: float, odds: np.ndarray) -> float:
 
 
 def judge(
-    pages: DataFrame, counts: dict[str, int], url: str = "url", rules: Sequence[tuple[str, str]] = RULES
+    pages: DataFrame, counts: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES
 ) -> DataFrame:
     """Adds host, path, rule, verdict, tokens and block_odds (natural log) to every row; columns of these names are replaced.
 
+    ``counts(word, n)`` is the corpus behind the segmenter, see :func:`word_counts`; it may be empty.
+
     The rule's verdict holds where a rule fits. All other urls - null, malformed
     and empty ones too, by the prior - are blocked when naive Bayes finds block
     likelier than allow. If the rules decide no url, the method allows.
@@ -139,7 +167,9 @@ def judge(
         verdict = F.when(F.col("rule") == rule, said).otherwise(verdict)
     parsed = pages.withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
     parsed = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("verdict", verdict)
-    parsed = parsed.withColumn("tokens", tokens_column(counts, F.col("host"), F.col("path")))
+    words = stored(host_words(parsed.select("host").distinct(), counts), "hosts")
+    parsed = parsed.drop("host_tokens").join(words, "host", "left")  # one row per host; Spark splits a host that fills a partition
+    parsed = parsed.withColumn("tokens", F.concat("host_tokens", path_tokens("path"))).drop("host_tokens")
     prior, odds = fit(parsed.where("rule is not null").select("tokens", "verdict"))
     shared = pages.sparkSession.sparkContext.broadcast(odds)  # 2^18 numbers
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -35,6 +36,8 @@ VOCABULARY = bpe.public_vocabulary("byte_bpe_50k.json")
     ("<blockquote>q<p>r</blockquote>", "> q\n>\n> r"),
     ("a < b <3 c", "a < b <3 c"),
     ("<title>no</title>text</p></div></b>", "text"),
+    ("<p>a<!-->b<p>c", "ab\n\nc"), ("<p>a<!--->b", "ab"), ("<p>a<!-- x --!>b<p>c", "ab\n\nc"), ("<p>a<!--!>no--><p>c", "a\n\nc"),
+    ("<p>a<!-- no <!--> b", "a b"), ("<p>a<!-- no", "a"),
 ])
 def test_visible_text(html, text):
     assert html_text.visible_text(html) == text
@@ -71,6 +74,17 @@ def test_any_markup_is_read():
     assert html_text.visible_text("<div>" * 20_000 + "deep") == "deep"
 
 
+def test_stray_tags_under_a_deep_stack_take_no_scan_each():
+    begin = time.time()
+    assert html_text.visible_text("<div>" * 20_000 + "<li></ul>" * 20_000 + "end").endswith("- end")
+    assert time.time() - begin < 20
+
+
+def test_clashing_names_are_replaced(spark):
+    pages = spark.createDataFrame([(1, "<p>a", "x", "y")], "page_id int, html string, TEXT string, Text string")
+    assert html_text.extract(pages).select("page_id", "text").collect() == [(1, "a")]
+
+
 def test_extract_keeps_rows_and_columns(spark):
     pages = spark.createDataFrame([(1, "<p>a", "x"), (1, "<p>a", "x"), (2, None, None), (None, "", "y")], "page_id int, html string, Text string")
     got = html_text.extract(pages, text="out")
@@ -120,7 +134,7 @@ def test_cache_is_bounded(monkeypatch, public):
 
 
 def test_encode_and_decode_rows(spark):
-    docs = spark.createDataFrame([(1, "Hello there", 7), (1, "Hello there", 7), (2, None, 8), (3, "", None)], "doc_id int, text string, IDS_ int")
+    docs = spark.createDataFrame([(1, "Hello there", 7), (1, "Hello there", 7), (2, None, 8), (3, "", None)], "doc_id int, text string, IDS int").withColumn("DECODED", F.lit(1))
     rows = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY).orderBy("doc_id").collect()
     assert [(r.doc_id, r.decoded, len(r.ids) // 4) for r in rows] == [(1, "Hello there", 2), (1, "Hello there", 2), (2, "", 0), (3, "", 0)]
     assert bpe.encode(docs.limit(0), VOCABULARY).count() == 0
@@ -199,15 +213,19 @@ def test_viterbi_finds_the_likeliest_split():
     for run in ("thering", "ringin", "xthe", "ththe", "q"):
         cost = sum(s.cost.get(w, s.unknown[len(w)]) for w in s.split(run))
         assert "".join(s.split(run)) == run and cost == pytest.approx(best(run)[0])
-    assert s.tokens("ring-the.net", "/En/12") == ["h:ring", "h:the", *[f"h:{w}" for w in s.split("net")], "p:en", "p:12"]
+    assert s.host("ring-the.net") == ["h:ring", "h:the", *[f"h:{w}" for w in s.split("net")]]
+    part = urls.Segmenter({"ring": 20, "the": 50}, sum(counts.values()))
+    assert part.cost == {w: s.cost[w] for w in ("ring", "the")} and part.unknown == s.unknown
 
 
 def test_naive_bayes_against_brute_force(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     counts = urls.word_counts(pages, "html")
     rows = urls.judge(pages.select("page_id", "url"), counts).collect()
-    said, s = dict((r, v) for v, r in urls.RULES), urls.Segmenter(counts)
-    tokens = {r.page_id: s.tokens(r.host, r.path) for r in rows}
+    every = {r.word: r.n for r in counts.collect()}
+    said, s = dict((r, v) for v, r in urls.RULES), urls.Segmenter(every)
+    tokens = {r.page_id: s.host(r.host) + [f"p:{t}" for t in urls._RUNS.findall(r.path.lower())] for r in rows}
+    assert all(r.tokens == tokens[r.page_id] for r in rows)
     seen = {"block": {}, "allow": {}}
     docs = {"block": 0, "allow": 0}
     for r in rows:
@@ -232,14 +250,22 @@ def test_naive_bayes_against_brute_force(spark, small):
 
 def test_judge_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "http://" + "ab" * 3000 + ".com/", "y")], "page_id int, url string, host string")
-    rows = urls.judge(df, {}).collect()
-    assert {r.verdict for r in rows} == {"allow"} and all(r.rule is None for r in rows)
-    assert urls.judge(df.limit(0), {}).count() == 0
-    assert urls.word_counts(df.limit(0), "url") == {}
+    none = urls.word_counts(df.limit(0), "url")
+    rows = urls.judge(df, none).collect()
+    assert len(rows) == 3 and {r.verdict for r in rows} == {"allow"} and all(r.rule is None for r in rows)
+    assert urls.judge(df.limit(0), none).count() == 0 and none.count() == 0
 
 
 def test_word_counts(spark):
     df = spark.createDataFrame([("<b>Ring</b> ring the the the x",), (None,), ("",)], "html string")
-    assert urls.word_counts(df, "html") == {"ring": 2, "the": 3}
-    assert urls.word_counts(df, "html", 1) == {"the": 3}
-    assert re.fullmatch("[a-z]+", next(iter(urls.word_counts(df, "html"))))
+    assert {r.word: r.n for r in urls.word_counts(df, "html").collect()} == {"ring": 2, "the": 3}
+
+
+def test_a_word_counted_once_splits_a_host(spark):
+    texts = spark.createDataFrame([("ring ring the zyzzyva " + "q" * 21 + " other words",)], "html string")
+    hosts = spark.createDataFrame([("thezyzzyvaring.a1-é.ring",), ("",), ("x",), ("q" * 30,)], "host string")
+    got = {r.host: r.host_tokens for r in urls.host_words(hosts, urls.word_counts(texts, "html")).collect()}
+    assert got["thezyzzyvaring.a1-é.ring"] == ["h:the", "h:zyzzyva", "h:ring", "h:a", "h:1", "h:é", "h:ring"]
+    assert got[""] == [] and got["x"] == ["h:x"] and "".join(t[2:] for t in got["q" * 30]) == "q" * 30
+    every = {r.word: r.n for r in urls.word_counts(texts, "html").collect()}
+    assert all(t == urls.Segmenter(every).host(h) for h, t in got.items())

@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brightloom.llm.common import ascii_lower, fresh_path, stored, unused
 
-#: Disk-backed state; no disk is set aside in advance, as a state has many small stores.
+#: Disk-backed state; no disk is set aside in advance, as a state has many small stores, and all stores of an executor share
+#: one bounded memory.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 

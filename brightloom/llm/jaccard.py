@@ -118,45 +118,51 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     return (batch.slice(start, rows) for batch in batches for start in range(0, batch.num_rows, rows))
 
 
-def _keyed(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, spot, node, n) of every row; ``spot``, the text's hash, finds the texts that have no id."""
+def _keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, spot, node, n) of every row, and on one row of each slice (terms, counts): n-grams by the sets that hold them.
+
+    ``spot``, the text's hash, finds the texts that have no id. Prefixes hold
+    about (1 - similarity) of a set, so of the n-grams that come first by hash,
+    1.6 times that share, every one is counted. Of the others only those that
+    recur among the documents of a slice are, which common passages do. Copies
+    within a slice count once.
+    """
+    limit = np.uint64(min(0.99, 1.6 * (100 - percent) / 100) * 2.0**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(node_of(s) if len(s) else None, len(s)) for s in (shingles(t.as_py(), width) for t in batch["text"])]
+        for part in _parts(batches, 8 * BATCH_ROWS):
+            nodes, sizes, sets = [], [], {}
+            for t in part["text"]:
+                items = shingles(t.as_py(), width)
+                nodes.append(node_of(items) if len(items) else None)
+                sizes.append(len(items))
+                if len(items):
+                    sets.setdefault(nodes[-1], items)
+            every = np.concatenate([*sets.values(), np.zeros(0, np.uint64)])
+            every.sort()
+            starts = np.flatnonzero(np.diff(every, prepend=every[:1] + np.uint64(1)))
+            counts, terms = np.diff(starts, append=len(every)), every[starts]
+            told = (counts > 1) | (terms < limit)
+            rest = [None] * (part.num_rows - 1)
             yield pa.RecordBatch.from_arrays([
-                batch["doc_id"], batch["spot"], pa.array([node for node, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()),
-            ], ["doc_id", "spot", "node", "n"])
+                part["doc_id"], part["spot"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                pa.array([_long(terms[told]), *rest], pa.list_(pa.int64())), pa.array([counts[told].astype(np.int32), *rest], pa.list_(pa.int32())),
+            ], ["doc_id", "spot", "node", "n", "terms", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _spot().alias("spot")).mapInArrow(run, f"doc_id {kind}, spot long, node long, n long")
+    return docs.select("doc_id", "text", _spot().alias("spot")).mapInArrow(
+        run, f"doc_id {kind}, spot long, node long, n long, terms array<long>, counts array<int>"
+    )
 
 
 def _spot() -> Column:
     return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
 
-def _order(docs: DataFrame, width: int, percent: int) -> Order:
-    """Document counts over the whole corpus; the most frequent n-grams make the order.
-
-    Prefixes hold about (1 - similarity) of a set, so of the n-grams that come
-    first by hash, 1.6 times that share, every one is counted. Of the others only
-    those that recur among the documents of a slice are, which common passages do.
-    Copies within a slice count once.
-    """
-    limit = np.uint64(min(0.99, 1.6 * (100 - percent) / 100) * 2.0**64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, 8 * BATCH_ROWS):
-            sets = {node_of(s): s for s in (shingles(t.as_py(), width) for t in batch["text"]) if len(s)}
-            every = np.concatenate([*sets.values(), np.zeros(0, np.uint64)])
-            every.sort()
-            starts = np.flatnonzero(np.diff(every, prepend=every[:1] + np.uint64(1)))
-            counts, terms = np.diff(starts, append=len(every)), every[starts]
-            told = (counts > 1) | (terms < limit)
-            yield pa.RecordBatch.from_arrays([pa.array(_long(terms[told])), pa.array(counts[told].astype(np.int32))], ["term", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "term long, n int").groupBy("term").agg(F.sum("n").alias("n"))
+def _order(keys: DataFrame) -> Order:
+    """The most frequent n-grams of the whole corpus make the order."""
+    each = keys.where("terms is not null").select(F.explode(F.arrays_zip("terms", "counts")).alias("c"))
+    counted = each.groupBy(F.col("c.terms").alias("term")).agg(F.sum("c.counts").alias("n"))
     top = most_frequent(stored(counted.where(F.col("n") >= ORDER_MIN), "frequent"), ORDER_TERMS).toArrow()
     terms = top["term"].to_numpy().astype(np.int64).view(np.uint64)
     sort = np.argsort(terms)
@@ -325,8 +331,8 @@ def classify(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    keys = stored(_keyed(docs, width), "keys")
-    shared = spark.sparkContext.broadcast(_order(docs, width, percent))  # at most ORDER_TERMS entries
+    keys = stored(_keyed(docs, width, percent), "keys")
+    shared = spark.sparkContext.broadcast(_order(keys))  # at most ORDER_TERMS entries
     # n-grams in one node's prefix only find nothing; a frequent one has a pivot per part, and the parts' pivots meet again
     spot = Window.partitionBy("term", "part")
     postings = _postings(docs, width, percent, shared).withColumns({

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.llm.common import stored, unused
@@ -28,6 +29,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 #: Added to the length of a text, so that a few words move the score from the bias only a little.
 SHORT = 4
 
+#: Tokens that a worker remembers; results do not depend on it.
+KNOWN_TOKENS = 1 << 17
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _REPEAT = np.uint64(9)
@@ -48,7 +51,7 @@ class _Tokens(dict):
             shape = 3 if word[1:].islower() or len(word) == 1 else 4
         else:
             shape = 5 if word.islower() else 6
-        if len(self) >= 500_000:
+        if len(self) >= KNOWN_TOKENS:
             self.clear()
         code = self[token] = shape << 32 | zlib.crc32(token)
         return code
@@ -159,11 +162,11 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # (2^18 + 1) 4-byte numbers, whatever the input
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, known = shared.value.astype(float), _Tokens()
-        for batch in batches:
-            yield pd.Series([_logistic(float(w[-1] + w[at] @ value)) for at, value in (features(t, known) for t in batch)], dtype=float)
+        for batch in batches:  # texts become Python strings one at a time
+            yield pa.array([_logistic(float(w[-1] + w[at] @ value)) for at, value in (features(t.as_py(), known) for t in batch)], pa.float64())
 
     return docs.withColumn(name, run(F.col(f"`{text}`")))
 

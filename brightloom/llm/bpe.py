@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from brightloom.llm.common import numbered
+
 
 #: Fixed value: the pattern that cuts text into the pieces merges stay within.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -245,4 +247,4 @@ def _mapped(
                 new = pa.array(work(known, part.column(at).to_pylist()), made)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + [new], [*names, target])
 
-    return df.mapInArrow(run, schema)
+    return numbered(df).mapInArrow(run, schema)

@@ -57,8 +57,12 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     """
     names, lower = df.columns, [c.lower() for c in df.columns]
     at = {to: names.index(c) if c in names else lower.index(c.lower()) for to, c in columns.items()}
-    numbered = df.toDF(*[f"_{i}" for i in range(len(names))])
-    return numbered.select(*[F.col(f"_{i}").alias(to) for to, i in at.items()])
+    return numbered(df).select(*[F.col(f"_{i}").alias(to) for to, i in at.items()])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns _0, _1, ...: no two names clash."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
 def word_count(text: Column) -> Column:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from brightloom.llm.common import numbered
+
 BATCH_ROWS = 256
 
 
@@ -453,4 +455,4 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
                 made = pa.array([visible_text(x) for x in part.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + [made], [*kept, text])
 
-    return pages.mapInArrow(run, schema)
+    return numbered(pages).mapInArrow(run, schema)

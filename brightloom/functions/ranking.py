@@ -1,4 +1,4 @@
-"""Ranks, running totals and exact quantiles that survive one huge group.
+"""Ranks and running totals that survive one huge group. (Exact quantiles: see ``radix``.)
 
 A plain ``Window.partitionBy(key).orderBy(value)`` sends a whole group to one
 task. The helpers here cut each group into ordered slices first, total the
@@ -46,28 +46,22 @@ def running_totals(
     value: str,
     measures: Sequence[str],
     slices: int | None = None,
-    few_keys: bool = True,
-    ranks: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Running totals of ``measures`` in ``value`` order inside each key.
 
     Adds ``cum_<m>`` (inclusive) and ``all_<m>`` (key total). ``counts`` holds
-    one row per key and value. ``few_keys`` states that the keys are names of
-    features, models or agents, so the edge and slice tables (a number
-    per shuffle partition and key) have a proven bound and may be broadcast; otherwise Spark
-    chooses. With ``ranks`` (0-based, over ``all_<m>`` of the first measure)
-    only the slices that hold one of these ranks are kept.
+    one row per key and value. The edge and slice tables have a number per
+    shuffle partition and key; Spark chooses how to join them by their size.
     """
     slices = slices or slice_count(counts)
     keys = list(keys)
-    hint = F.broadcast if few_keys else (lambda d: d)
     base = counts if keys else counts.withColumn("_all", F.lit(1))
     by = keys or ["_all"]
     cuts = [i / slices for i in range(1, slices)]
     edges = base.groupBy(*by).agg(
         F.percentile_approx(F.col(value), cuts, F.lit(slices * 20)).alias("_edges")
     ).withColumn("_coarse", F.filter("_edges", lambda e, i: i % _BLOCK == _BLOCK - 1))
-    cut = base.join(hint(edges), by).withColumn("_slice", _slice_of(F.col(value))).drop("_edges", "_coarse")
+    cut = base.join(edges, by).withColumn("_slice", _slice_of(F.col(value))).drop("_edges", "_coarse")
     per_slice = cut.groupBy(*by, "_slice").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     order = Window.partitionBy(*by).orderBy("_slice")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -79,51 +73,14 @@ def running_totals(
         *[F.coalesce(F.sum(f"_s_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
         *[F.sum(f"_s_{m}").over(whole).alias(f"all_{m}") for m in measures],
     )
-    if ranks is not None:
-        first, held = F.col(f"_o_{measures[0]}"), F.col(f"_s_{measures[0]}")
-        hit = F.lit(False)
-        for r in ranks:
-            hit = hit | ((r >= first) & (r < first + held))
-        offsets = offsets.where(hit)
     offsets = offsets.drop(*[f"_s_{m}" for m in measures])
     inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(hint(offsets), [*by, "_slice"])
+    out = cut.join(offsets, [*by, "_slice"])
     for m in measures:
         out = out.withColumn(f"cum_{m}", F.sum(m).over(inside) + F.col(f"_o_{m}"))
     return out.drop("_slice", *[f"_o_{m}" for m in measures], *([] if keys else ["_all"]))
 
 
-def quantiles_from_counts(
-    counts: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    n: str = "n",
-    few_keys: bool = True,
-) -> DataFrame:
-    """Exact linear-interpolation quantiles: one row per key with an array ``quantiles``."""
-    position = lambda p: (F.col(f"all_{n}") - 1) * F.lit(float(p))
-    targets = [r for p in probs for r in (F.floor(position(p)), F.ceil(position(p)))]
-    summed = running_totals(counts, keys, value, [n], few_keys=few_keys, ranks=targets)
-    picks = []
-    for i, p in enumerate(probs):
-        at = position(p)
-        picks.append(F.min(F.when(F.col(f"cum_{n}") > F.floor(at), F.col(value))).alias(f"_lo{i}"))
-        picks.append(F.min(F.when(F.col(f"cum_{n}") > F.ceil(at), F.col(value))).alias(f"_hi{i}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"_f{i}"))
-    grouped = summed.groupBy(*keys).agg(*picks) if keys else summed.agg(*picks)
-    points = [
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}") for i in range(len(probs))
-    ]
-    return grouped.select(*keys, F.array(*points).alias("quantiles"))
-
-
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], few_keys: bool = True
-) -> DataFrame:
-    return quantiles_from_counts(value_counts(df, keys, value), keys, value, probs, few_keys=few_keys)
-
-
 def shuffled_rank(df: DataFrame, strata: Sequence[str], row_id: str, seed: int | str) -> DataFrame:
     """Seeded random order inside each stratum: adds ``rank`` (1-based) and ``stratum_n``.
 
@@ -163,6 +120,6 @@ def row_numbers(
         name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long")
     )
     large = running_totals(
-        df.join(sizes, list(keys), "left_semi").withColumn("_one", F.lit(1).cast("long")), keys, order, ["_one"], few_keys=False
+        df.join(sizes, list(keys), "left_semi").withColumn("_one", F.lit(1).cast("long")), keys, order, ["_one"]
     )
     return plain.unionByName(large.withColumnRenamed("cum__one", name).drop("_one", "all__one"))

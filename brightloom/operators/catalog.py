@@ -88,25 +88,35 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows, nulls, distinct values, range, mean and population deviation per column.
 
     One aggregate over native values gives everything but the distinct counts,
-    without a shuffle of cells; those come from the value counts.
+    without a shuffle of cells; those come from the value counts. Deviations of
+    longs and decimals, which a double may not hold, are taken from the exact
+    differences to the column's minimum.
     """
     names = [resolve(c, df.columns, "column") for c in (columns or df.columns)]
     fields = {f.name: f for f in df.schema.fields}
+    wide = {c: f"_low_{i}" for i, c in enumerate(names) if isinstance(fields[c].dataType, (T.LongType, T.DecimalType))}
     none, nothing = F.lit(None).cast("double"), F.lit(None).cast("string")
 
+    def spread(c: str) -> Column:
+        if c not in wide:
+            return F.stddev_pop(F.col(f"`{c}`"))
+        exact = fields[c].dataType if isinstance(fields[c].dataType, T.DecimalType) else T.DecimalType(20, 0)
+        return F.stddev_pop((F.col(f"`{c}`").cast(exact) - F.col(wide[c]).cast(exact)).cast("double"))
+
     def row(c: str) -> Column:
         col, numeric = F.col(f"`{c}`"), _is_numeric(fields[c])
         return F.struct(
             F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("total_rows"), F.count(col).alias("non_null"),
             (F.avg(col).cast("double") if numeric else none).alias("mean"),
-            (F.stddev_pop(col) if numeric else none).alias("std"),
+            (spread(c) if numeric else none).alias("std"),
             (F.min(col).cast("double") if numeric else none).alias("min_num"),
             (F.max(col).cast("double") if numeric else none).alias("max_num"),
             (nothing if numeric else F.min(col.cast("string"))).alias("min_text"),
             (nothing if numeric else F.max(col.cast("string"))).alias("max_text"),
         )
 
-    summary = df.agg(F.array(*[row(c) for c in names]).alias("rows")).select(F.inline("rows"))
+    based = df.crossJoin(F.broadcast(df.agg(*[F.min(f"`{c}`").alias(low) for c, low in wide.items()]))) if wide else df  # one row
+    summary = based.agg(F.array(*[row(c) for c in names]).alias("rows")).select(F.inline("rows"))
     distinct = column_values(df, names).groupBy("column_name").agg(F.count("value").alias("distinct_values"))
     return summary.join(distinct, "column_name", "left").select(
         "column_name", "total_rows", "non_null", (F.col("total_rows") - F.col("non_null")).alias("nulls"),

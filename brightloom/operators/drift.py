@@ -1,8 +1,10 @@
 """Drift of incoming windows against one reference: PSI, KS, severity, report.
 
-Everything starts from value counts, one row per (feature, window, value),
-combined on the map side; features are unpivoted so all of them go through one
-job. Names of features and windows bound the broadcast tables.
+Features are unpivoted, so all of them go through one job. Numbers are never
+shuffled as values: bin edges and distances come from radix selection, and the
+rows of a window are counted into the reference's bins on the map side. A
+column ``n`` says how often a row counts, so value counts do as well as rows.
+Names of features bound the broadcast tables.
 """
 
 from __future__ import annotations
@@ -12,11 +14,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brightloom.functions import fixed
-from brightloom.functions.ranking import quantiles_from_counts, running_totals
+from brightloom.functions import fixed, radix
 from brightloom.session import materialised
 
 
+def feature_values(df: DataFrame, columns: Sequence[str], window: str | None = None) -> DataFrame:
+    """(feature[, window], value, n = 1): the numbers as they are, null ones too."""
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]
+    keys = [F.col(window).alias("window")] if window else []
+    picked = df.select(*keys, F.explode(F.array(*cells)).alias("c"))
+    return picked.select("c.feature", *(["window"] if window else []), "c.value", F.lit(1).cast("long").alias("n"))
+
+
 def feature_counts(df: DataFrame, columns: Sequence[str], kind: str, window: str | None = None) -> DataFrame:
     """(feature[, window], value, n) including null values."""
     cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast(kind).alias("value")) for c in columns]
@@ -30,7 +39,7 @@ def feature_counts(df: DataFrame, columns: Sequence[str], kind: str, window: str
 def bin_edges(ref: DataFrame, bins: int = fixed.PSI_BINS) -> DataFrame:
     """Distinct inner quantile edges of the reference per feature."""
     inner = [i * (1.0 / bins) for i in range(1, bins)]
-    found = quantiles_from_counts(ref, ["feature"], "value", inner)
+    found = radix.quantiles(ref, ["feature"], "value", inner, "n")
     return found.select("feature", F.array_distinct("quantiles").alias("edges"))
 
 
@@ -74,7 +83,7 @@ def psi_of_bins(bins: DataFrame, profile: DataFrame, *keys: str) -> DataFrame:
 
 def psi_numeric(ref: DataFrame, cur: DataFrame, bins: int = fixed.PSI_BINS) -> DataFrame:
     """(feature, window, psi) over quantile bins of the reference."""
-    edges = bin_edges(ref.where(F.col("value").isNotNull()), bins)
+    edges = materialised(bin_edges(ref, bins), "bin-edges")
     return psi_of_bins(place(cur, edges, "window"), reference_profile(ref, edges), "window")
 
 
@@ -101,55 +110,9 @@ def psi_categorical(ref: DataFrame, cur: DataFrame) -> DataFrame:
     return _psi_sum(full)
 
 
-def reference_totals(ref: DataFrame, cur: DataFrame) -> DataFrame:
-    """Running reference counts at every value of either side: (feature, value, ref_n, cum_ref_n, all_ref_n)."""
-    known = F.col("value").isNotNull()
-    pooled = (
-        ref.where(known).select("feature", "value", F.col("n").alias("ref_n"))
-        .unionByName(cur.where(known).select("feature", "value", F.lit(0).cast("long").alias("ref_n")))
-        .groupBy("feature", "value").agg(F.sum("ref_n").alias("ref_n"))
-    )
-    return running_totals(pooled, ["feature"], "value", ["ref_n"])
-
-
-def edges_of_totals(totals: DataFrame, bins: int = fixed.PSI_BINS) -> DataFrame:
-    """The bin edges of ``bin_edges``, read off running totals that exist already."""
-    picks, points = [], []
-    for i in range(1, bins):
-        at = (F.col("all_ref_n") - 1) * F.lit(i * (1.0 / bins))
-        picks += [
-            F.min(F.when(F.col("cum_ref_n") > F.floor(at), F.col("value"))).alias(f"lo{i}"),
-            F.min(F.when(F.col("cum_ref_n") > F.ceil(at), F.col("value"))).alias(f"hi{i}"),
-            F.max(at - F.floor(at)).alias(f"f{i}"),
-        ]
-        points.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}"))
-    return totals.groupBy("feature").agg(*picks).select("feature", F.array_distinct(F.array(*points)).alias("edges"))
-
-
-def ks_of_totals(totals: DataFrame, cur: DataFrame) -> DataFrame:
-    """(feature, window, ks_statistic, n_reference, n_current).
-
-    The largest gap is reached at a window value or just below one, so each
-    window needs the reference's running count only at its own values. The
-    reference is totalled once, whatever the number of windows.
-    """
-    # The number of windows has no bound of its own, so Spark picks the join by size.
-    known = cur.where(F.col("value").isNotNull())
-    cur_cum = running_totals(known, ["feature", "window"], "value", ["n"], few_keys=False)
-    at = cur_cum.join(totals, ["feature", "value"])
-    above = F.abs(F.col("cum_ref_n") / F.col("all_ref_n") - F.col("cum_n") / F.col("all_n"))
-    below = F.abs(
-        (F.col("cum_ref_n") - F.col("ref_n")) / F.col("all_ref_n") - (F.col("cum_n") - F.col("n")) / F.col("all_n")
-    )
-    return at.groupBy("feature", "window").agg(
-        F.max(F.greatest(above, below)).alias("ks_statistic"),
-        F.max("all_ref_n").alias("n_reference"),
-        F.max("all_n").alias("n_current"),
-    )
-
-
 def ks_statistic(ref: DataFrame, cur: DataFrame) -> DataFrame:
-    return ks_of_totals(reference_totals(ref, cur), cur)
+    """(feature, window, ks_statistic, n_reference, n_current), exact."""
+    return radix.ks_distances(ref, cur, "n")
 
 
 def ks_critical(n_ref: Column, n_cur: Column, alpha: float = fixed.KS_ALPHA) -> Column:
@@ -173,18 +136,15 @@ def drift_report(
     A feature without any value on one side has null PSI and severity
     ``missing``, which counts as an alert: a feed that broke must not look calm.
 
-    The tables that several parts need are written once to the shared folder,
-    so the raw rows are read once per side and kind.
+    Numeric columns are read in several narrow passes that shuffle only counts;
+    categories are counted once.
     """
-    ref_num = feature_counts(reference, numeric, "double")
-    cur_num = materialised(feature_counts(current, numeric, "double", window), "window-counts")
-    totals = materialised(reference_totals(ref_num, cur_num), "reference-totals")
-    edges = edges_of_totals(totals)
-    in_ref = totals.where(F.col("ref_n") > 0).select("feature", "value", F.col("ref_n").alias("n"))
-    psi = psi_of_bins(place(cur_num, edges, "window"), reference_profile(in_ref, edges), "window")
+    ref_num, cur_num = feature_values(reference, numeric), feature_values(current, numeric, window)
+    edges = materialised(bin_edges(ref_num), "bin-edges")
+    psi = psi_of_bins(place(cur_num, edges, "window"), reference_profile(ref_num, edges), "window")
     ref_cat = materialised(feature_counts(reference, categorical, "string"), "reference-counts")
     cur_cat = materialised(feature_counts(current, categorical, "string", window), "window-counts")
-    ks = ks_of_totals(totals, cur_num).withColumn("ks_critical", ks_critical(F.col("n_reference"), F.col("n_current"), alpha))
+    ks = ks_statistic(ref_num, cur_num).withColumn("ks_critical", ks_critical(F.col("n_reference"), F.col("n_current"), alpha))
     num = psi.join(ks, ["feature", "window"]).select(
         "window", "feature", "psi", "ks_statistic", "ks_critical",
         severity(F.col("psi"), F.col("ks_statistic") > F.col("ks_critical")).alias("severity"),
@@ -194,7 +154,7 @@ def drift_report(
         "window", "feature", "psi", none.alias("ks_statistic"), none.alias("ks_critical"),
         severity(F.col("psi")).alias("severity"),
     )
-    every = cur_num.select("window").distinct() if numeric else cur_cat.select("window").distinct()
+    every = current.select(F.col(window).alias("window")).distinct()
     every = every.withColumn("feature", F.explode(F.array(*map(F.lit, [*numeric, *categorical]))))
     rows = every.join(num.unionByName(cat), ["window", "feature"], "left")
     rows = rows.withColumn("severity", F.when(F.col("psi").isNull(), "missing").otherwise(F.col("severity")))

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.functions import fixed
-from brightloom.functions.ranking import quantiles, shuffled_rank, top_k
+from brightloom.functions.radix import quantiles
+from brightloom.functions.ranking import shuffled_rank, top_k
 
 
 def tenure_band(months: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.functions import fixed
-from brightloom.functions.forecasters import FORECASTERS, Forecaster, holt_winters  # noqa: F401
+from brightloom.functions.forecasters import FORECASTERS, BoostedSeries, Forecaster, ahead, holt_winters  # noqa: F401
 from brightloom.operators import series as ts
 from brightloom.session import checkpoint
 
@@ -25,9 +25,10 @@ def _forecast_groups(rows: DataFrame, keys: Sequence[str], models: Mapping[str,
     chosen = dict(models)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("ds")["y"].to_numpy(dtype=float)
+        pdf = pdf.sort_values("ds")
+        y, last = pdf["y"].to_numpy(dtype=float), pdf["ds"].iloc[-1]
         parts = [
-            pd.DataFrame({"model": name, "h": np.arange(horizon, dtype=np.int32), "yhat": np.asarray(f(y, horizon))})
+            pd.DataFrame({"model": name, "h": np.arange(horizon, dtype=np.int32), "yhat": ahead(f, y, horizon, last)})
             for name, f in chosen.items()
         ]
         out = pd.concat(parts, ignore_index=True)
@@ -52,9 +53,11 @@ def fitted_backtest(
         parts = []
         for k in range(n_folds):
             test = pdf[fold == k]
+            origin = int(test["rn"].iloc[0])
             for name, f in chosen.items():
                 part = test[["series_id", "ds", "y"]].copy()
-                part["fold"], part["model"], part["yhat"] = k, name, np.asarray(f(y[: int(test["rn"].iloc[0])], horizon))
+                part["fold"], part["model"] = k, name
+                part["yhat"] = ahead(f, y[:origin], horizon, pdf["ds"].iloc[origin - 1])
                 parts.append(part)
         return pd.concat(parts, ignore_index=True)[["series_id", "fold", "model", "ds", "y", "yhat"]]
 
@@ -72,7 +75,7 @@ def fitted_forecast(grid: DataFrame, models: Mapping[str, Forecaster], horizon:
     )
 
 
-# --- one boosted-tree model over all series ------------------------------------------
+# --- one boosted-tree model over all series; the job above fits one per series -------
 
 _FEATURES = [
     *[f"lag_{k}" for k in fixed.LAGS],

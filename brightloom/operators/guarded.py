@@ -116,9 +116,11 @@ def guarded(spark: SparkSession, sql: str, max_rows: int | None = None) -> DataF
     df = spark.sql(sql)
     if "truncated" in (c.lower() for c in df.columns):
         raise QueryRefused("truncated is the name of the flag; alias that column")
-    cut = df.limit(cap + 1).withColumn("_at", F.monotonically_increasing_id())  # one partition of cap + 1 rows at most
-    flagged = cut.withColumn("truncated", F.max("_at").over(Window.partitionBy(F.lit(1))) >= cap)
-    return flagged.where(F.col("_at") < cap).drop("_at")
+    # cap + 1 rows at most, but in any number of partitions; ids grow with the query's order, and one window numbers them
+    cut = df.limit(cap + 1).withColumn("_id", F.monotonically_increasing_id())
+    numbered = cut.withColumn("_at", F.row_number().over(Window.orderBy("_id")))
+    flagged = numbered.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) > cap)
+    return flagged.where(F.col("_at") <= cap).orderBy("_at").drop("_id", "_at")
 
 
 def run_select(

@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.functions import fixed
-from brightloom.functions.ranking import quantiles, row_numbers
+from brightloom.functions.radix import quantiles
+from brightloom.functions.ranking import row_numbers
 from brightloom.functions.sequences import chain, edit_distance, edit_map
 
 LONG_RUN = 20_000  # tool calls a single task may hold as one sequence

@@ -12,7 +12,6 @@ from brightloom.plans.bindings import (
     LINE_CATEGORICAL, LINE_NUMERIC, SCORED_SQL, SPLIT_DAY, audit_log, line_windows, scored_customers,
 )
 from brightloom.plans.scoring_queries import LINE_RULES, _metrics_sql
-from brightloom.session import materialised
 from brightloom.streaming import telemetry as st
 from brightloom.sources.tables import table
 
@@ -51,17 +50,13 @@ def validation_report(spark, sf):
     return ql.validation_report(_line(spark, sf), CONTRACT, RULES)
 
 
-def _numeric_counts(spark, sf):
-    """Value counts of both sides, written once; all that follows reads them several times."""
+def _numbers(spark, sf):
     ref, cur = line_windows(spark, sf)
-    return (
-        materialised(dr.feature_counts(ref, LINE_NUMERIC, "double"), "reference-counts"),
-        materialised(dr.feature_counts(cur, LINE_NUMERIC, "double", "window"), "window-counts"),
-    )
+    return dr.feature_values(ref, LINE_NUMERIC), dr.feature_values(cur, LINE_NUMERIC, "window")
 
 
 def psi_numeric(spark, sf):
-    out = dr.psi_numeric(*_numeric_counts(spark, sf))
+    out = dr.psi_numeric(*_numbers(spark, sf))
     return out.select("feature", F.round("psi", 6).alias("psi"))
 
 
@@ -74,7 +69,7 @@ def psi_categorical(spark, sf):
 
 
 def ks_statistic(spark, sf):
-    out = dr.ks_statistic(*_numeric_counts(spark, sf))
+    out = dr.ks_statistic(*_numbers(spark, sf))
     return out.select("feature", F.round("ks_statistic", 6).alias("ks_statistic"), "n_reference", "n_current")
 
 

@@ -11,8 +11,6 @@ from brightloom.sources.tables import table
 HORIZON, N_FOLDS, MIN_TRAIN, ALPHA = 28, 5, 365, 0.1
 # Grid values come from the same operations in both engines and are compared as they are;
 # averages depend on the summation order and are rounded.
-#: Boosting rounds of the registered query; the operator's default is 300. Every round is a chain of Spark jobs.
-ROUNDS = 10
 SEASONS = {"seasonal_naive_1": 1, "seasonal_naive_7": 7, "seasonal_naive_28": 28}
 _LAYOUT = (HORIZON, N_FOLDS, MIN_TRAIN)
 
@@ -122,7 +120,7 @@ def ets_backtest(spark, sf):
 
 
 def gbt_backtest(spark, sf):
-    return fc.boosted_backtest(_grid(spark, sf), *_LAYOUT, iterations=ROUNDS, depth=4, learning_rate=0.2)
+    return fc.fitted_backtest(_grid(spark, sf), {"boosted_trees": fc.BoostedSeries()}, *_LAYOUT)
 
 
 def _by_customer(spark, sf):

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from brightloom.functions import fixed
 from brightloom.operators import drift as dr
+from brightloom.session import materialised
 
 
 def frozen_profile(reference: DataFrame, columns: Sequence[str], bins: int = fixed.PSI_BINS) -> DataFrame:
     """(feature, edges, shares): floored reference share of every bin, one row per feature."""
-    counts = dr.feature_counts(reference, columns, "double").where(F.col("value").isNotNull())
-    return dr.reference_profile(counts, dr.bin_edges(counts, bins))
+    values = dr.feature_values(reference, columns)
+    return dr.reference_profile(values, materialised(dr.bin_edges(values, bins), "bin-edges"))
 
 
 def windowed_bins(

@@ -82,9 +82,12 @@ def test_psi_numeric(spark, shift):
     ref, cur = np.round(rng.normal(0, 1, 800), 1), np.round(rng.normal(shift, 1, 300), 1)
     got = dr.psi_numeric(counts(spark, ref.tolist()), counts(spark, cur.tolist(), "w")).first()["psi"]
     assert got == pytest.approx(numpy_psi(ref, cur))
-    totals = dr.reference_totals(counts(spark, ref.tolist()), counts(spark, cur.tolist(), "w"))
-    edges = [r["edges"] for d in (dr.edges_of_totals(totals), dr.bin_edges(counts(spark, ref.tolist()))) for r in d.collect()]
-    assert edges[0] == edges[1]
+    rows = spark.createDataFrame([(float(v), "w") for v in cur], "f double, w string")
+    plain = spark.createDataFrame([(float(v),) for v in ref], "f double")
+    again = dr.psi_numeric(dr.feature_values(plain, ["f"]), dr.feature_values(rows, ["f"], "w")).first()
+    assert again["psi"] == pytest.approx(got) and again["window"] == "w"
+    edges = dr.bin_edges(dr.feature_values(plain, ["f"])).first()["edges"]
+    assert edges == pytest.approx(list(dict.fromkeys(np.quantile(ref, np.linspace(0, 1, 11))[1:-1].tolist())))
 
 
 def test_psi_same_sample_and_shift(spark):

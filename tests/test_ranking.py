@@ -35,13 +35,6 @@ def test_running_totals_without_keys(spark):
     assert got == [(1.0, 1, 8), (2.0, 6, 8), (3.0, 8, 8)]
 
 
-def test_quantiles_equal_numpy(skewed):
-    df, rows = skewed
-    probs = [0.0, 0.1, 0.5, 0.95, 1.0]
-    for r in rk.quantiles(df, ["k"], "v", probs).collect():
-        assert r["quantiles"] == pytest.approx(list(np.quantile([v for k, v in rows if k == r["k"]], probs)))
-
-
 def test_shuffled_rank(spark):
     df = spark.range(2000).select("id", (F.col("id") % 3 == 0).alias("s"))
     rows = rk.shuffled_rank(df, ["s"], "id", 7).collect()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from brightloom.operators import classification as cl, features as ft, models as md
@@ -133,37 +133,55 @@ def learnable(spark):
 
 def test_models_beat_chance_and_survive_saving(spark, learnable):
     train, test = learnable
-    fitted = md.fit_candidates(train, ["x", "z"], ["g"], ["logistic_regression", "boosted_trees"])
+    fitted = md.fit_candidates(train, ["x", "z"], ["g"])
     board = md.compare_candidates(fitted, test, "id").orderBy("rank").collect()
-    assert len(board) == 2 and board[0]["roc_auc"] > 0.85 and board[1]["rank"] == 2
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    md.save_model(fitted["logistic_regression"], path, {"threshold": 0.41, "version": 3})
-    model, meta = md.load_model(spark, path)
-    assert meta == {"threshold": "0.41", "version": "3"}
-    rows = md.batch_scores(model, test, "id", 0.41, 3).collect()
-    assert len(rows) == test.count() and all(r["decision"] == (r["probability"] >= 0.41) for r in rows)
+    assert len(board) == 3 and board[2]["roc_auc"] > 0.85 and [r["rank"] for r in board] == [1, 2, 3]
+    assert len(fitted["random_forest"].trees.roots) == len(fitted["boosted_trees"].trees.roots) == 300
+    for name in ("logistic_regression", "boosted_trees", "random_forest"):
+        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        md.save_model(fitted[name], path, {"threshold": 0.41, "version": 3})
+        model, meta = md.load_model(spark, path)
+        assert meta == {"threshold": "0.41", "version": "3"}
+        rows = md.batch_scores(model, test, "id", 0.41, 3).collect()
+        assert len(rows) == test.count() and all(r["decision"] == (r["probability"] >= 0.41) for r in rows)
+        assert sorted(rows) == sorted(md.batch_scores(fitted[name], test, "id", 0.41, 3).collect())
     with pytest.raises(ValueError, match="no candidate named"):
         md.estimator("nope", 10)
 
 
+def test_training_rows_are_bounded(spark):
+    df = spark.range(3000).select(F.array(F.col("id").cast("double")).alias("a"), (F.col("id") % 2).alias("label"), "id")
+    df = df.select(array_to_vector("a").alias("features"), "label", "id")
+    some, every = md.training_table(df, 500), md.training_table(df)
+    assert len(every.y) == 3000 and 350 < len(some.y) < 650 and set(some.x[:, 0]) < set(every.x[:, 0])
+    assert (md.training_table(df.repartition(7, "id"), 500).x == some.x).all()
+    assert some.weight[some.y == 1].sum() == pytest.approx(len(some.y) / 2)
+
+
 def test_tuning_is_seeded(learnable):
     train = ft.stratified_folds(learnable[0], "label", "id", 2)
     first = md.tune_boosted_trees(train, ["x", "z"], ["g"], "fold", trials=2).orderBy("rank").collect()
     assert [r["rank"] for r in first] == [1, 2] and first[0]["mean_auc"] >= first[1]["mean_auc"] > 0.7
+    again = md.tune_boosted_trees(train.repartition(5), ["x", "z"], ["g"], "fold", trials=2).orderBy("rank").collect()
+    assert first == again
 
 
 def test_candidates_do_the_whole_work():
     forest, boosted, linear = (md.estimator(n, 10) for n in ("random_forest", "boosted_trees", "logistic_regression"))
     assert (forest.getNumTrees(), forest.getMaxDepth(), boosted.getMaxIter(), linear.getMaxIter()) == (300, 30, 300, 2000)
     assert md.estimator("boosted_trees", 10, maxIter=2).getMaxIter() == 2
+    assert (md.BOOSTED.rounds, md.BOOSTED.leaves, md.BOOSTED.min_rows, md.BOOSTED.rows, md.BOOSTED.columns) == (300, 31, 20, 0.9, 0.9)
+    assert (md.FOREST.rounds, md.FOREST.min_rows) == (300, 5)
     drawn = md.draw_trials(15)
-    assert drawn == md.draw_trials(15) and {t["maxIter"] for t in drawn} <= set(range(100, 501, 100))
-    assert all(len({t[k] for t in drawn}) > 1 for k in ("maxIter", "stepSize", "maxDepth", "minInstancesPerNode", "minInfoGain"))
-    assert {t["maxDepth"] for t in md.draw_trials(200)} == {4, 5, 6}
+    assert drawn == md.draw_trials(15) and {t.rounds for t in drawn} <= set(range(100, 501, 100))
+    assert all(len({getattr(t, k) for t in drawn}) > 1 for k in ("rounds", "rate", "leaves", "min_rows", "l2"))
+    many = md.draw_trials(300)
+    assert (min(t.leaves for t in many), max(t.leaves for t in many)) == (15, 63)
+    assert 1e-3 <= min(t.l2 for t in many) and max(t.l2 for t in many) <= 10 and max(t.rate for t in many) <= 0.2
 
 
 def test_tuning_searches_the_rounds(learnable):
     train = ft.stratified_folds(learnable[0], "label", "id", 2)
     rows = md.tune_boosted_trees(train, ["x", "z"], ["g"], "fold", trials=3, rounds=(1, 2)).orderBy("trial").collect()
-    assert [r["rounds"] for r in rows] == [t["maxIter"] for t in md.draw_trials(3, rounds=(1, 2))]
+    assert [r["rounds"] for r in rows] == [t.rounds for t in md.draw_trials(3, rounds=(1, 2))]
     assert sorted(r["rank"] for r in rows) == [1, 2, 3]

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brightloom.functions import fixed, forecasters
 from brightloom.functions.forecasters import holt_winters
 from brightloom.operators import forecasting as fc, series as ts
 
@@ -117,7 +118,7 @@ def test_anomalies(spark):
 
 def test_holt_winters_beats_naive(spark):
     grid = make(spark, seasonal(260)).unionAll(make(spark, seasonal(260, 5), "t"))
-    pred = fc.fitted_backtest(grid, fc.FORECASTERS, 14, 3, 100)
+    pred = fc.fitted_backtest(grid, {m: fc.FORECASTERS[m] for m in ("seasonal_naive", "exp_smoothing")}, 14, 3, 100)
     assert pred.count() == 2 * 2 * 3 * 14
     best = ts.best_models(ts.metrics(pred, ts.fold_scales(grid, 14, 3, 100)))
     assert {r["model"] for r in best.collect()} == {"exp_smoothing"}
@@ -149,6 +150,33 @@ def test_forecast_run(spark):
     assert s["n_days"] == 200 and 0 <= s["coverage"] <= 1 and s["model"] == rows[0]["model"]
 
 
+def test_every_model_can_win(spark):
+    """A seasonal random walk, a trend with a weekly wave, and fortnights that neither of the other models can see."""
+    rng, t = np.random.default_rng(5), np.arange(420)
+    walk = rng.normal(50, 20, 420)
+    for i in range(7, 420):
+        walk[i] = walk[i - 7] + rng.normal(0, 2)
+    smooth = 100 + 0.3 * t + 10 * np.sin(2 * np.pi * t / 7) + rng.normal(0, 3, 420)
+    blocks = 20 + 30 * (t // 7 % 2) + rng.normal(0, 1, 420)
+    grid = make(spark, walk, "walk").unionAll(make(spark, smooth, "smooth")).unionAll(make(spark, blocks, "blocks"))
+    ahead, summary, rejected = fc.forecast_run(grid, fc.FORECASTERS, 28, 3, 200, 0.2)
+    won = {r["series_id"]: r["model"] for r in summary.collect()}
+    assert won == {"walk": "seasonal_naive", "smooth": "exp_smoothing", "blocks": "boosted_trees"} and rejected.count() == 0
+    rows = [r for r in ahead.orderBy("ds").collect() if r["series_id"] == "blocks"]
+    assert len(rows) == 28 and all(abs(r["yhat"] - (20 + 30 * ((420 + i) // 7 % 2))) < 5 for i, r in enumerate(rows))
+
+
+def test_boosted_features_are_those_of_the_training_table(spark):
+    values, seen = seasonal(120), ts.features(make(spark, seasonal(120))).orderBy("ds").collect()
+    days, at = np.datetime64(DAY0, "D") + np.arange(120), np.arange(28, 120)
+    got = np.hstack([forecasters._past(values, at), forecasters._calendar(days)[at]])
+    names = [*[f"lag_{k}" for k in fixed.LAGS], *[f"roll_{s}_{w}" for w in fixed.ROLL_WINDOWS for s in ("mean", "std")],
+             "dayofweek", "month", "is_weekend", "is_month_start", "is_month_end", "doy_sin", "doy_cos"]
+    assert got == pytest.approx(np.array([[float(seen[i][c]) for c in names] for i in at]))
+    with pytest.raises(ValueError, match="need"):
+        fc.BoostedSeries()(values[:40], 3, DAY0)
+
+
 def test_boosted_backtest(spark):
     grid = make(spark, seasonal(160)).unionAll(make(spark, seasonal(160, 9), "t"))
     pred = fc.boosted_backtest(grid, 7, 1, 100, iterations=5, cut_every=4)

@@ -130,3 +130,18 @@ def test_the_cut_is_flagged(spark):
     rows = g.guarded(spark, "SELECT id FROM ten ORDER BY id DESC", 4).collect()
     assert [(r["id"], r["truncated"]) for r in rows] == [(9, True), (8, True), (7, True), (6, True)]
     assert {r["truncated"] for r in g.guarded(spark, "SELECT id FROM ten", 10).collect()} == {False}
+
+
+def test_no_row_is_lost_whatever_the_partitions(spark):
+    spark.range(0, 50, 1, 4).createOrReplaceTempView("fifty")
+    spark.range(0, 300, 1, 7).createOrReplaceTempView("many")
+    rows = g.guarded(spark, "SELECT id FROM fifty", 200).collect()
+    assert [r["id"] for r in rows] == list(range(50)) and {r["truncated"] for r in rows} == {False}
+    rows = g.guarded(spark, "SELECT a.id FROM fifty a JOIN many b ON a.id = b.id", 200).collect()
+    assert sorted(r["id"] for r in rows) == list(range(50)) and {r["truncated"] for r in rows} == {False}
+    rows = g.guarded(spark, "SELECT id FROM many", 200).collect()
+    assert len(rows) == 200 and {r["truncated"] for r in rows} == {True}
+    ordered = g.guarded(spark, "SELECT id FROM fifty ORDER BY id DESC", 50).collect()
+    assert [r["id"] for r in ordered] == list(range(49, -1, -1)) and not ordered[0]["truncated"]
+    points = g.chart_points(spark, "SELECT id, id * 2 AS twice FROM fifty", "line", "id", "twice")
+    assert sorted(points) == [(i, 2 * i) for i in range(50)]

@@ -27,7 +27,7 @@ def components(links: DataFrame, label: str = "links", keep: Callable[[DataFrame
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = keep(large.where("a <> b").distinct(), label)
+        stars = keep(large.where("a <> b"), label)
         least = stars.groupBy("a").agg(F.min("b").alias("m"))
         small = stars.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))

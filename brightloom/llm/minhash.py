@@ -19,9 +19,9 @@ bits than the sets differ in shingles, so no link is lost. Links are then
 confirmed on the full sets.
 
 Equal sets are one node. No group under a key is expanded into its links: nodes
-are first compared with the node under their keys that shares most keys with
-others (the hub of a family of near copies), then families try each other's
-hubs, and only nodes under one key that are still in different families are
+are first compared with the node under each of their keys that shares most keys
+with others (the hub of a family of near copies), then families try each other's
+hubs; only nodes under one key that are then still in different families are
 compared with each other, all of them, sketches inside the join.
 """
 
@@ -42,8 +42,6 @@ from brightloom.llm.jaccard import node_of, shingles
 CHUNKS, PLACES = 8, 6
 #: All pairs of signatures that differ in at most so many places meet.
 GUARANTEED = 2 * CHUNKS - 1
-#: Rounds in which families try each other's hubs.
-MERGE_ROUNDS = 2
 #: 64-bit words of an odd sketch.
 SKETCH_WORDS = 16
 BATCH_ROWS = 256
@@ -121,12 +119,14 @@ def _xor(name: str) -> Column:
     return F.col(f"{name}_a").bitwiseXOR(F.col(f"{name}_b"))
 
 
+def _all_bytes(byte: int) -> Column:
+    return F.lit(sum(byte << 8 * p for p in range(PLACES))).cast("long")
+
+
 def _differing(name: str) -> Column:
-    """In how many places the two sides' chunks differ."""
+    """In how many places the two sides' chunks differ: the top bit of every byte of the difference that is not zero."""
     x = _xor(name)
-    for shift, mask in ((4, 0x0F), (2, 0x03), (1, 0x01)):  # every byte that is not zero becomes 1
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(sum(mask << 8 * p for p in range(PLACES))).cast("long"))
-    return F.bit_count(x)
+    return F.bit_count(((x.bitwiseAND(_all_bytes(0x7F)) + _all_bytes(0x7F)).bitwiseOR(x)).bitwiseAND(_all_bytes(0x80)))
 
 
 def distance() -> Column:
@@ -134,14 +134,9 @@ def distance() -> Column:
     return reduce(Column.__add__, map(_differing, _CHUNK_NAMES))
 
 
-def first_meeting() -> Column:
-    """Number (chunk and place) of the first key that both sides have; null if they do not meet."""
-    at = F.lit(None).cast("int")
-    for j in reversed(range(CHUNKS)):
-        name = _CHUNK_NAMES[j]
-        place = reduce(Column.__add__, [(_xor(name) >= F.lit(1 << 8 * p).cast("long")).cast("int") for p in range(1, PLACES)])
-        at = F.when(_differing(name) == 0, j * PLACES).when(_differing(name) == 1, j * PLACES + place).otherwise(at)
-    return at
+def first_chunk(chunk: Column) -> Column:
+    """Do the sides meet in no chunk before this one? (Kept short: the JVM compiles no method above 8,000 bytes.)"""
+    return reduce(Column.__and__, [(chunk <= j) | (_differing(name) > 1) for j, name in enumerate(_CHUNK_NAMES[:-1])])
 
 
 def odd_distance() -> Column:
@@ -172,11 +167,13 @@ class _Join:
 
     def confirmed(self, likely: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
-        both = F.size(F.array_intersect("items_a", "items_b"))
-        similar = 100 * both >= self.percent * (F.size("items_a") + F.size("items_b") - both)
         pairs = self.tables.stored(likely, "likely")
-        joined = pairs.join(_named(self.sets, "a"), "a").join(_named(self.sets, "b"), "b")
-        return self.tables.stored(joined.where(similar).select("a", "b"), "confirmed")
+        # both sets of a pair come together once; sets outside all pairs stay where they are while the pairs are few
+        sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(self.sets, "node")
+        found = sides.groupBy("a", "b").agg(F.collect_list("items").alias("two"))
+        both = F.size(F.array_intersect(F.get("two", 0), F.get("two", 1)))
+        either = F.size(F.get("two", 0)) + F.size(F.get("two", 1)) - both
+        return self.tables.stored(found.where(100 * both >= self.percent * either).select("a", "b"), "confirmed")
 
     def families(self, links: DataFrame) -> DataFrame:
         return self.tables.stored(components(links, "families", self.tables.stored), "families")
@@ -193,31 +190,31 @@ def _links(join: _Join, held: DataFrame, nodes: DataFrame) -> DataFrame:
     ``held(key, node, popular)``: the keys that several nodes have.
     """
     hubs = held.groupBy("key").agg(_hub()["node"].alias("hub"))
-    met = held.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
-    star = met.groupBy("node").agg(F.max(F.struct("shared", "hub"))["hub"].alias("hub"))
-    links = join.confirmed(join.likely(star.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
-    for _ in range(MERGE_ROUNDS + 1):
-        roots = join.families(links)
-        rooted = join.tables.stored(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        if _ == MERGE_ROUNDS:
-            break
-        groups = rooted.groupBy("key", "root").agg(_hub().alias("hub"), F.count(F.lit(1)).alias("size"))
-        largest = groups.groupBy("key").agg(F.max(F.struct("size", "root", "hub")).alias("top"), F.count(F.lit(1)).alias("families"))
-        tries = groups.join(largest.where("families > 1"), "key").where("root <> top.root")
-        more = join.confirmed(join.likely(tries.select(F.col("hub.node").alias("a"), F.col("top.hub.node").alias("b"))))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-
-    # Whatever is still apart under one key: all its pairs that sizes and sketches allow, each under the first key it shares.
+    stars = join.confirmed(join.likely(held.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+
+    # Families, roughly: a node goes with the most popular node it is linked with. Their hubs try those of the largest families.
+    popular = held.select("node", "popular").distinct()
+    linked = stars.select(F.col("a").alias("of"), F.col("b").alias("node")).unionByName(stars.select(F.col("b").alias("of"), F.col("a").alias("node")))
+    leader = linked.join(popular, "node").groupBy("of").agg(_hub().alias("leader")).withColumnRenamed("of", "node")
+    own = F.struct("popular", "node")
+    labelled = held.join(leader, "node", "left").withColumn("family", F.greatest(F.coalesce("leader", own), own)["node"])
+    groups = labelled.groupBy("key", "family").agg(_hub().alias("hub"), F.count(F.lit(1)).alias("size"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("size", "family", "hub")).alias("top"), F.count(F.lit(1)).alias("families"))
+    tries = groups.join(largest.where("families > 1"), "key").where("family <> top.family")
+    merged = join.confirmed(join.likely(tries.select(F.col("hub.node").alias("a"), F.col("top.hub.node").alias("b"))))
+    links = stars.unionByName(merged)
+    roots = join.families(links)
+    rooted = join.tables.stored(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+
+    # Whatever is still apart under one key: all its pairs that sizes and sketches allow, each in the first chunk it meets in.
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     open_ = rooted.join(apart, "key", "left_semi").select("key", "node", "root").join(nodes, "node")
     open_ = join.tables.stored(open_, "open")
-    number = F.shiftright("key", 8 * (PLACES - 1)).cast("int")
+    chunk = F.floor(F.shiftright("key", 8 * (PLACES - 1)) / PLACES)
     pairs = _named(open_, "a").join(_named(open_, "b"), "key").where(
-        (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & join.alike() & (first_meeting() == number)
+        (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & join.alike() & first_chunk(chunk)
     )
-    return links.unionByName(join.confirmed(pairs.select("a", "b")))
+    return links.unionByName(join.confirmed(pairs.select("a", "b").distinct()))
 
 
 def classify(docs: DataFrame, width: int = 5, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

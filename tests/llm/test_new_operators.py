@@ -109,8 +109,8 @@ def test_distance_and_keys(spark):
     nodes = spark.createDataFrame([(i, *map(int, s)) for i, s in enumerate(signed)], "node long, " + ", ".join(f"c{i} long" for i in range(8)))
     places = signed.view(np.uint8).reshape(len(sets), 8, 8)[:, :, :6].reshape(len(sets), 48)
     pairs = minhash._named(nodes, "a").join(minhash._named(nodes, "b"), F.col("a") < F.col("b"))
-    rows = pairs.select("a", "b", minhash.distance().alias("d"), minhash.first_meeting().alias("m")).collect()
-    got, meeting = {(r.a, r.b): r.d for r in rows}, {(r.a, r.b): r.m for r in rows}
+    rows = pairs.select("a", "b", minhash.distance().alias("d"), *[minhash.first_chunk(F.lit(j)).alias(f"f{j}") for j in range(8)]).collect()
+    got, first = {(r.a, r.b): r.d for r in rows}, {(r.a, r.b): [r[f"f{j}"] for j in range(8)] for r in rows}
     assert got == {(a, b): int((places[a] != places[b]).sum()) for a, b in got}
     keys = collections.defaultdict(set)
     for r in minhash.index_keys(nodes).collect():
@@ -120,7 +120,7 @@ def test_distance_and_keys(spark):
         chunks = (places[a] != places[b]).reshape(8, 6).sum(1)
         assert bool(keys[a] & keys[b]) == bool((chunks <= 1).any())
         assert d > minhash.GUARANTEED or keys[a] & keys[b]
-        assert meeting[(a, b)] == min((k >> 40 for k in keys[a] & keys[b]), default=None)
+        assert first[(a, b)] == [not (chunks[:j] <= 1).any() for j in range(8)]
 
 
 def test_odd_sketches_never_hide_a_link():

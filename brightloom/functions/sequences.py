@@ -1,4 +1,4 @@
-"""Sequence kernels for Arrow UDFs: common subsequence, edit-cost maps."""
+"""Sequence kernels for Arrow UDFs: common subsequence, matching blocks, edit-cost maps."""
 
 from __future__ import annotations
 
@@ -27,6 +27,59 @@ def lcs_series(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+#: From this length on, characters that fill more than a hundredth of the second text start no block.
+POPULAR_FROM = 200
+
+
+def _longest_block(a: np.ndarray, b: np.ndarray, usable: np.ndarray) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest common block of usable characters, the first in a, then in b.
+
+    One row of block lengths per character of a, over all of b at once. The
+    block then grows by whatever characters are equal beside it.
+    """
+    at_a = at_b = size = 0
+    row = np.zeros(len(b) + 1, np.int64)
+    for i, char in enumerate(a):
+        row[1:] = np.where(usable & (b == char), row[:-1] + 1, 0)
+        top = int(row.max(initial=0))
+        if top > size:
+            at_a, at_b, size = i - top + 1, int(row.argmax()) - top, top
+    while at_a and at_b and a[at_a - 1] == b[at_b - 1]:
+        at_a, at_b, size = at_a - 1, at_b - 1, size + 1
+    while at_a + size < len(a) and at_b + size < len(b) and a[at_a + size] == b[at_b + size]:
+        size += 1
+    return at_a, at_b, size
+
+
+def matching_ratio(expected: str | None, actual: str | None) -> float:
+    """2 x characters in matching blocks / characters of both, case folded: 1 for equal texts, also for two empty ones.
+
+    The longest common block comes first, then the same on both sides of it.
+    """
+    a, b = (np.frombuffer((t or "").casefold().encode("utf-32-le"), np.uint32) for t in (expected, actual))
+    if not len(a) + len(b):
+        return 1.0
+    usable = np.ones(len(b), bool)
+    if len(b) >= POPULAR_FROM:
+        chars, counts = np.unique(b, return_counts=True)
+        usable = ~np.isin(b, chars[counts > len(b) // 100 + 1])
+    matched, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        low_a, high_a, low_b, high_b = todo.pop()
+        if low_a == high_a or low_b == high_b:
+            continue
+        i, j, size = _longest_block(a[low_a:high_a], b[low_b:high_b], usable[low_b:high_b])
+        if size:
+            matched += size
+            i, j = low_a + i, low_b + j
+            todo += [(low_a, i, low_b, j), (i + size, high_a, j + size, high_b)]
+    return 2.0 * matched / (len(a) + len(b))
+
+
+def ratio_series(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([matching_ratio(x, y) for x, y in zip(a, b)], dtype=float)
+
+
 def edit_map(expected: list[str], actual: list[str]) -> np.ndarray:
     """Edit costs of consuming ``actual`` from every start to every end position in ``expected``.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.functions import fixed, text as tx
 from brightloom.functions.partitions import spread
-from brightloom.functions.sequences import lcs_series
+from brightloom.functions.sequences import lcs_series, ratio_series
 
 Judge = Callable[[DataFrame, str, str], DataFrame]
 Likeness = Callable[[Column, Column], Column]
@@ -114,6 +114,11 @@ def keyword_judge(df: DataFrame, expected: str, actual: str) -> DataFrame:
     ).drop("_k", "_low", "_hit", "_miss")
 
 
+def sequence_ratio(expected: Column, actual: Column) -> Column:
+    """Likeness of two answers by their matching blocks, on Arrow batches; for ``answer_scores``."""
+    return F.pandas_udf(ratio_series, "double")(expected, actual)
+
+
 def answer_scores(
     df: DataFrame, expected: str, actual: str, judge: Judge | None = keyword_judge, fuzzy: Likeness | None = None
 ) -> DataFrame:

@@ -2,14 +2,15 @@
 
 A ranking is (query_id, item_id, score, rank), rank from 1. Every search takes
 ``queries(query_id, …)`` and an index or items; such a function is the extension
-point for other search tools. An index is built from the corpus once, can be
-written and reloaded, and serves any number of query tables; searches are lazy.
+point for other search tools. An index is written once, serves any number of
+query tables, and grows by segments: items are added, replaced and deleted
+without touching what is written already. Searches are lazy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -17,6 +18,7 @@ from brightloom.functions import fixed, text as tx, vectors as vec
 from brightloom.functions.matching import ToMatrix, block_top, bucket_counts, pack, sparse_rows, stacked
 from brightloom.functions.partitions import spread
 from brightloom.functions.ranking import top_k
+from brightloom.session import materialised, remove
 
 _HITS = "query_id long, item_id long, score double"
 _BLOCK = "ids array<long>, matrix binary"
@@ -75,40 +77,124 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, to_matrix: ToMatri
 
 @dataclass(frozen=True)
 class Embedder:
-    """``vectors(df, id column, text column)`` gives (id, vector); ``to_matrix`` turns such a column into unit rows."""
+    """``vectors(df, id column, text column)`` gives (id, vector); ``to_matrix`` turns such a column into unit rows.
+
+    ``dim`` is the rows' dimension; without it that is the length of the vectors.
+    """
 
     vectors: Callable[[DataFrame, str, str], DataFrame]
     to_matrix: ToMatrix
+    dim: int | None = None
 
 
 def hashed_embedder(dim: int = fixed.EMBEDDING_DIM) -> Embedder:
-    return Embedder(lambda df, row_id, text: term_buckets(df, row_id, text, dim), bucket_counts(dim))
+    return Embedder(lambda df, row_id, text: term_buckets(df, row_id, text, dim), bucket_counts(dim), dim)
 
 
 # --- BM25 ------------------------------------------------------------------------------
 
 
+#: Tables of a stored index; each has a folder per segment.
+_PARTS = ("postings", "docs", "terms", "totals", "removed", "vectors")
+
+
 @dataclass(frozen=True)
 class Index:
-    """postings(term, item_id, tf, length), terms(term, df, idf), totals(n, mean_length: one row), vectors(item_id, vector)."""
+    """postings(term, item_id, tf, length), terms(term, df, idf), totals(n, mean_length: one row), vectors(item_id, vector).
+
+    A stored index has one segment per ``build_index``, ``append`` or ``delete``.
+    Its postings, document lengths and vectors are never rewritten: a segment
+    names the items of earlier segments that it replaces or deletes, and its
+    term counts and totals are net of them, so statistics add up.
+    """
 
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
     vectors: DataFrame | None = None
 
-    def save(self, path: str) -> None:
-        """Postings lie in term order, so a search for few terms skips most files."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for part in fields(self)[1:]:
-            table = getattr(self, part.name)
-            if table is not None:
-                table.write.mode("overwrite").parquet(f"{path}/{part.name}")
-
     @staticmethod
-    def load(spark: SparkSession, path: str, vectors: bool = True) -> Index:
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Index(read("postings"), read("terms"), read("totals"), read("vectors") if vectors else None)
+    def load(spark: SparkSession, path: str, vectors: bool = True, dim: int | None = None) -> Index:
+        """All segments together. Vectors of different dimensions, or of another one than ``dim``, are an error."""
+        stored = _Stored(spark, path)
+        if vectors:
+            found = stored.dims()
+            if not found:
+                raise ValueError("this index was built without vectors")
+            if len(found) > 1 or (dim is not None and found != {dim}):
+                raise ValueError(f"index holds vectors of dimension {sorted(found)}" + (f", expected {dim}" if dim is not None else ""))
+        terms = stored.read("terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        totals = stored.read("totals").agg(
+            F.sum("n").alias("n"), F.try_divide(F.sum("tokens").cast("double"), F.sum("n")).alias("mean_length")
+        )
+        return Index(
+            stored.live("postings").select("term", "item_id", "tf", "length"), _with_idf(terms, totals), totals,
+            stored.live("vectors").drop("segment") if vectors else None,
+        )
+
+
+class _Stored:
+    """The folders of a stored index."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{part}")
+
+    def write(self, part: str, segment: int, rows: DataFrame) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{part}/segment={segment}")
+        return self.spark.read.parquet(f"{self.path}/{part}/segment={segment}")
+
+    def segments(self) -> int:
+        return self.read("totals").agg(F.max("segment")).first()[0] + 1
+
+    def live(self, part: str) -> DataFrame:
+        """Rows of items that no later segment replaces or deletes."""
+        gone = self.read("removed").groupBy("item_id").agg(F.max("segment").alias("upto")).withColumnRenamed("item_id", "gone")
+        rows = self.read(part)
+        return rows.join(gone, (rows["item_id"] == gone["gone"]) & (rows["segment"] < gone["upto"]), "left_anti")
+
+    def dims(self) -> set[int]:
+        """Dimensions of the stored vectors; empty if there are none."""
+        return {r["dim"] for r in self.read("totals").select("dim").distinct().collect() if r["dim"] is not None}
+
+    def add(
+        self, segment: int, tokens: DataFrame | None, removed: DataFrame | None, vectors: DataFrame | None, dim: int | None = None
+    ) -> None:
+        """Write a segment of ``tokens(item_id, tokens)`` that replaces or deletes ``removed(item_id)``; its totals come last.
+
+        Only a segment with totals has a number, so one that failed half-way is
+        written anew under its number.
+        """
+        spark = self.spark
+        kind = (self.read("docs") if tokens is None else tokens).schema["item_id"].dataType.simpleString()
+        if tokens is None:
+            tokens = spark.createDataFrame([], f"item_id {kind}, tokens array<string>")
+        gone = spark.createDataFrame([], f"item_id {kind}") if removed is None else removed
+        gone = self.write("removed", segment, gone.select("item_id").distinct())
+        docs = self.write("docs", segment, tokens.select("item_id", F.size("tokens").cast("long").alias("length")))
+        postings = self.write("postings", segment, postings_of(tokens).hint("rebalance", "term").sortWithinPartitions("term", "item_id"))
+        df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        counts = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
+        if segment:  # take back what earlier segments counted
+            before = lambda part: self.live_before(part, segment).join(gone, "item_id", "left_semi")
+            df = df.unionByName(before("postings").groupBy("term").agg((-F.count(F.lit(1))).alias("df")))
+            lost = before("docs").agg((-F.count(F.lit(1))).alias("n"), (-F.coalesce(F.sum("length"), F.lit(0))).alias("tokens"))
+            counts = counts.unionByName(lost).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+        self.write("terms", segment, df.groupBy("term").agg(F.sum("df").alias("df")))
+        if vectors is not None:
+            held = self.write("vectors", segment, vectors)
+            if dim is None:
+                low, dim = held.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+                if low != dim:
+                    raise ValueError(f"vectors of dimension {low} and {dim} in one corpus")
+        self.write("totals", segment, counts.withColumn("dim", F.lit(dim).cast("int")))
+
+    def live_before(self, part: str, segment: int) -> DataFrame:
+        gone = self.read("removed").where(F.col("segment") < segment).groupBy("item_id").agg(F.max("segment").alias("upto"))
+        rows, gone = self.read(part).where(F.col("segment") < segment), gone.withColumnRenamed("item_id", "gone")
+        return rows.join(gone, (rows["item_id"] == gone["gone"]) & (rows["segment"] < gone["upto"]), "left_anti")
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
@@ -118,41 +204,78 @@ def postings_of(tokens: DataFrame) -> DataFrame:
     )
 
 
-def _terms(postings: DataFrame, totals: DataFrame) -> DataFrame:
+def _with_idf(terms: DataFrame, totals: DataFrame) -> DataFrame:
     """(term, df, idf). A negative idf becomes 0.25 x the mean idf of all terms."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = totals.select("n").scalar()
-    raw = df.withColumn("_raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = terms.withColumn("_raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("_raw")).scalar()
     return raw.select(
         "term", "df", F.when(F.col("_raw") < 0, mean * fixed.BM25_EPSILON).otherwise(F.col("_raw")).alias("idf")
     )
 
 
-def _tokenised(corpus: DataFrame, item_id: str, text: str) -> DataFrame:
-    return spread(corpus.select(item_id, text)).select(F.col(item_id).alias("item_id"), tx.tokens(F.col(text)).alias("tokens"))
+def _tokenised(corpus: DataFrame, item_id: str, text: str | Column) -> DataFrame:
+    """``tokens(item_id, tokens)``; a column in place of a text's name gives the tokens itself."""
+    tokens = tx.tokens(F.col(text)) if isinstance(text, str) else text
+    return spread(corpus).select(F.col(item_id).alias("item_id"), tokens.alias("tokens"))
 
 
 def bm25_index(corpus: DataFrame, item_id: str, text: str) -> DataFrame:
     """(term, df, idf) of a corpus; one shuffle of partially summed terms."""
-    tokens = _tokenised(corpus, item_id, text)
-    return _terms(postings_of(tokens), tokens.agg(F.count(F.lit(1)).alias("n")))
+    tokens = _tokenised(corpus.select(item_id, text), item_id, text)
+    terms = postings_of(tokens).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _with_idf(materialised(terms, "terms"), tokens.agg(F.count(F.lit(1)).alias("n")))
 
 
 def build_index(
-    corpus: DataFrame, item_id: str, text: str, path: str, embedder: Embedder | None = None
+    corpus: DataFrame, item_id: str, text: str | Column, path: str, embedder: Embedder | None = None
 ) -> Index:
-    """Tokenise and embed the corpus once and write its index under ``path``; the result reads from there."""
+    """Tokenise and embed the corpus once and write its index under ``path``; the result reads from there.
+
+    ``item_id`` is unique in the corpus. Instead of a text's name, ``text`` may
+    be a column that gives its tokens.
+    """
     spark = corpus.sparkSession
-    _tokenised(corpus, item_id, text).write.mode("overwrite").parquet(f"{path}/tokens")
-    tokens = spark.read.parquet(f"{path}/tokens")
-    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
-    postings = postings_of(tokens)
-    vectors = embedder and embedder.vectors(corpus.select(F.col(item_id).alias("item_id"), text), "item_id", text)
-    Index(postings, _terms(postings, totals), totals, vectors or None).save(path)
+    for part in _PARTS:  # what lies there from an earlier index goes
+        remove(spark, f"{path}/{part}")
+    _write_segment(_Stored(spark, path), 0, corpus, item_id, text, embedder, None)
     return Index.load(spark, path, embedder is not None)
 
 
+def append(
+    corpus: DataFrame, item_id: str, text: str | Column, path: str, embedder: Embedder | None = None
+) -> Index:
+    """Add the corpus to the index under ``path`` as a new segment; items that are there already are replaced.
+
+    Only the new segment is written. ``embedder`` must be the one the index was built with.
+    """
+    stored = _Stored(corpus.sparkSession, path)
+    if bool(stored.dims()) != (embedder is not None):
+        raise ValueError("an index with vectors grows with its embedder, one without grows without")
+    if embedder and embedder.dim is not None and stored.dims() != {embedder.dim}:
+        raise ValueError(f"index holds vectors of dimension {sorted(stored.dims())}, expected {embedder.dim}")
+    ids = corpus.select(F.col(item_id).alias("item_id"))
+    _write_segment(stored, stored.segments(), corpus, item_id, text, embedder, ids)
+    return Index.load(corpus.sparkSession, path, embedder is not None)
+
+
+def delete(ids: DataFrame, path: str, vectors: bool = True) -> Index:
+    """Delete ``ids(item_id)`` from the index under ``path``; unknown ids do no harm."""
+    stored = _Stored(ids.sparkSession, path)
+    stored.add(stored.segments(), None, ids, None)
+    return Index.load(ids.sparkSession, path, vectors)
+
+
+def _write_segment(
+    stored: _Stored, segment: int, corpus: DataFrame, item_id: str, text: str | Column, embedder: Embedder | None, removed: DataFrame | None
+) -> None:
+    if embedder and not isinstance(text, str):
+        raise ValueError("vectors are made from a text column; name it")
+    vectors = embedder and embedder.vectors(corpus.select(F.col(item_id).alias("item_id"), text), "item_id", text)
+    tokens = materialised(_tokenised(corpus, item_id, text), "tokens")
+    stored.add(segment, tokens, removed, vectors or None, embedder.dim if embedder else None)
+
+
 def _query_terms(queries: DataFrame, terms: Column) -> DataFrame:
     """(query_id, term, qtf)."""
     return queries.select("query_id", F.inline(tx.counted(terms))).withColumnRenamed("tf", "qtf")
@@ -211,16 +334,19 @@ def hybrid(
 # --- keyword search --------------------------------------------------------------------------
 
 
-def keyword_postings(corpus: DataFrame, item_id: str, title: str, body: str) -> DataFrame:
-    """(term, item_id, tf, length) where a word of the title counts double."""
+def keyword_tokens(title: str, body: str) -> Column:
+    """Tokens of a keyword index: a word of the title counts double."""
     heading = tx.search_terms(F.col(title))
-    return postings_of(spread(corpus.select(item_id, title, body)).select(
-        F.col(item_id).alias("item_id"), F.concat(heading, heading, tx.search_terms(F.col(body))).alias("tokens")
-    ))
+    return F.concat(heading, heading, tx.search_terms(F.col(body)))
+
+
+def keyword_postings(corpus: DataFrame, item_id: str, title: str, body: str) -> DataFrame:
+    """(term, item_id, tf, length) of ``keyword_tokens``, for a corpus that is searched once."""
+    return postings_of(_tokenised(corpus.select(item_id, title, body), item_id, keyword_tokens(title, body)))
 
 
 def keyword_search(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """Sum of the counts of each distinct query term in ``keyword_postings``; score > 0, ties by id."""
+    """Sum of the counts of each distinct query term in the postings of a keyword index; score > 0, ties by id."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(tx.search_terms(F.col("text")))).alias("term"))
     scored = postings.join(wanted, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("tf").cast("double")).alias("score"))
     return _ranked(scored, k).where(F.col("score") > 0)

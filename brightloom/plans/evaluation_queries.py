@@ -85,6 +85,12 @@ def answer_scores(spark, sf):
     return out.select("conv_id", "turn", "exact", "judge_score", "score")
 
 
+def answer_correctness(spark, sf):
+    """The whole answer score: the judge and the ratio of matching blocks, halves of it."""
+    out = gn.answer_scores(_answers(spark, sf), "expected", "actual", fuzzy=gn.sequence_ratio)
+    return out.select("conv_id", "turn", "exact", "judge_score", F.round("fuzzy", 4).alias("fuzzy"), "score")
+
+
 def judge_scores(spark, sf):
     out = gn.keyword_judge(_answers(spark, sf), "expected", "actual")
     return out.select("conv_id", "turn", F.col("judge_score").alias("score"), F.col("judge_rationale").alias("rationale"))
@@ -142,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         trajectories, tool_sequences, tool_selection, tool_order, efficiency, run_cost, cost_latency, agent_summary,
-        agent_comparison, gate_failures, answer_scores, judge_scores, rouge_l, exact_match, keyword_coverage,
+        agent_comparison, gate_failures, answer_scores, answer_correctness, judge_scores, rouge_l, exact_match, keyword_coverage,
         system_scores, system_deltas, system_report,
     )
 }

@@ -12,11 +12,14 @@ from brightloom.plans.bindings import (
     LINE_CATEGORICAL, LINE_NUMERIC, SCORED_SQL, SPLIT_DAY, audit_log, line_windows, scored_customers,
 )
 from brightloom.plans.scoring_queries import LINE_RULES, _metrics_sql
-from brightloom.streaming import telemetry as st
+from brightloom.session import materialised, scratch_path
+from brightloom.streaming import drift as sd, runs, telemetry as st
 from brightloom.sources.tables import table
 
 RULES = (*LINE_RULES, ql.ColumnRule("l_comment", "categorical"))
 CONTRACT = "line_items_v1"
+#: Events before this day are the reference of the drift stream.
+EVENT_SPLIT = "2024-01-11"
 LATENCY_EDGES = (1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0)
 
 
@@ -108,6 +111,26 @@ def windowed_requests(spark, sf):
     return st.request_rate(table(spark, sf, "events"), "ts", "event_type")
 
 
+def _stream_events(spark, sf):
+    return table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+
+
+def streamed_telemetry(spark, sf):
+    """The events as a stream: watermark, state per open window, every window appended once it is closed."""
+    stream = runs.closed_stream(_stream_events(spark, sf), "ts")
+    return runs.appended(st.windowed_histogram(stream, "ts", "event_type", "value", LATENCY_EDGES)).where("event_type is not null")
+
+
+def streamed_drift(spark, sf):
+    """Verdicts per day of the events after the split, against a profile of those before it."""
+    events, cut = _stream_events(spark, sf), F.lit(EVENT_SPLIT).cast("timestamp")
+    profile = materialised(sd.frozen_profile(events.where(F.col("ts") < cut), ["value"]), "profile")
+    stream = runs.closed_stream(events.where(F.col("ts") >= cut), "ts")
+    path = scratch_path(spark, "verdicts")
+    runs.each_batch(sd.windowed_bins(stream, "ts", ["value"], profile, "1 day"), sd.write_verdicts(profile, path))
+    return spark.read.parquet(path).select("window_start", "feature", F.round("psi", 6).alias("psi"), "severity")
+
+
 def request_counts(spark, sf):
     e = table(spark, sf, "events").withColumn("status", F.when(F.col("event_type") == "error", 500).otherwise(200))
     return tm.request_counts(e.select(F.col("event_type").alias("endpoint"), "status"), "endpoint", "status")
@@ -123,7 +146,7 @@ QUERIES = {
     for f in (
         schema_checks, null_fractions, range_checks, domain_checks, domain_violations, validation_report, psi_numeric,
         psi_categorical, ks_statistic, drift_report, drift_by_month, promotion_decisions, registry_state,
-        telemetry_histogram, windowed_telemetry, windowed_requests, request_counts, score_histogram,
+        telemetry_histogram, windowed_telemetry, windowed_requests, streamed_telemetry, streamed_drift, request_counts, score_histogram,
     )
 }
 
@@ -254,6 +277,17 @@ FROM cur JOIN a ON a.model = cur.model GROUP BY 1""",
     "windowed_telemetry": "SELECT date_trunc('hour', ts) AS window_start, event_type, CASE "
     + " ".join(f"WHEN value <= {e} THEN '{float(e)}'" for e in LATENCY_EDGES)
     + " ELSE '+Inf' END AS le, count(*) AS observations FROM events GROUP BY 1, 2, 3",
+    "streamed_drift": f"""WITH ref AS (SELECT value FROM events WHERE ts < TIMESTAMP '{EVENT_SPLIT}' AND value IS NOT NULL),
+e AS (SELECT list_sort(list_distinct(quantile_cont(value, [{", ".join(repr(i * 0.1) for i in range(1, 10))}]))) AS e FROM ref),
+bins AS (SELECT unnest(range(0, len(e) + 1)) AS bin FROM e),
+rb AS (SELECT len(list_filter(e, lambda x: x <= value)) AS bin, count(*) AS n FROM ref, e GROUP BY 1),
+cb AS (SELECT date_trunc('day', ts)::TIMESTAMP AS w, len(list_filter(e, lambda x: x <= value)) AS bin, count(*) AS n FROM events, e
+  WHERE ts >= TIMESTAMP '{EVENT_SPLIT}' AND value IS NOT NULL GROUP BY 1, 2),
+ct AS (SELECT w, sum(n) AS t FROM cb GROUP BY 1),
+f AS (SELECT ct.w, greatest(coalesce(rb.n, 0) / (SELECT count(*) FROM ref), 1e-4) AS r, greatest(coalesce(cb.n, 0) / ct.t, 1e-4) AS c
+  FROM bins b CROSS JOIN ct LEFT JOIN rb ON rb.bin = b.bin LEFT JOIN cb ON cb.bin = b.bin AND cb.w = ct.w),
+p AS (SELECT w, sum((c - r) * ln(c / r)) AS psi FROM f GROUP BY 1)
+SELECT w AS window_start, 'value' AS feature, round(psi, 6) AS psi, CASE WHEN psi >= 0.25 THEN 'alert' WHEN psi >= 0.1 THEN 'warn' ELSE 'none' END AS severity FROM p""",
     "windowed_requests": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS requests FROM events GROUP BY 1, 2",
     "request_counts": "SELECT event_type AS endpoint, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, count(*) AS requests FROM events GROUP BY 1, 2",
     "score_histogram": f"WITH s AS (SELECT *, (score >= 0.5)::INT AS predicted_class FROM ({SCORED_SQL})) "
@@ -261,3 +295,4 @@ FROM cur JOIN a ON a.model = cur.model GROUP BY 1""",
         f"SELECT model, predicted_class, '{e}' AS le, count(*) FILTER (score <= {e}::DOUBLE) AS observations FROM s GROUP BY 1, 2" for e in tm.SCORE_EDGES
     ) + " UNION ALL SELECT model, predicted_class, '+Inf', count(score) FROM s GROUP BY 1, 2",
 }
+ORACLES["streamed_telemetry"] = ORACLES["windowed_telemetry"]

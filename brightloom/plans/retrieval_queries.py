@@ -68,12 +68,43 @@ def bm25_index(spark, sf):
     return rt.bm25_index(_docs(spark, sf), "doc_id", "text").withColumn("idf", F.round("idf", 6))
 
 
-def bm25_topk(spark, sf):
-    index = rt.build_index(_docs(spark, sf), "doc_id", "text", scratch_path(spark, "index"))
-    hits = rt.bm25_topk(_queries(spark, sf), index, 10)
+_PATHS: dict[tuple, str] = {}
+
+
+def _stored_index(spark, sf, name, build):
+    """Path of an index that all queries of one session over the same tables share; the first one builds it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _PATHS:
+        path = scratch_path(spark, f"{name}-index")
+        build(path)
+        _PATHS[key] = path
+    return _PATHS[key]
+
+
+def _index(spark, sf):
+    build = lambda path: rt.build_index(_docs(spark, sf), "doc_id", "text", path, rt.hashed_embedder())
+    return rt.Index.load(spark, _stored_index(spark, sf, "documents", build), dim=DIM)
+
+
+def _hits(hits):
     return hits.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
+def bm25_topk(spark, sf):
+    return _hits(rt.bm25_topk(_queries(spark, sf), _index(spark, sf), 10))
+
+
+def index_append(spark, sf):
+    """An index of earlier versions of some documents and of one more, brought up to date by segments, then searched."""
+    d, path = table(spark, sf, "documents"), scratch_path(spark, "grown-index")
+    earlier = d.where("lang = 'en'").select("doc_id", F.expr("left(text, n_chars div 2)").alias("text"))
+    withdrawn = spark.createDataFrame([(-1, "the withdrawn document of the corpus")], "doc_id long, text string")
+    rt.build_index(earlier.unionByName(withdrawn), "doc_id", "text", path)
+    rt.append(_docs(spark, sf), "doc_id", "text", path)
+    index = rt.delete(withdrawn.select(F.col("doc_id").alias("item_id")), path, vectors=False)
+    return _hits(rt.bm25_topk(_queries(spark, sf), index, 10))
+
+
 def rrf_fusion(spark, sf):
     """Fuse two rankings of documents per source: longest text and smallest id."""
     d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
@@ -85,8 +116,7 @@ def rrf_fusion(spark, sf):
 
 
 def _hybrid(spark, sf):
-    index = rt.build_index(_docs(spark, sf), "doc_id", "text", scratch_path(spark, "index"), rt.hashed_embedder())
-    return rt.hybrid(_queries(spark, sf), index, K)
+    return rt.hybrid(_queries(spark, sf), _index(spark, sf), K)
 
 
 def hybrid_retrieval(spark, sf):
@@ -94,7 +124,9 @@ def hybrid_retrieval(spark, sf):
 
 
 def _keyword_hits(spark, sf):
-    return rt.keyword_search(_queries(spark, sf), rt.keyword_postings(_pages(spark, sf), "item_id", "title", "body"), 3)
+    build = lambda path: rt.build_index(_pages(spark, sf), "item_id", rt.keyword_tokens("title", "body"), path)
+    path = _stored_index(spark, sf, "pages", build)
+    return rt.keyword_search(_queries(spark, sf), rt.Index.load(spark, path, vectors=False).postings, 3)
 
 
 def keyword_search(spark, sf):
@@ -146,7 +178,7 @@ def section_digest(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        hashed_embedding, normalized_embeddings, vector_topk, vector_neighbours, bm25_index, bm25_topk, rrf_fusion, hybrid_retrieval,
+        hashed_embedding, normalized_embeddings, vector_topk, vector_neighbours, bm25_index, bm25_topk, index_append, rrf_fusion, hybrid_retrieval,
         keyword_search, extractive_answers, context_blocks, citation_numbers, reference_list, batch_findings, rubric_score, section_digest,
     )
 }
@@ -233,6 +265,7 @@ SELECT query_id::BIGINT AS query_id, item_id, round(s, 6) AS score, rank FROM r
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id)::INT AS rank FROM s)
 SELECT query_id::BIGINT AS query_id, item_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10""",
     "bm25_index": f"WITH {_bm25_ctes(10)} SELECT t AS term, df, round(idf, 6) AS idf FROM idf",
+    "index_append": f"WITH {_bm25_ctes(10)} SELECT q AS query_id, id AS item_id, round(s, 6) AS score, r::INT AS rank FROM br",
     "bm25_topk": f"WITH {_bm25_ctes(10)} SELECT q AS query_id, id AS item_id, round(s, 6) AS score, r::INT AS rank FROM br",
     "rrf_fusion": """WITH a AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 20),
 b AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents QUALIFY r <= 20),

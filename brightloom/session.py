@@ -65,6 +65,12 @@ def materialised(df: DataFrame, label: str, folder: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever Spark can write; nothing happens if there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpoint(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Cut the lineage through the shared folder. Nothing is written to a folder that only the driver sees."""
     folder = shared_folder(df.sparkSession, folder)

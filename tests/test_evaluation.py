@@ -1,9 +1,11 @@
 import datetime as dt
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from brightloom.functions import sequences as sq
 from brightloom.functions.sequences import chain, edit_distance, edit_map, lcs_length
 from brightloom.operators import generation as gn, trajectories as tj
 
@@ -154,3 +156,26 @@ def test_tuned_beats_base(spark):
     metrics = ["rouge_l_f1", "exact_match", "keyword_coverage"]
     delta = {r["metric"]: r["delta"] for r in gn.system_deltas(gn.system_scores(gn.score_outputs(long), metrics), metrics, "base", "finetuned").collect()}
     assert delta["rouge_l_f1"] > 0.5 and delta["keyword_coverage"] > 0.5 and delta["exact_match"] == 0.0
+
+
+def test_matching_ratio_equals_a_quadratic_version():
+    """Against the standard library, whose ratio the score is defined by."""
+    rng = random.Random(11)
+    pairs = [("", ""), ("a", ""), ("Straße", "STRASSE"), ("abcd", "bcde"), ("qabxcd", "abycdf"), ("x" * 300, "x" * 250), ("ab" * 150, "ba" * 150)]
+    for n in (3, 30, 250):
+        for _ in range(60):
+            a = "".join(rng.choice("abcde  ") for _ in range(rng.randrange(n)))
+            b = list(a) if rng.random() < 0.6 else [rng.choice("abcdef ") for _ in range(rng.randrange(n))]
+            for _ in range(rng.randrange(1 + len(b) // 4)):
+                b[rng.randrange(len(b))] = rng.choice(["", "z", "ab", " "])
+            pairs.append((a, "".join(b)))
+    for a, b in pairs:
+        assert sq.matching_ratio(a, b) == pytest.approx(SequenceMatcher(None, a.casefold(), b.casefold()).ratio()), (a, b)
+
+
+def test_answer_correctness_blends_the_ratio(spark):
+    df = spark.createDataFrame([("Paris is big", "paris is BIG "), ("the red fox", "a red ox"), ("", ""), (None, "x")], "e string, a string")
+    rows = gn.answer_scores(df, "e", "a", judge=None, fuzzy=gn.sequence_ratio).collect()
+    assert [r["exact"] for r in rows[:3]] == [True, False, False]
+    assert rows[1]["score"] == pytest.approx(round(SequenceMatcher(None, "the red fox", "a red ox").ratio(), 4))
+    assert rows[2]["score"] == 1.0 and rows[3]["fuzzy"] == 0.0

@@ -51,6 +51,47 @@ def test_bm25(index, queries):
         assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-8)
 
 
+def ranked(hits):
+    return [(r["query_id"], r["rank"], r["item_id"], round(r["score"], 9)) for r in hits.orderBy("query_id", "rank").collect()]
+
+
+def test_a_grown_index_equals_a_rebuilt_one(spark, corpus, queries, index, tmp_path):
+    path, embedder = str(tmp_path / "grown"), rt.hashed_embedder(64)
+    first = spark.createDataFrame([(0, "an older text of the cat"), (1, TEXTS[1]), (3, ""), (90, "a cat to delete"), (91, "")], "doc_id long, text string")
+    rt.build_index(first, "doc_id", "text", path, embedder)
+    rt.append(corpus.where("doc_id in (0, 2, 3)"), "doc_id", "text", path, embedder)
+    rt.delete(spark.createDataFrame([(90,), (91,), (777,)], "item_id long"), path)
+    grown = rt.append(corpus.where("doc_id in (4, 5, 6)"), "doc_id", "text", path, embedder)
+    for a, b in ((grown, index), (rt.Index.load(spark, path, dim=64), index)):
+        assert ranked(rt.bm25_topk(queries, a, 5)) == ranked(rt.bm25_topk(queries, b, 5))
+        assert ranked(rt.hybrid(queries, a, 4, embedder=embedder)) == ranked(rt.hybrid(queries, b, 4, embedder=embedder))
+        assert sorted(a.terms.select("term", "df").collect()) == sorted(b.terms.select("term", "df").collect())
+        assert a.totals.collect() == b.totals.collect()
+    assert rt.build_index(first, "doc_id", "text", path).vectors is None  # a rebuild leaves nothing behind
+    assert sorted(r["item_id"] for r in rt.Index.load(spark, path, vectors=False).postings.select("item_id").distinct().collect()) == [0, 1, 90]
+
+
+def test_other_dimensions_are_refused(spark, corpus, tmp_path):
+    path = str(tmp_path / "dims")
+    rt.build_index(corpus, "doc_id", "text", path, rt.hashed_embedder(64))
+    with pytest.raises(ValueError, match=r"dimension \[64\], expected 32"):
+        rt.Index.load(spark, path, dim=32)
+    with pytest.raises(ValueError, match="expected 32"):
+        rt.append(corpus, "doc_id", "text", path, rt.hashed_embedder(32))
+    with pytest.raises(ValueError, match="grows with its embedder"):
+        rt.append(corpus, "doc_id", "text", path)
+    dense = rt.Embedder(lambda df, i, t: df.select(i, F.sequence(F.lit(1), F.length(t) % 3 + 1).cast("array<double>").alias("vector")), stacked)
+    with pytest.raises(ValueError, match="in one corpus"):
+        rt.build_index(corpus, "doc_id", "text", str(tmp_path / "ragged"), dense)
+
+
+def test_a_stored_keyword_index(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "Cats", "cats and dogs"), (2, "Dogs", "a dog")], "id long, t string, b string")
+    stored = rt.build_index(pages, "id", rt.keyword_tokens("t", "b"), str(tmp_path / "k"))
+    q = spark.createDataFrame([(0, "dog cats")], "query_id long, text string")
+    assert ranked(rt.keyword_search(q, stored.postings, 5)) == ranked(rt.keyword_search(q, rt.keyword_postings(pages, "id", "t", "b"), 5))
+
+
 @pytest.mark.parametrize("rows", [2000, 13])
 def test_vector_search_in_blocks(spark, rows, monkeypatch):
     monkeypatch.setattr(rt, "QUERY_ROWS", rows)

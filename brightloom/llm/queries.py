@@ -193,6 +193,29 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
 FROM joined
 """.replace("{break}", chat._BREAK).replace("{frame}", str(len(chat.START) + len(chat.END) + 2))
 
+def _linked_sql(width: int, percent: int) -> str:
+    """(doc_id, n_shingles, component_id): every pair that shares a shingle is counted, then links are followed to their ends."""
+    run = " || ' ' || ".join(["word", *[f"lead(word, {k}) OVER o" for k in range(1, width)]])
+    return rf"""
+WITH RECURSIVE cut AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS words FROM documents
+), units AS (SELECT row_no, unnest(words) AS word, unnest(range(len(words))) AS place FROM cut),
+runs AS (SELECT row_no, {run} AS shingle FROM units WINDOW o AS (PARTITION BY row_no ORDER BY place)),
+each AS (
+  SELECT DISTINCT row_no, shingle FROM runs WHERE shingle IS NOT NULL
+  UNION ALL SELECT row_no, array_to_string(words, ' ') FROM cut WHERE len(words) BETWEEN 1 AND {width - 1}
+), sized AS (SELECT row_no, count(*)::BIGINT AS n FROM each GROUP BY 1),
+pairs AS (SELECT a.row_no AS x, b.row_no AS y, count(*) AS common FROM each a JOIN each b ON a.shingle = b.shingle AND a.row_no <> b.row_no GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN sized a ON a.row_no = x JOIN sized b ON b.row_no = y WHERE 100 * common >= {percent} * (a.n + b.n - common)
+), reach AS (
+  SELECT row_no, row_no AS met FROM cut UNION SELECT reach.row_no, links.y FROM reach JOIN links ON links.x = reach.met
+), found AS (SELECT reach.row_no, min(doc_id) AS component_id FROM reach JOIN cut ON cut.row_no = reach.met GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM cut JOIN found USING (row_no) LEFT JOIN sized USING (row_no)
+"""
+
+
 OP11_SQL = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
@@ -239,4 +262,9 @@ SELECT item_id, rank::INT AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
 """
 
-ORACLES = {"op11_fim": OP11_SQL, "op13_ranked_search": OP13_SQL, "op2_mixing": OP2_SQL, "op6_sharding": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLES = {
+    "op10_ngram_join": _linked_sql(4, 85),
+    "op12_minhash": f"SELECT *, doc_id = component_id AS kept FROM ({_linked_sql(5, 85)})",
+    "op11_fim": OP11_SQL, "op13_ranked_search": OP13_SQL, "op2_mixing": OP2_SQL, "op6_sharding": OP6_SQL, "op8_exact_dedup": OP8_SQL,
+    "op9_chat": OP9_SQL,
+}

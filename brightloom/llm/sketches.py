@@ -89,7 +89,8 @@ def with_next(docs: DataFrame, extra: list[str]) -> DataFrame:
 
     Rows follow by doc_id, null ids last, then by text; after the last comes the
     first. Each slice of ids is ordered in its own task and also gets the first
-    rows of the slice behind it, so no task holds more than a slice.
+    rows of the slice behind it, so no task holds more than a slice; rows that
+    share an id, and rows without one, are in one slice. Ids are numbers.
     """
     ids = docs.select("doc_id")
     slice_ = _slices(ids)

@@ -98,6 +98,14 @@ def registry_state(spark, sf):
     return pm.registry_state(audit_log(spark, sf))
 
 
+def rollback_events(spark, sf):
+    """What a rollback of every model that has an earlier version would write to the log."""
+    audit = audit_log(spark, sf)
+    able = pm.registry_state(audit).where("rollback_target is not null").select("model")
+    out = pm.rollback_events(audit.join(able, "model", "left_semi"), "manual")
+    return out.select("model", "event", "version", "previous_version", "reason")
+
+
 def telemetry_histogram(spark, sf):
     return tm.histogram(table(spark, sf, "events"), ["event_type"], "value", LATENCY_EDGES)
 
@@ -145,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         schema_checks, null_fractions, range_checks, domain_checks, domain_violations, validation_report, psi_numeric,
-        psi_categorical, ks_statistic, drift_report, drift_by_month, promotion_decisions, registry_state,
+        psi_categorical, ks_statistic, drift_report, drift_by_month, promotion_decisions, registry_state, rollback_events,
         telemetry_histogram, windowed_telemetry, windowed_requests, streamed_telemetry, streamed_drift, request_counts, score_histogram,
     )
 }
@@ -296,3 +304,5 @@ SELECT w AS window_start, 'value' AS feature, round(psi, 6) AS psi, CASE WHEN ps
     ) + " UNION ALL SELECT model, predicted_class, '+Inf', count(score) FROM s GROUP BY 1, 2",
 }
 ORACLES["streamed_telemetry"] = ORACLES["windowed_telemetry"]
+ORACLES["rollback_events"] = f"""SELECT model, 'rollback' AS event, rollback_target AS version, current_version AS previous_version, 'manual' AS reason
+FROM ({ORACLES["registry_state"]}) WHERE rollback_target IS NOT NULL"""

@@ -57,6 +57,15 @@ def guarded_select(spark, sf):
     return guarded.guarded(spark, _GUARDED)
 
 
+_MANY = "SELECT s_suppkey, s_name FROM spread_suppliers WHERE s_nationkey = 3"
+
+
+def guarded_range(spark, sf):
+    """A guarded query with fewer rows than the cap, from a table of several partitions: no row is lost or flagged."""
+    table(spark, sf, "supplier").repartitionByRange(5, "s_suppkey").createOrReplaceTempView("spread_suppliers")
+    return guarded.guarded(spark, _MANY)
+
+
 def avg_price_by_type(spark, sf):
     return (
         table(spark, sf, "part").groupBy("p_type")
@@ -143,7 +152,7 @@ def guarded_truncated(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        revenue_by_nation, table_inventory, describe_orders, guarded_select, guarded_truncated, avg_price_by_type, top_priced_parts,
+        revenue_by_nation, table_inventory, describe_orders, guarded_select, guarded_truncated, guarded_range, avg_price_by_type, top_priced_parts,
         cte_orders_by_month, values_relation, recursive_series, chart_series, profile_lineitem, top_values,
     )
 }
@@ -197,6 +206,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 GROUP BY n_name ORDER BY revenue DESC""",
     "table_inventory": _inventory_sql(),
     "guarded_select": f"SELECT *, count(*) OVER () > 200 AS truncated FROM ({_GUARDED}) LIMIT 200",
+    "guarded_range": "SELECT s_suppkey, s_name, count(*) OVER () > 200 AS truncated FROM supplier WHERE s_nationkey = 3 LIMIT 200",
     "guarded_truncated": f"SELECT *, (SELECT count(*) FROM orders) > 200 AS truncated FROM ({_LONG}) LIMIT 200",
     "avg_price_by_type": """
 SELECT p_type, round(avg(p_retailprice), 2) AS avg_price, count(*) AS parts FROM part GROUP BY p_type""",

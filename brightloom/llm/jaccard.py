@@ -16,7 +16,8 @@ finds every link that matters for the components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ PIVOT_SPAN = 4096
 #: Rounds in which families try to merge before pairs between them are listed, and pairs each tries a round.
 MERGE_ROUNDS, TRIALS = 2, 8
 BATCH_ROWS = 256
+#: Odd sketches, four 64-bit words a set, that thin out the pairs of different families.
+_SKETCH = [f"s{i}" for i in range(4)]
 #: Bits of the table that tells which documents' texts are fetched.
 SIEVE_BITS = 1 << 20
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -86,6 +89,23 @@ def node_of(items: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(items.tobytes(), seed=len(items) & 0xFFFFFFFF) - (1 << 63)
 
 
+def odd_sketches(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """(sets, words) numbers: bit h of a sketch is set where an odd number of hashes end in h.
+
+    Two sketches differ in no more bits than one of the sets has hashes that the other has not.
+    """
+    bits = 64 * words
+    places = [i * bits + (s & np.uint64(bits - 1)).astype(np.int64) for i, s in enumerate(sets)]
+    odd = np.bincount(np.concatenate([np.zeros(0, np.int64), *places]), minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(sets), words)
+
+
+def odd_filter(percent: int, names: Sequence[str]) -> Column:
+    """True for every pair of sides a and b that links, by sizes and odd sketches; columns end in ``_a`` or ``_b``."""
+    bits = reduce(Column.__add__, [F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in names])
+    return (100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+
+
 class Order:
     """Frequent n-grams last, by the bits of their document count; all others by hash."""
 
@@ -119,7 +139,7 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 
 def _keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, spot, node, n) of every row, and on one row of each slice (terms, counts): n-grams by the sets that hold them.
+    """(doc_id, spot, node, n, sketch) of every row, and on one row of each slice (terms, counts): n-grams by the sets that hold them.
 
     ``spot``, the text's hash, finds the texts that have no id. Prefixes hold
     about (1 - similarity) of a set, so of the n-grams that come first by hash,
@@ -131,9 +151,10 @@ def _keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 8 * BATCH_ROWS):
-            nodes, sizes, sets = [], [], {}
+            nodes, sizes, sets, odd = [], [], {}, []
             for t in part["text"]:
                 items = shingles(t.as_py(), width)
+                odd.append(odd_sketches([items], len(_SKETCH))[0])
                 nodes.append(node_of(items) if len(items) else None)
                 sizes.append(len(items))
                 if len(items):
@@ -146,12 +167,13 @@ def _keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
             rest = [None] * (part.num_rows - 1)
             yield pa.RecordBatch.from_arrays([
                 part["doc_id"], part["spot"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                *(pa.array(column) for column in np.ascontiguousarray(np.array(odd).T)),
                 pa.array([_long(terms[told]), *rest], pa.list_(pa.int64())), pa.array([counts[told].astype(np.int32), *rest], pa.list_(pa.int32())),
-            ], ["doc_id", "spot", "node", "n", "terms", "counts"])
+            ], ["doc_id", "spot", "node", "n", *_SKETCH, "terms", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", _spot().alias("spot")).mapInArrow(
-        run, f"doc_id {kind}, spot long, node long, n long, terms array<long>, counts array<int>"
+        run, f"doc_id {kind}, spot long, node long, n long, {', '.join(f'{c} long' for c in _SKETCH)}, terms array<long>, counts array<int>"
     )
 
 
@@ -245,8 +267,8 @@ def _sets(docs: DataFrame, chosen: DataFrame, width: int, percent: int, shared)
     return texts.mapInArrow(run, "node long, items array<long>, others array<array<long>>").dropDuplicates(["node"])
 
 
-def _side(held: DataFrame, s: str, root: bool = False) -> DataFrame:
-    names = {"node": s, "n": f"n_{s}", "place": f"place_{s}"} | ({"root": f"root_{s}"} if root else {})
+def _side(held: DataFrame, s: str, *more: str) -> DataFrame:
+    names = {"node": s} | {c: f"{c}_{s}" for c in ("n", "place", *more)}
     return held.select("term", *[F.col(c).alias(to) for c, to in names.items()])
 
 
@@ -365,13 +387,15 @@ def classify(
 
     # Every candidate pair from different families; terms of one family only have none.
     mixed = labelled.groupBy("term").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("term")
-    open_ = stored(labelled.join(mixed, "term", "left_semi"), "open")
+    sketches = keys.where("node is not null").groupBy("node").agg(*[F.min(c).alias(c) for c in _SKETCH])
+    open_ = stored(labelled.join(mixed, "term", "left_semi").join(sketches, "node"), "open")
     # of two sets that link, the smaller one holds the first common n-gram early; so does the other, as its size allows
-    x, y = _side(open_.where(_early(percent)), "a", root=True), _side(open_, "b", root=True)
+    x, y = _side(open_.where(_early(percent)), "a", "root", *_SKETCH), _side(open_, "b", "root", *_SKETCH)
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     spare = lambda s: F.col(f"place_{s}") <= F.col(f"n_{s}") - _common(percent) + 1
     cross = x.join(y, "term").where(
         smaller & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & spare("a") & spare("b")
+        & odd_filter(percent, _SKETCH)
     )
     pairs = cross.select("a", "b").distinct()
     met = pairs.join(_side(postings, "a"), "a").join(_side(postings, "b"), ["term", "b"])

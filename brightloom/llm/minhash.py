@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightloom.llm.common import Workspace, picked, stored
 from brightloom.llm.components import components
-from brightloom.llm.jaccard import node_of, shingles
+from brightloom.llm.jaccard import node_of, odd_filter, odd_sketches, shingles
 
 #: A signature has CHUNKS x PLACES minima of 8 bits; one place of a chunk may differ.
 CHUNKS, PLACES = 8, 6
@@ -66,14 +66,6 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, SKETCH_WORDS) numbers: bit h of a sketch is set where an odd number of hashes end in h."""
-    bits = 64 * SKETCH_WORDS
-    places = [i * bits + (s & np.uint64(bits - 1)).astype(np.int64) for i, s in enumerate(sets)]
-    odd = np.bincount(np.concatenate([np.zeros(0, np.int64), *places]), minlength=len(sets) * bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(sets), SKETCH_WORDS)
-
-
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, node, n, c0.., s0.., items) of every row; ``items``, the whole set, once per task that meets the node."""
 
@@ -86,7 +78,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 full = [i for i, s in enumerate(sets) if len(s)]
                 signed = np.zeros((len(sets), CHUNKS + SKETCH_WORDS), np.int64)
                 signed[full, :CHUNKS] = signatures([sets[i] for i in full])
-                signed[:, CHUNKS:] = odd_sketches(sets)
+                signed[:, CHUNKS:] = odd_sketches(sets, SKETCH_WORDS)
                 items = []
                 for node, held in zip(nodes, sets, strict=True):
                     items.append(None if node is None or node in met else held.view(np.int64))
@@ -139,11 +131,6 @@ def first_chunk(chunk: Column) -> Column:
     return reduce(Column.__and__, [(chunk <= j) | (_differing(name) > 1) for j, name in enumerate(_CHUNK_NAMES[:-1])])
 
 
-def odd_distance() -> Column:
-    """Bits in which the odd sketches differ: at most the number of shingles that only one of the sets has."""
-    return reduce(Column.__add__, [F.bit_count(_xor(s)) for s in _SKETCH_NAMES])
-
-
 def _named(nodes: DataFrame, s: str) -> DataFrame:
     """Columns of one side of a pair; ``node`` becomes the side's name."""
     return nodes.select(*[F.col(c).alias(s if c == "node" else c if c == "key" else f"{c}_{s}") for c in nodes.columns])
@@ -158,7 +145,7 @@ class _Join:
     def alike(self) -> Column:
         """May this pair link, by its sizes and sketches? True for every pair that does."""
         sizes = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-        return sizes & ((100 + self.percent) * odd_distance() <= (100 - self.percent) * (F.col("n_a") + F.col("n_b")))
+        return sizes & odd_filter(self.percent, _SKETCH_NAMES)
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) with a < b that may link."""

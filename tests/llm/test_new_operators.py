@@ -127,7 +127,7 @@ def test_odd_sketches_never_hide_a_link():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in (1, 7, 300, 5000)] + [np.zeros(0, np.uint64)]
     sets += [np.unique(np.concatenate([sets[2][k:], sets[3][:k]])) for k in (1, 30, 200)]
-    words = minhash.odd_sketches(sets)
+    words = minhash.odd_sketches(sets, minhash.SKETCH_WORDS)
     assert words.shape == (len(sets), minhash.SKETCH_WORDS) and not words[4].any()
     for i in range(len(sets)):
         for j in range(i):

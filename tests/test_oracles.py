@@ -6,7 +6,6 @@ from brightloom.plans import registry
 from oracle_check import compare, oracle_connection
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-SLOW = {"gbt_backtest", "train_candidates", "tuned_model", "batch_scores", "forecast_run", "forecast_summary", "ets_backtest"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +17,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, small, con, name):
     ok, message, _ = compare(spark, con, small, name, QUERIES[name], ORACLES.get(name), close=True)
     assert ok, message

@@ -17,17 +17,10 @@ def _docs(spark, sf, *columns):
 
 
 def section_split(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
-    # A heading tag plays the part of the markdown heading line.
-    pieces = F.split("html", r"(?=<h[1-6]>)")
-    shaped = F.transform(
-        pieces,
-        lambda p: F.struct(
-            F.when(p.rlike(r"^<h[1-6]>"), F.regexp_extract(p, r"^<h[1-6]>([^<]*)", 1)).alias("section"),
-            tx.strip(F.regexp_replace(p, r"^<h[1-6]>[^<]*(</h[1-6]>)?", "")).alias("body"),
-        ),
-    )
-    rows = pages.select("page_id", F.posexplode(F.filter(shaped, lambda s: s["body"] != "")).alias("section_no", "s"))
+    """Sections of pages whose heading tags have become markdown heading lines."""
+    pages = table(spark, sf, "pages")
+    markdown = F.regexp_replace("html", r"<h[1-6]>([^<]*)(</h[1-6]>)?", "\n# $1\n")
+    rows = pages.select("page_id", F.posexplode(tx.sections(markdown)).alias("section_no", "s"))
     return rows.select("page_id", "section_no", F.col("s.section").alias("section"), F.col("s.body").alias("body"))
 
 
@@ -220,7 +213,7 @@ ORACLES = {
 WITH p AS (SELECT page_id, string_split(regexp_replace(html, '(<h[1-6]>)', chr(1) || '\1', 'g'), chr(1)) AS pieces FROM pages),
 f AS (
   SELECT page_id, list_filter(list_transform(pieces, lambda x: {{
-    'section': CASE WHEN regexp_matches(x, '^<h[1-6]>') THEN regexp_extract(x, '^<h[1-6]>([^<]*)', 1) END,
+    'section': CASE WHEN regexp_matches(x, '^<h[1-6]>') THEN {strip_sql("regexp_extract(x, '^<h[1-6]>([^<]*)', 1)")} END,
     'body': {strip_sql("regexp_replace(x, '^<h[1-6]>[^<]*(</h[1-6]>)?', '')")}}}), lambda s: s.body <> '') AS s FROM p)
 SELECT page_id, (i - 1)::INT AS section_no, s[i].section AS section, s[i].body AS body
 FROM f, unnest(range(1, len(s) + 1)) AS u(i)""",

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -154,6 +155,44 @@ def test_quality_on_held_out_rows(spark):
     assert sum(b >= quality.THRESHOLD for b in bad) / len(bad) < 0.2
 
 
+def test_the_fit_equals_a_plain_loop(spark):
+    """Fifty labelled rows: weights of the fitted model against follow-the-regularised-leader written out per feature."""
+    rng = random.Random(12)
+    words = ["good", "bad", "Fine", "junk!!", "text", "7", "of"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 12)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("good" in t)) for i, t in rows], "doc_id long, quality int")
+    got = quality.train(docs, labels, rows=1000, epochs=2)
+
+    usable = [(i, t, "good" in t) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    hashed = spark.createDataFrame([(e, str(i)) for e in (1, 2) for i, _, _ in usable], "epoch int, doc_id string")
+    order = [(r.epoch, r.doc_id) for r in hashed.orderBy("epoch", F.xxhash64("epoch", "doc_id"), "doc_id").collect()]
+    z, n, by_id = {}, {}, {str(i): (t, y) for i, t, y in usable}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= quality.L1:
+            return 0.0
+        sign = 1 if z[k] > 0 else -1
+        return -(z[k] - sign * quality.L1) / ((quality.BETA + n[k] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _, i in order:
+        text, y = by_id[i]
+        x = {}
+        for at, value in zip(*quality.features(text, quality._Tokens())):
+            x[int(at)] = x.get(int(at), 0.0) + float(value)
+        x = {k: float(np.float32(v)) for k, v in x.items()} | {quality.DIMENSIONS: 1.0}
+        p = 1 / (1 + np.exp(-sum(weight(k) * v for k, v in x.items())))
+        for k, v in x.items():
+            g, before = (p - y) * v, n.get(k, 0.0)
+            w = weight(k)
+            n[k] = before + g * g
+            z[k] = z.get(k, 0.0) + g - (n[k] ** 0.5 - before**0.5) / quality.ALPHA * w
+    want = np.zeros(quality.DIMENSIONS + 1)
+    for k in z:
+        want[k] = weight(k)
+    assert got == pytest.approx(want, abs=1e-5) and len(usable) >= 50 and (want != 0).sum() > 20
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "good text here", "a"), (1, "good text here", "a"), (2, None, "b"), (3, "", None), (None, "BAD!! BAD!!", "c")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1), (None, 1), (3, None)], "doc_id long, quality int")

@@ -19,8 +19,8 @@ bits than the sets differ in shingles, so no link is lost. Links are then
 confirmed on the full sets.
 
 Equal sets are one node. No group under a key is expanded into its links: nodes
-are first compared with the node under each of their keys that shares most keys
-with others (the hub of a family of near copies), then families try each other's
+are first compared with the nearest of the hubs under their keys, the nodes that
+share most keys with others, then families try each other's
 hubs; only nodes under one key that are then still in different families are
 compared with each other, all of them, sketches inside the join.
 """
@@ -148,13 +148,14 @@ class _Join:
         return sizes & odd_filter(self.percent, _SKETCH_NAMES)
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) with a < b that may link."""
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return pairs.join(_named(self.cards, "a"), "a").join(_named(self.cards, "b"), "b").where(self.alike()).select("a", "b")
+        """The rows of ``pairs(a, b, ...)`` whose pair may link."""
+        named = pairs.join(_named(self.cards, "a"), "a").join(_named(self.cards, "b"), "b")
+        return named.where(self.alike()).select(pairs.columns)
 
     def confirmed(self, likely: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
-        pairs = self.tables.stored(likely, "likely")
+        """The pairs (a, b), the smaller node first, whose full sets are similar enough."""
+        ordered = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = self.tables.stored(ordered, "likely")
         # both sets of a pair come together once; sets outside all pairs stay where they are while the pairs are few
         sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(self.sets, "node")
         found = sides.groupBy("a", "b").agg(F.collect_list("items").alias("two"))
@@ -177,7 +178,9 @@ def _links(join: _Join, held: DataFrame, nodes: DataFrame) -> DataFrame:
     ``held(key, node, popular)``: the keys that several nodes have.
     """
     hubs = held.groupBy("key").agg(_hub()["node"].alias("hub"))
-    stars = join.confirmed(join.likely(held.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    met = held.join(hubs, "key").where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    nearest = join.likely(met).groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))  # one pair a node
+    stars = join.confirmed(nearest)
 
     # Families, roughly: a node goes with the most popular node it is linked with. Their hubs try those of the largest families.
     popular = held.select("node", "popular").distinct()
@@ -188,7 +191,7 @@ def _links(join: _Join, held: DataFrame, nodes: DataFrame) -> DataFrame:
     groups = labelled.groupBy("key", "family").agg(_hub().alias("hub"), F.count(F.lit(1)).alias("size"))
     largest = groups.groupBy("key").agg(F.max(F.struct("size", "family", "hub")).alias("top"), F.count(F.lit(1)).alias("families"))
     tries = groups.join(largest.where("families > 1"), "key").where("family <> top.family")
-    merged = join.confirmed(join.likely(tries.select(F.col("hub.node").alias("a"), F.col("top.hub.node").alias("b"))))
+    merged = join.confirmed(join.likely(tries.select(F.col("hub.node").alias("a"), F.col("top.hub.node").alias("b")).distinct()))
     links = stars.unionByName(merged)
     roots = join.families(links)
     rooted = join.tables.stored(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
@@ -201,7 +204,7 @@ def _links(join: _Join, held: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = _named(open_, "a").join(_named(open_, "b"), "key").where(
         (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & join.alike() & first_chunk(chunk)
     )
-    return links.unionByName(join.confirmed(pairs.select("a", "b").distinct()))
+    return links.unionByName(join.confirmed(pairs.select("a", "b")))
 
 
 def classify(docs: DataFrame, width: int = 5, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -45,6 +45,8 @@ GUARANTEED = 2 * CHUNKS - 1
 #: 64-bit words of an odd sketch.
 SKETCH_WORDS = 16
 BATCH_ROWS = 256
+#: Bits of the table by which sets that meet no others are left out before a join (4 MB, whatever the input).
+SIEVE_BITS = 1 << 25
 _CHUNK_NAMES = [f"c{i}" for i in range(CHUNKS)]
 _SKETCH_NAMES = [f"s{i}" for i in range(SKETCH_WORDS)]
 _RANDOM = np.random.default_rng(20)
@@ -96,6 +98,24 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, {numbers}, items array<long>")
 
 
+def _sieved(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(row, items) of every chosen row and of few others: spares most sets the shuffle of the join that follows."""
+    spot = F.pmod(F.xxhash64("row"), F.lit(SIEVE_BITS))
+    at = chosen.select(F.floor(spot / 64).cast("int").alias("word"), (spot % 64).cast("int").alias("bit"))
+    words = at.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # SIEVE_BITS / 64 rows at most
+    table = np.zeros(SIEVE_BITS // 64, np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = batch["spot"].to_numpy()
+            held = shared.value[spots >> 6] >> (spots & 63).astype(np.uint64) & np.uint64(1)
+            yield batch.select(["row", "items"]).filter(pa.array(held.astype(bool)))
+
+    return sets.select("row", "items", spot.alias("spot")).mapInArrow(run, "row long, items array<long>")
+
+
 def index_keys(nodes: DataFrame) -> DataFrame:
     """(node, key): every chunk with one place left out; chunk and place are part of the key, which is exact."""
     keys = []
@@ -233,9 +253,9 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 85, text: str = "te
         met = tables.stored(keys.join(shared, "key"), "met")
         popular = met.groupBy("node").agg(F.sum("size").alias("popular"))
         held = tables.stored(met.join(popular, "node").select("key", "node", "popular"), "held")
-        # only nodes that meet others go on; the table is written, so that Spark knows whether it is small
+        # only nodes that meet others go on
         nodes = tables.stored(nodes.join(popular, "node", "left_semi"), "chosen")
-        full = sets.select("row", "items").join(tables.stored(nodes.select("row", "node"), "chosen-rows"), "row")
+        full = _sieved(sets, nodes).join(nodes.select("row", "node"), "row")
         join = _Join(tables, nodes.select("node", "n", *_SKETCH_NAMES), tables.stored(full.select("node", "items"), "sets"), percent)
         root = join.families(_links(join, held, nodes.drop("row")))
 

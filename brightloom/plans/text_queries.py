@@ -163,11 +163,27 @@ def search_terms_sql(x: str) -> str:
     )
 
 
+# Word characters, digits and blanks of Unicode, as the query's patterns read them; MARK and SEEN are no characters of texts.
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}\x{24b6}-\x{24e9}\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}\x{1f170}-\x{1f189}"
+_MARK, _SEEN = r"\x{fdd0}", r"\x{fdd1}"
+
+
 def scrub_sql(x: str) -> str:
-    mail = f"regexp_replace({x}, '{fixed.EMAIL}', '{fixed.EMAIL_MARK}', 'g')"
-    number = r"(?:\+?\d{1,3}[-.\s]?)?(?:\(\d{3}\)|\d{3})[-.\s]\d{3}[-.\s]\d{4}"
-    once = lambda y: rf"regexp_replace({y}, '(^|[^\w.]){number}($|[^\w-])', '\1{fixed.PHONE_MARK}\2', 'g')"
-    return once(once(mail))
+    """The query's two patterns without look-around: what they look at is marked first, and the marks go again.
+
+    A word is marked once in front and twice behind, so an address that starts
+    where another ends still finds its boundary. For numbers, MARK stands where
+    one may start and SEEN where one may end.
+    """
+    m, s = _MARK, _SEEN
+    words = f"regexp_replace({x}, '([{_W}]+)', chr(64976) || '\\1' || chr(64976) || chr(64976), 'g')"
+    mail = rf"{m}(?:{m}{{0,2}}[A-Za-z0-9._%+-])+{m}{{0,2}}@(?:{m}{{0,2}}[A-Za-z0-9.-])+{m}{{0,2}}\.{m}[A-Za-z]{{2,}}{m}"
+    no_mail = f"regexp_replace(regexp_replace({words}, '{mail}', '{fixed.EMAIL_MARK}', 'g'), '{m}', '', 'g')"
+    starts = rf"chr(64976) || regexp_replace({no_mail}, '([^{_W}.])', '\1' || chr(64976), 'g')"
+    ends = rf"regexp_replace({starts}, '([^{_W}{m}-])', chr(64977) || '\1', 'g') || chr(64977)"
+    o, d, gap = f"[{m}{s}]*", r"\p{Nd}", r"[-.\t-\r\x{85}\p{Z}]"
+    number = rf"{m}{o}(?:\+?{o}{d}{{1,3}}{o}(?:{gap}{o})?)?(?:\({o}{d}{{3}}{o}\)|{d}{{3}}){o}{gap}{o}{d}{{3}}{o}{gap}{o}{d}{{4}}{s}"
+    return f"regexp_replace(regexp_replace({ends}, '{number}', '{fixed.PHONE_MARK}', 'g'), '[{m}{s}]', '', 'g')"
 
 
 def key_sql(x: str) -> str:

@@ -1,8 +1,10 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from brightloom.functions import fixed, text as tx
 from brightloom.operators import text_prep as tp
+from brightloom.plans.text_queries import scrub_sql
 
 
 def test_fixed_windows(one):
@@ -78,6 +80,15 @@ def test_scrub_other(one):
     assert one(tx.scrub(F.col("t")), t="ticket 1234567 and 10.0.0.1") == "ticket 1234567 and 10.0.0.1"
 
 
+@pytest.mark.parametrize("text", [
+    "ña@b.com", "a@b.comß", "é.x@b.com", "a@b.com+c@d.com", "555-123-4567(212) 555-0153", "555-123-4567+1 555-123-4567",
+    "555\u00a0123\u00a04567", "555-123-4567é", "٣٤٥-123-4567", "1 555-123-4567 (212) 555-0153 +1 (227) 555-6608",
+])
+def test_scrub_sql_states_the_same_rule(one, text):
+    want = duckdb.execute(f"SELECT {scrub_sql('t')} FROM (SELECT ? AS t)", [text]).fetchone()[0]
+    assert one(tx.scrub(F.col("t")), t=text) == want
+
+
 def test_cleaning(spark):
     long = "please help with the printer on floor three today"
     rows = [

@@ -239,7 +239,7 @@ full_rep AS (SELECT "window", feature, round(psi, 6) AS psi, round(ks, 6) AS ks_
 
 
 _ALL, _MONTH = _drift_ctes("'all'"), _drift_ctes("strftime(l_shipdate, '%Y-%m')")
-_D = lambda x: f"round(({x})::DECIMAL(18,10), 4)::DOUBLE"  # noqa: E731  (half up on the decimal digits)
+_D = lambda x: f"round(({x})::VARCHAR::DECIMAL(38,24), 4)::DOUBLE"  # noqa: E731  (half up on the decimal digits, rounded once)
 _REQ = f"prod + {fixed.PROMOTION_MARGIN}"
 
 ORACLES = {

@@ -1,10 +1,12 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brightloom.operators import drift as dr, promotion as pm, quality as ql, telemetry as tm
+from brightloom.plans.quality_queries import _D
 
 RULES = (
     ql.ColumnRule("age", "integer", 18, 100), ql.ColumnRule("income", "numeric", 0, max_null_fraction=0.25),
@@ -146,6 +148,13 @@ def test_promotion(spark):
     assert not ok and len(reasons) == 3
 
 
+def test_promotion_figures_are_rounded_once(spark):
+    values = [0.20984999999999, 0.69994999999999996, 0.69995, 0.00005, 1e-05, 0.49905, 0.5 + 0.00005, 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(F.format_string("%.4f", "x")).collect()]
+    assert got == [duckdb.execute(f"SELECT printf('%.4f', {_D('?::DOUBLE')})", [v]).fetchone()[0] for v in values]
+
+
 def test_registry_state(spark):
     rows = [("a", 1, "promote", 1), ("a", 2, "promote", 2), ("a", 3, "reject", 9), ("a", 4, "rollback", 1), ("b", 1, "promote", 7), ("b", 2, "promote", 7)]
     log = spark.createDataFrame(rows, "model string, seq long, event string, version long")

@@ -183,7 +183,9 @@ def scrub_sql(x: str) -> str:
     ends = rf"regexp_replace({starts}, '([^{_W}{m}-])', chr(64977) || '\1', 'g') || chr(64977)"
     o, d, gap = f"[{m}{s}]*", r"\p{Nd}", r"[-.\t-\r\x{85}\p{Z}]"
     number = rf"{m}{o}(?:\+?{o}{d}{{1,3}}{o}(?:{gap}{o})?)?(?:\({o}{d}{{3}}{o}\)|{d}{{3}}){o}{gap}{o}{d}{{3}}{o}{gap}{o}{d}{{4}}{s}"
-    return f"regexp_replace(regexp_replace({ends}, '{number}', '{fixed.PHONE_MARK}', 'g'), '[{m}{s}]', '', 'g')"
+    no_number = f"regexp_replace(regexp_replace({ends}, '{number}', '{fixed.PHONE_MARK}', 'g'), '[{m}{s}]', '', 'g')"
+    # No number without four digits in a row, no address without its sign: other texts need no marks.
+    return f"CASE WHEN regexp_matches({x}, '{d}{{4}}') THEN {no_number} WHEN contains({x}, '@') THEN {no_mail} ELSE {x} END"
 
 
 def key_sql(x: str) -> str:

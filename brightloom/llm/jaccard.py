@@ -31,9 +31,12 @@ from brightloom.llm.components import components
 ORDER_TERMS, ORDER_MIN = 1 << 18, 8
 #: Documents of a frequent n-gram that share one pivot.
 PIVOT_SPAN = 4096
-#: Rounds in which families try to merge before pairs between them are listed, and pairs each tries a round.
-MERGE_ROUNDS, TRIALS = 2, 8
+#: Rounds in which families try to merge before pairs between them are listed, and pairs each tries a round. A round is worth
+#: its passes over the postings only while there are more pairs to list than so many a posting; results do not depend on it.
+MERGE_ROUNDS, TRIALS, PAIRS_A_POSTING = 2, 8, 8
 BATCH_ROWS = 256
+#: N-grams kept beyond a short prefix, so that a few frequent ones can be passed over.
+SPARE = 16
 #: Odd sketches, four 64-bit words a set, that thin out the pairs of different families.
 _SKETCH = [f"s{i}" for i in range(4)]
 #: Bits of the table that tells which documents' texts are fetched.
@@ -138,63 +141,125 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     return (batch.slice(start, rows) for batch in batches for start in range(0, batch.num_rows, rows))
 
 
+def _prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
+    return sizes - -(-percent * sizes // 100) + 1
+
+
 def _keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, spot, node, n, sketch) of every row, and on one row of each slice (terms, counts): n-grams by the sets that hold them.
+    """(doc_id, spot, node, n, sketch, low) of every row, and on one row of each slice (terms, counts).
 
-    ``spot``, the text's hash, finds the texts that have no id. Prefixes hold
-    about (1 - similarity) of a set, so of the n-grams that come first by hash,
-    1.6 times that share, every one is counted. Of the others only those that
-    recur among the documents of a slice are, which common passages do. Copies
-    within a slice count once.
+    ``spot``, the text's hash, finds the texts that have no id. ``low`` has the
+    n-grams of a set that come first by hash, 1.6 times as many as its prefix,
+    once per task that meets the set. ``terms`` are the n-grams that recur among
+    the documents of a slice, with the number of sets that hold them but not in
+    their ``low``: common passages. Copies within a slice count once.
     """
-    limit = np.uint64(min(0.99, 1.6 * (100 - percent) / 100) * 2.0**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for part in _parts(batches, 8 * BATCH_ROWS):
-            nodes, sizes, sets, odd = [], [], {}, []
+            nodes, sizes, low, sets, odd = [], [], [], {}, []
             for t in part["text"]:
                 items = shingles(t.as_py(), width)
                 odd.append(odd_sketches([items], len(_SKETCH))[0])
-                nodes.append(node_of(items) if len(items) else None)
+                node = node_of(items) if len(items) else None
+                nodes.append(node)
                 sizes.append(len(items))
-                if len(items):
-                    sets.setdefault(nodes[-1], items)
-            every = np.concatenate([*sets.values(), np.zeros(0, np.uint64)])
-            every.sort()
-            starts = np.flatnonzero(np.diff(every, prepend=every[:1] + np.uint64(1)))
-            counts, terms = np.diff(starts, append=len(every)), every[starts]
-            told = (counts > 1) | (terms < limit)
+                if node is None or node in met:
+                    low.append(None)
+                    continue
+                if len(met) >= 1_000_000:
+                    met.clear()
+                met.add(node)
+                length = int(_prefix_lengths(np.int64(len(items)), percent))
+                low.append(_long(items[: max(8 * length // 5, length + SPARE)]))
+                sets[node] = items
+            terms, counts = _counted([*sets.values()])
+            terms, counts = terms[counts > 1], counts[counts > 1]
+            held, lows = _counted([x.view(np.uint64) for x in low if x is not None])
+            if len(held):
+                at = np.minimum(np.searchsorted(held, terms), len(held) - 1)
+                counts = counts - np.where(held[at] == terms, lows[at], 0)
             rest = [None] * (part.num_rows - 1)
             yield pa.RecordBatch.from_arrays([
                 part["doc_id"], part["spot"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-                *(pa.array(column) for column in np.ascontiguousarray(np.array(odd).T)),
-                pa.array([_long(terms[told]), *rest], pa.list_(pa.int64())), pa.array([counts[told].astype(np.int32), *rest], pa.list_(pa.int32())),
-            ], ["doc_id", "spot", "node", "n", *_SKETCH, "terms", "counts"])
+                *(pa.array(column) for column in np.ascontiguousarray(np.array(odd).T)), pa.array(low, pa.list_(pa.int64())),
+                pa.array([_long(terms[counts > 0]), *rest], pa.list_(pa.int64())),
+                pa.array([counts[counts > 0].astype(np.int32), *rest], pa.list_(pa.int32())),
+            ], ["doc_id", "spot", "node", "n", *_SKETCH, "low", "terms", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    sketch = ", ".join(f"{c} long" for c in _SKETCH)
     return docs.select("doc_id", "text", _spot().alias("spot")).mapInArrow(
-        run, f"doc_id {kind}, spot long, node long, n long, {', '.join(f'{c} long' for c in _SKETCH)}, terms array<long>, counts array<int>"
+        run, f"doc_id {kind}, spot long, node long, n long, {sketch}, low array<long>, terms array<long>, counts array<int>"
     )
 
 
+def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of all sets, sorted, and how many sets hold each."""
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    every.sort()
+    starts = np.flatnonzero(np.diff(every, prepend=every[:1] + np.uint64(1)))
+    return every[starts], np.diff(starts, append=len(every))
+
+
 def _spot() -> Column:
     return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
 
 def _order(keys: DataFrame) -> Order:
     """The most frequent n-grams of the whole corpus make the order."""
-    each = keys.where("terms is not null").select(F.explode(F.arrays_zip("terms", "counts")).alias("c"))
-    counted = each.groupBy(F.col("c.terms").alias("term")).agg(F.sum("c.counts").alias("n"))
+    each = keys.where("low is not null").select(F.explode("low").alias("term"), F.lit(1).alias("n"))
+    more = keys.where("terms is not null").select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("n"))))
+    counted = each.unionByName(more).groupBy("term").agg(F.sum("n").alias("n"))
     top = most_frequent(stored(counted.where(F.col("n") >= ORDER_MIN), "frequent"), ORDER_TERMS).toArrow()
     terms = top["term"].to_numpy().astype(np.int64).view(np.uint64)
     sort = np.argsort(terms)
     return Order(terms[sort], top["n"].to_numpy().astype(np.int64)[sort])
 
 
-def _postings(docs: DataFrame, width: int, percent: int, shared) -> DataFrame:
-    """(term, part, node, n, place): the prefix of every node in the first order, once per task that meets the node."""
+_POSTING = ["term", "part", "node", "n", "place"]
+_POSTING_TYPES = "term long, part int, node long, n int, place int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _postings(docs: DataFrame, keys: DataFrame, width: int, percent: int, shared) -> DataFrame:
+    """(term, part, node, n, place): the prefix of every node in the first order, once per task that meets the node.
+
+    The order begins with the n-grams that are not listed as frequent, by hash;
+    so a prefix is taken from ``low``, unless too many there are listed. Only
+    such texts are cut into n-grams again, with a few others, whose postings
+    repeat what ``low`` gave.
+    """
+
+    def free(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """The n-grams of ``low``, their rows, ranks among the unlisted ones of their row, and the rows' sizes and prefix lengths."""
+        low = batch["low"]
+        lengths, sizes = low.value_lengths().to_numpy(), batch["n"].to_numpy()
+        terms = low.flatten().to_numpy().view(np.uint64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        unlisted = shared.value.counted(terms) == 0
+        upto = np.concatenate(([0], np.cumsum(unlisted)))
+        ends = np.cumsum(lengths)
+        found = upto[ends] - upto[ends - lengths]
+        prefix = _prefix_lengths(sizes, percent)
+        rank = np.where(unlisted, upto[1:] - np.repeat(upto[ends - lengths], lengths), 0)
+        return terms, row, rank, sizes, prefix, found >= prefix
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, BATCH_ROWS):
+            terms, row, rank, sizes, prefix, enough = free(batch)
+            taken = (rank > 0) & (rank <= prefix[row]) & enough[row]
+            row = row[taken]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(_long(terms[taken])), pa.array(np.zeros(len(row), np.int32)), pa.array(batch["node"].to_numpy()[row]),
+                pa.array(sizes[row].astype(np.int32)), pa.array(rank[taken].astype(np.int32)),
+            ], _POSTING)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([batch["at"].filter(pa.array(~free(batch)[-1]))], ["at"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, met = shared.value, set()
         for batch in _parts(batches, BATCH_ROWS):
             terms, parts, nodes, sizes, lengths = [], [], [], [], []
@@ -221,9 +286,13 @@ def _postings(docs: DataFrame, width: int, percent: int, shared) -> DataFrame:
                 pa.array(np.repeat(np.asarray(nodes, np.int64), lengths)),
                 pa.array(np.repeat(np.asarray(sizes, np.int32), lengths)),
                 pa.array((np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1).astype(np.int32)),
-            ], ["term", "part", "node", "n", "place"])
+            ], _POSTING)
 
-    return docs.select("text").mapInArrow(run, "term long, part int, node long, n int, place int")
+    at = F.when(F.col("doc_id").isNull(), F.col("spot")).otherwise(F.xxhash64("doc_id"))
+    lows = keys.where("low is not null")
+    again = stored(lows.select(at.alias("at"), "n", "low").mapInArrow(short, "at long"), "again")
+    texts = docs.withColumn("spot", _spot()).select("text", at.alias("at")).where(_sieve(again, "at")).select("text")
+    return lows.select("node", "n", "low").mapInArrow(first, _POSTING_TYPES).unionByName(texts.mapInArrow(whole, _POSTING_TYPES))
 
 
 def _sieve(chosen: DataFrame, key: str = "doc_id") -> Column:
@@ -305,6 +374,15 @@ def _promising(met: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
+def _promising_of(pairs: DataFrame, cards: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link: by sizes and odd sketches first, then by the prefix n-grams that both hold."""
+    side = lambda s: cards.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", *_SKETCH)])
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    alike = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & odd_filter(percent, _SKETCH)).select("a", "b")
+    alike = stored(alike, "alike")
+    return _promising(alike.join(_side(postings, "a"), "a").join(_side(postings, "b"), ["term", "b"]), percent)
+
+
 def _linked(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int, percent: int, shared) -> DataFrame:
     """The pairs (a, b) that pass the filter of every other order and whose whole sets are similar enough."""
     pairs = stored(pairs, "pairs")
@@ -327,6 +405,14 @@ def _labelled(postings: DataFrame, families: DataFrame) -> DataFrame:
     return stored(postings.join(families, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
 
 
+def _mixed_terms(labelled: DataFrame) -> DataFrame:
+    """(term, pairs): the n-grams that several families hold, and the pairs of nodes from different ones."""
+    m = F.col("m").cast("double")
+    each = labelled.groupBy("term", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("term")
+    found = each.agg(F.count(F.lit(1)).alias("k"), ((F.sum(m) * F.sum(m) - F.sum(m * m)) / 2).alias("pairs"))
+    return stored(found.where("k > 1").select("term", "pairs"), "mixed")
+
+
 def _trials(labelled: DataFrame) -> DataFrame:
     """(a, b): for every family a few pairs of one of its sets with one of the largest family met under the same n-gram."""
     spread_ = F.xxhash64("term", "node")  # another member under every n-gram
@@ -357,7 +443,7 @@ def classify(
     shared = spark.sparkContext.broadcast(_order(keys))  # at most ORDER_TERMS entries
     # n-grams in one node's prefix only find nothing; a frequent one has a pivot per part, and the parts' pivots meet again
     spot = Window.partitionBy("term", "part")
-    postings = _postings(docs, width, percent, shared).withColumns({
+    postings = _postings(docs, keys, width, percent, shared).withColumns({
         "pivot": F.min("node").over(spot), "last": F.max("node").over(spot)
     })
     held = stored(
@@ -371,24 +457,26 @@ def classify(
     stars = stored(best.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "stars")
 
     members = keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("spot").alias("spot"))
-    postings = held.select("term", "node", "n", "place").distinct()
-    met = stars.join(_side(postings, "a"), "a").join(_side(postings, "b"), ["term", "b"])
-    near_links = _linked(docs, members, _promising(met, percent), width, percent, shared)
+    postings = held.select("term", "node", "n", "place")  # a node has one part of a term
+    sketches = keys.where("node is not null").groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", *_SKETCH)])
+    cards = stored(sketches.join(held.select("node").distinct(), "node", "left_semi"), "cards")
+    near_links = _linked(docs, members, _promising_of(stars, cards, postings, percent), width, percent, shared)
     first = stored(components(near_links, "families"), "families")
 
-    # A few more pivots: a family or lone set tries members of the largest family it shares n-grams with.
+    # A few more pivots, where pairs are many: a family or lone set tries members of the largest family it shares n-grams with.
     labelled = _labelled(postings, first)
+    mixed = _mixed_terms(labelled)
     for _ in range(MERGE_ROUNDS):
-        met = _trials(labelled).join(_side(postings, "a"), "a").join(_side(postings, "b"), ["term", "b"])
-        more = _linked(docs, members, _promising(met, percent), width, percent, shared)
+        if (mixed.agg(F.sum("pairs")).first()[0] or 0) <= PAIRS_A_POSTING * labelled.count():
+            break
+        more = _linked(docs, members, _promising_of(_trials(labelled), cards, postings, percent), width, percent, shared)
         old = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
         first = stored(components(more.unionByName(old), "families"), "families")
         labelled = _labelled(postings, first)
+        mixed = _mixed_terms(labelled)
 
     # Every candidate pair from different families; terms of one family only have none.
-    mixed = labelled.groupBy("term").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("term")
-    sketches = keys.where("node is not null").groupBy("node").agg(*[F.min(c).alias(c) for c in _SKETCH])
-    open_ = stored(labelled.join(mixed, "term", "left_semi").join(sketches, "node"), "open")
+    open_ = stored(labelled.join(mixed.select("term"), "term").join(cards.drop("n"), "node"), "open")
     # of two sets that link, the smaller one holds the first common n-gram early; so does the other, as its size allows
     x, y = _side(open_.where(_early(percent)), "a", "root", *_SKETCH), _side(open_, "b", "root", *_SKETCH)
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))

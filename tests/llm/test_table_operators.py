@@ -278,6 +278,37 @@ def test_components_equal_brute_force(spark, monkeypatch, width, percent, span):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard_components([r[:2] for r in rows], width, percent)
 
 
+@pytest.fixture
+def tables(monkeypatch):
+    """The tables that a run of the join writes: (label, table)."""
+    seen = []
+    monkeypatch.setattr(jaccard, "stored", lambda df, label: seen.append((label, stored(df, label))) or seen[-1][1])
+    return seen
+
+
+@pytest.mark.parametrize("width, percent", [(4, 85), (5, 80)])
+def test_forced_rounds_and_short_starts_equal_brute_force(spark, monkeypatch, tables, width, percent):
+    monkeypatch.setattr(jaccard, "ORDER_MIN", 3)
+    monkeypatch.setattr(jaccard, "PAIRS_A_POSTING", -1)
+    monkeypatch.setattr(jaccard, "SPARE", 0)
+    rows = families(random.Random(width), 200)
+    got = jaccard.classify(spark.createDataFrame(rows, DOCS), width, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard_components([r[:2] for r in rows], width, percent)
+    assert [label for label, _ in tables].count("labelled") == 1 + jaccard.MERGE_ROUNDS
+    again = next(t.count() for label, t in tables if label == "again")
+    assert 0 < again < len(rows)  # texts cut into n-grams a second time: only those that begin with frequent ones
+
+
+def test_even_tables_need_no_round(spark, tables):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(80)) for _ in range(60)]
+    rows = [(i, t, "s", 0) for i, t in enumerate(texts + [t + " more" for t in texts[:20]])]
+    got = jaccard.classify(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard_components([r[:2] for r in rows], 4, 85)
+    assert [label for label, _ in tables].count("labelled") == 1
+    assert next(t.count() for label, t in tables if label == "again") == 0
+
+
 def test_join_edges(spark):
     rows = [(5, "a b c d e f", "s", 0), (5, "a b c d e f", "s", 0), (None, "a b c d e f", "s", 0), (2, "x y", "s", 0), (None, None, "s", 0)]
     df = spark.createDataFrame(rows, DOCS)

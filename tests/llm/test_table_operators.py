@@ -309,6 +309,21 @@ def test_even_tables_need_no_round(spark, tables):
     assert next(t.count() for label, t in tables if label == "again") == 0
 
 
+def test_few_links_make_few_files(spark, monkeypatch):
+    """With 211 shuffle partitions a round over a handful of links wrote as many files."""
+    kept, before = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = spark.createDataFrame([(i, i + 1) for i in range(0, 90) if i % 10], "a long, b long")
+        root = components.components(links, keep=lambda df, label: kept.append(stored(df, label)) or kept[-1])
+        assert {r.node: r.root for r in root.collect()} == {i: (i - 1) // 10 * 10 + 1 for i in range(1, 91)}
+        assert max(len(t.inputFiles()) for t in kept[1:]) == 1
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_join_edges(spark):
     rows = [(5, "a b c d e f", "s", 0), (5, "a b c d e f", "s", 0), (None, "a b c d e f", "s", 0), (2, "x y", "s", 0), (None, None, "s", 0)]
     df = spark.createDataFrame(rows, DOCS)
